@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom import fixed_values as fixed
 from batchloom.operators.checks import expect_positive
-from batchloom.operators.status import first_failure
+from batchloom.operators.status import failed_rows
 
 
 def tail_lines(
@@ -29,15 +29,15 @@ def tail_lines(
     group before the shuffle.
     """
     expect_positive(n=n, split=split)
-    parted = log.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(split)))
+    parted = log.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(split)))
     newest = [F.desc_nulls_last(column) for column in order]
-    last_of_part = _first_rows(parted, [source, "part"], newest, n).drop("part")
+    last_of_part = _first_rows(parted, [source, "__part"], newest, n).drop("__part")
     return _first_rows(last_of_part, [source], newest, n)
 
 
 def _first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("line_rank", rank).filter(F.col("line_rank") <= n).drop("line_rank")
+    return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
 
 
 def object_events(events: DataFrame, obj: str | None = None) -> DataFrame:
@@ -60,5 +60,5 @@ def of_failed_workers(rows: DataFrame, status: DataFrame, worker: str) -> DataFr
     The failed workers are few and distinct; Spark broadcasts them if their measured size
     allows and otherwise splits a skewed worker at run time.
     """
-    failed = first_failure(status).select(F.col("worker").alias(worker)).distinct()
+    failed = failed_rows(status).select(F.col("worker").alias(worker)).distinct()
     return rows.join(failed, worker, "left_semi")

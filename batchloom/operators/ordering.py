@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Input partition ids stay the same when a task is run again; random numbers would not.
+_PART = "__part"
+
 
 def sort_rows(df: DataFrame, column: str, *, descending: bool = False) -> DataFrame:
     """Total order by ``column`` with all other columns as the tie-break.
 
     The tie-break makes the order reproducible and gives the range partitioner keys to
-    split on when one value of ``column`` holds a large share of the rows. NULLs come
-    first ascending and last descending.
+    split on when one value of ``column`` holds a large share of the rows. Rows that are
+    alike in every column are told apart by the input partition they come from, so many
+    copies of one row do not meet in a single task. NULLs come first ascending and last
+    descending.
     """
-    return df.orderBy(*_sort_keys(df, column, descending))
+    parted = df.withColumn(_PART, F.spark_partition_id())
+    return parted.orderBy(*_sort_keys(df, column, descending), _PART).drop(_PART)
 
 
 def top_k(df: DataFrame, k: int, column: str, *, descending: bool = True) -> DataFrame:
@@ -35,10 +41,11 @@ def repartition_by(
     """Hash rows by ``column`` into a fixed number of partitions.
 
     With ``split_hot`` above 1 the rows of one key go to up to that many partitions,
-    chosen by the row's content, so one key with a third of all rows does not end up in a
-    single task. Use it only to spread rows; an aggregate needs no repartition at all.
+    chosen by the input partition they come from, so one key with a third of all rows does
+    not end up in a single task. Use it only to spread rows; an aggregate needs no
+    repartition at all.
     """
     if split_hot == 1:
         return df.repartition(partitions, column)
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(split_hot))
-    return df.repartition(partitions, F.col(column), spread)
+    part = F.pmod(F.spark_partition_id(), F.lit(split_hot))
+    return df.withColumn(_PART, part).repartition(partitions, column, _PART).drop(_PART)

@@ -72,20 +72,21 @@ def resource_summary(status: DataFrame, slots_per_worker: int = fixed.SLOTS_PER_
     )
 
 
+def failed_rows(status: DataFrame) -> DataFrame:
+    return status.filter((F.col("phase") == fixed.FAILED) & _worker().isNotNull())
+
+
 def first_failure(status: DataFrame) -> DataFrame:
     """The first failed poll of each worker that failed, one row per worker and run."""
-    failed = status.filter((F.col("phase") == fixed.FAILED) & _worker().isNotNull())
-    return failed.groupBy("run_id", "worker").agg(F.min("poll_ts").alias("first_failed"))
+    return (
+        failed_rows(status).groupBy("run_id", "worker").agg(F.min("poll_ts").alias("first_failed"))
+    )
 
 
-def all_failed(rollup: DataFrame) -> Column:
+def all_failed() -> Column:
     """A poll in which there were workers and every one of them had failed."""
-    return (
-        (rollup["total"] > 0)
-        & (rollup["failed"] == rollup["total"])
-        & (rollup["running"] == 0)
-        & (rollup["pending"] == 0)
-    )
+    total, failed = F.col("total"), F.col("failed")
+    return (total > 0) & (failed == total) & (F.col("running") == 0) & (F.col("pending") == 0)
 
 
 def streak_guard(status: DataFrame, limit: int = fixed.FAILED_POLLS_LIMIT) -> DataFrame:
@@ -93,8 +94,12 @@ def streak_guard(status: DataFrame, limit: int = fixed.FAILED_POLLS_LIMIT) -> Da
 
     Runs that never get there are left out.
     """
-    rollup = status_rollup(status)
-    return first_streak(rollup.select("run_id", "poll_ts", all_failed(rollup).alias("bad")), limit)
+    return rollup_guard(status_rollup(status), limit)
+
+
+def rollup_guard(rollup: DataFrame, limit: int = fixed.FAILED_POLLS_LIMIT) -> DataFrame:
+    """The streak guard on polls that are rolled up already."""
+    return first_streak(rollup.select("run_id", "poll_ts", all_failed().alias("bad")), limit)
 
 
 def first_streak(polls: DataFrame, limit: int) -> DataFrame:

@@ -114,6 +114,14 @@ def _tail(rows: str, n: int) -> str:
 
 _RUN_SUMMARY = f"select batch_id, category, {_MEASURES} from ({_B}) group by 1, 2"
 
+_ROLLUP = f"""
+    select run_id, poll_ts, count(*) as total,
+           count(*) filter (where phase = 'Running') as running,
+           count(*) filter (where phase = 'Pending') as pending,
+           count(*) filter (where phase = 'Failed') as failed
+    from ({_HOURLY}) group by 1, 2
+"""
+
 ORACLES: dict[str, str] = {
     "external_table_scan": "select * from lineitem",
     "sql_table_scan": f"select event_id, category, line_total, quantity_band from ({_B})",
@@ -215,12 +223,10 @@ ORACLES: dict[str, str] = {
         select event_id as product_id, category, quantity, unit_price, line_total
         from ({_B}) where line_total >= 1000000
     """,
-    "status_rollup": f"""
-        select run_id, poll_ts, count(*) as total,
-               count(*) filter (where phase = 'Running') as running,
-               count(*) filter (where phase = 'Pending') as pending,
-               count(*) filter (where phase = 'Failed') as failed
-        from ({_HOURLY}) group by 1, 2
+    "status_rollup": _ROLLUP,
+    "status_rollup_stream": _ROLLUP,
+    "failed_workers_stream": f"""
+        select distinct run_id, worker from ({_HOURLY}) where phase = 'Failed'
     """,
     "distinct_workers": f"""
         select run_id, count(distinct worker) as distinct_workers from ({_HOURLY}) group by 1

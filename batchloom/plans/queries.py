@@ -25,6 +25,7 @@ from batchloom.plans.batch_run import RunReport, RunTables, audit, run_batch
 from batchloom.plans.staging import scratch_location
 from batchloom.sinks import tables as sink
 from batchloom.sources import catalog
+from batchloom.streaming import monitor
 from batchloom.sources.generate import (
     events_from_ids,
     generate_batch,
@@ -378,6 +379,27 @@ def status_rollup(spark, sf_dir):
     return status.status_rollup(given.hourly_status(spark, sf_dir))
 
 
+def _drained(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A streaming operator over the event file, run to its end and read back."""
+    schema = given.read(spark, sf_dir, "events").schema
+    events = monitor.file_stream(spark, sf_dir, schema, "events.parquet")
+    stream = build(given.as_hourly_status(events))
+    location = scratch_location(spark, "stream")
+    monitor.drain(stream, f"{location}/rows", f"{location}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{location}/rows")
+
+
+@query
+def status_rollup_stream(spark, sf_dir):
+    """The roll-up kept by a stream; a poll is complete once its hour is the latest."""
+    return _drained(spark, sf_dir, lambda rows: monitor.rollup_stream(rows, "0 seconds"))
+
+
+@query
+def failed_workers_stream(spark, sf_dir):
+    return _drained(spark, sf_dir, monitor.failed_worker_stream)
+
+
 @query
 def distinct_workers(spark, sf_dir):
     return status.distinct_workers(given.hourly_status(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom import fixed_values as fixed
+from batchloom.functions.times import hour_of
 from batchloom.operators.enrich import tag_batch
 
 
@@ -47,15 +48,9 @@ def event_phase() -> Column:
     )
 
 
-def hour_of(ts: Column) -> Column:
-    """The hour a zone-less timestamp lies in, whatever the session's time zone."""
-    date = (F.year(ts), F.month(ts), F.dayofmonth(ts))
-    return F.make_timestamp_ntz(*date, F.hour(ts), F.lit(0), F.lit(0))
-
-
-def hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_hourly_status(events: DataFrame) -> DataFrame:
     """Events as one run that holds all rows, polled once an hour."""
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.lit("r1").alias("run_id"),
         hour_of(F.col("ts")).alias("poll_ts"),
         F.col("user_id").cast("string").alias("worker"),
@@ -63,6 +58,10 @@ def hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_hourly_status(read(spark, sf_dir, "events"))
+
+
 def user_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as one run per user, with one poll per event."""
     return read(spark, sf_dir, "events").select(
