@@ -70,11 +70,22 @@ def round_money(value: Column) -> Column:
     return F.round(value, 2)
 
 
+def cents(value: Column) -> Column:
+    """A two-place amount below 90 trillion as whole cents."""
+    return F.rint(value * 100).cast("long")
+
+
 def exact_sum(value: Column) -> Column:
-    """Sum of two-place amounts, the same in any order of rows or partitions."""
-    return F.sum(money(value)).cast("double")
+    """Sum of two-place amounts, the same in any order of rows or partitions.
+
+    Cents are summed as whole numbers, which costs no more than a DOUBLE sum; an overflow
+    is an error.
+    """
+    return F.sum(cents(value)) / 100
 
 
 def exact_average(value: Column) -> Column:
     """Average of two-place amounts, rounded half up on the exact quotient."""
-    return round_money(F.sum(money(value)) / F.count(value)).cast("double")
+    total, rows = F.sum(cents(value)), F.count(value)
+    rounded = F.call_function("div", F.abs(total) * 2 + rows, rows * 2)
+    return F.signum(total) * F.when(rows > 0, rounded) / 100

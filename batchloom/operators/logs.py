@@ -54,6 +54,22 @@ def object_events(events: DataFrame, obj: str | None = None) -> DataFrame:
     )
 
 
+def failed_worker_tail(
+    log: DataFrame,
+    status: DataFrame,
+    n: int = fixed.WORKER_TAIL,
+    order: Sequence[str] = ("ts",),
+    *,
+    source: str = "source",
+) -> DataFrame:
+    """The last ``n`` lines of each worker that failed.
+
+    The tails are taken first: they hold at most ``n`` rows per source, so the join never
+    moves the log itself and no source is large in it.
+    """
+    return of_failed_workers(tail_lines(log, n, order, source=source), status, source)
+
+
 def of_failed_workers(rows: DataFrame, status: DataFrame, worker: str) -> DataFrame:
     """Rows whose ``worker`` column names a worker that failed in some run.
 

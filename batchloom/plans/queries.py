@@ -462,8 +462,8 @@ def failed_object_events(spark, sf_dir):
 def failed_worker_tail(spark, sf_dir):
     """The last lines of all workers that failed in the hourly run."""
     lines = given.log_lines(spark, sf_dir)
-    failed = logs.of_failed_workers(lines, given.hourly_status(spark, sf_dir), "source")
-    return logs.tail_lines(failed, fixed.WORKER_TAIL, ["ts", "event_id"])
+    status_rows = given.hourly_status(spark, sf_dir)
+    return logs.failed_worker_tail(lines, status_rows, order=["ts", "event_id"])
 
 
 @query
