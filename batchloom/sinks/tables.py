@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from batchloom.operators.aggregate import by_revenue
 from batchloom.operators.checks import SchemaMismatch, expect_schema
 from batchloom.operators.enrich import current_batch, tag_batch
-from batchloom.sources.catalog import partition_columns, quoted, table_metadata
+from batchloom.sources.catalog import quoted, table_metadata, table_schema
 
 DEFAULT_FORMAT = "parquet"
 
@@ -59,7 +59,7 @@ def ensure_table(
         f"USING {quoted(fmt)} {layout} LOCATION :location",
         args={"t": table, "location": location},
     )
-    actual, wanted = type_names(spark.table(table).schema), type_names(schema)
+    actual, wanted = type_names(table_schema(spark, table)), type_names(schema)
     if actual != wanted:
         raise SchemaMismatch(f"{table} exists with columns {actual}, expected {wanted}")
 
@@ -70,17 +70,17 @@ def append(df: DataFrame, table: str) -> None:
     The check comes first because an implicit cast can lose data without an error.
     """
     spark = df.sparkSession
-    target = spark.table(table).schema
+    target = table_schema(spark, table)
     expect_schema(df, type_names(target))
     extra = sorted(set(df.columns) - set(target.names))
     if extra:
         raise SchemaMismatch(f"{table} has no column {', '.join(extra)}")
     rows = df.select(*[F.col(quoted(name)) for name in target.names])
-    if partition_columns(spark, table):
+    metadata = table_metadata(spark, table)
+    if metadata.get("partition_columns"):
         rows.write.insertInto(table)
     else:
-        fmt = table_metadata(spark, table)["provider"]
-        rows.write.format(fmt).mode("append").saveAsTable(table)
+        rows.write.format(metadata["provider"]).mode("append").saveAsTable(table)
 
 
 def append_batch(df: DataFrame, table: str, batch_id: str | None = None) -> str:

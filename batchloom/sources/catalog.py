@@ -38,6 +38,12 @@ def table_metadata(spark: SparkSession, table: str) -> dict:
     return json.loads(described.first()[0])
 
 
+def table_schema(spark: SparkSession, table: str) -> T.StructType:
+    """Columns held in the catalog. Unlike a scan, this lists none of the table's files."""
+    columns = spark.catalog.listColumns(table)
+    return T.StructType.fromDDL(", ".join(f"{quoted(c.name)} {c.dataType}" for c in columns))
+
+
 def table_location(spark: SparkSession, table: str) -> str:
     """Storage location held in the catalog.
 
@@ -53,15 +59,11 @@ def table_location(spark: SparkSession, table: str) -> str:
 def resolve_tables(spark: SparkSession, tables: Iterable[str]) -> dict[str, ResolvedTable]:
     """Resolve every table before work begins; fails on the first that does not."""
     return {
-        name: ResolvedTable(name, probe(spark, name).schema, table_location(spark, name))
+        name: ResolvedTable(name, table_schema(spark, name), table_location(spark, name))
         for name in tables
     }
 
 
-def partition_columns(spark: SparkSession, table: str) -> list[str]:
-    return table_metadata(spark, table).get("partition_columns") or []
-
-
 def list_tables(spark: SparkSession, database: str) -> DataFrame:
     """Tables of a database; any character may occur in its name."""
     return spark.sql(f"SHOW TABLES IN {quoted(database)}")
