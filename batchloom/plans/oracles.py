@@ -69,7 +69,7 @@ _PHASE = """
 """
 
 _HOURLY = f"""
-    select 'r1' as run_id, date_trunc('hour', ts) as poll_ts,
+    select 'y' || year(ts) as run_id, date_trunc('hour', ts) as poll_ts,
            cast(user_id as varchar) as worker, {_PHASE} as phase
     from events
 """
@@ -252,10 +252,12 @@ ORACLES: dict[str, str] = {
         ) where rn = 1
     """,
     "streak_guard": _streak("cast(user_id as varchar)", 3),
-    "streak_guard_one_run": _streak("'r1'", 4),
+    "streak_guard_one_run": _streak("'y' || year(ts)", 4),
     "tail_n": _tail(_LOG, 3),
     "latest_line": _tail(_LOG, 1),
-    "tail_one_source": _tail("select 'all' as source, ts, event_id, props as line from events", 80),
+    "tail_one_source": _tail(
+        "select 'y' || year(ts) as source, ts, event_id, props as line from events", 80
+    ),
     "object_events": f"select object, type, reason, message from ({_OBJECT_EVENTS})",
     "failed_object_events": f"""
         select object, type, reason, message from ({_OBJECT_EVENTS})

@@ -441,7 +441,7 @@ def latest_line(spark, sf_dir):
 @query
 def tail_one_source(spark, sf_dir):
     """The last lines of one source that holds all lines."""
-    lines = given.log_lines(spark, sf_dir).withColumn("source", F.lit("all"))
+    lines = given.log_lines(spark, sf_dir).withColumn("source", given.year_run())
     return logs.tail_lines(lines, fixed.WORKER_TAIL, ["ts", "event_id"])
 
 

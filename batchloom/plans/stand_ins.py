@@ -48,10 +48,15 @@ def event_phase() -> Column:
     )
 
 
+def year_run() -> Column:
+    """The year of an event as its run; all given events lie in one year."""
+    return F.concat(F.lit("y"), F.year("ts").cast("string"))
+
+
 def as_hourly_status(events: DataFrame) -> DataFrame:
     """Events as one run that holds all rows, polled once an hour."""
     return events.select(
-        F.lit("r1").alias("run_id"),
+        year_run().alias("run_id"),
         hour_of(F.col("ts")).alias("poll_ts"),
         F.col("user_id").cast("string").alias("worker"),
         event_phase().alias("phase"),
@@ -74,7 +79,12 @@ def user_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def single_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as one run that holds all rows, with one poll per timestamp."""
-    return user_status(spark, sf_dir).withColumn("run_id", F.lit("r1"))
+    return read(spark, sf_dir, "events").select(
+        year_run().alias("run_id"),
+        F.col("ts").alias("poll_ts"),
+        F.col("user_id").cast("string").alias("worker"),
+        event_phase().alias("phase"),
+    )
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

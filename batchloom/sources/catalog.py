@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,12 @@ def table_metadata(spark: SparkSession, table: str) -> dict:
 
 def table_schema(spark: SparkSession, table: str) -> T.StructType:
     """Columns held in the catalog. Unlike a scan, this lists none of the table's files."""
-    columns = spark.catalog.listColumns(table)
-    return T.StructType.fromDDL(", ".join(f"{quoted(c.name)} {c.dataType}" for c in columns))
+    described = spark.sql("DESCRIBE TABLE IDENTIFIER(:t)", args={"t": table}).collect()
+    # A heading follows the columns where the table is partitioned.
+    columns = takewhile(lambda row: not row["col_name"].startswith("# "), described)
+    return T.StructType.fromDDL(
+        ", ".join(f"{quoted(row['col_name'])} {row['data_type']}" for row in columns)
+    )
 
 
 def table_location(spark: SparkSession, table: str) -> str:
