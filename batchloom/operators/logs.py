@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom import fixed_values as fixed
 from batchloom.operators.checks import expect_positive
+from batchloom.operators.ordering import sort_rows
 from batchloom.operators.status import failed_rows
 
 
@@ -45,13 +46,12 @@ def object_events(events: DataFrame, obj: str | None = None) -> DataFrame:
 
     Without ``obj`` the events of all objects are listed, object by object.
     """
+    details = ["last_ts", "type", "reason", "message"]
     if obj is None:
-        listed = events.orderBy("object", "last_ts", "type", "reason", "message")
-        return listed.select("object", "type", "reason", "message")
-    chosen = events.filter(F.col("object") == obj)
-    return chosen.orderBy("last_ts", "type", "reason", "message").select(
-        "type", "reason", "message"
-    )
+        listed = sort_rows(events.select("object", *details), "object")
+    else:
+        listed = sort_rows(events.filter(F.col("object") == obj).select(details), "last_ts")
+    return listed.drop("last_ts")
 
 
 def failed_worker_tail(

@@ -18,6 +18,7 @@ from batchloom.sinks.tables import (
     append_batch,
     ensure_table,
     new_batch_id,
+    partitions_last,
     read_batch,
     read_summary,
     write_summary,
@@ -75,11 +76,7 @@ def run_batch(
     a failed check leaves the summary table unchanged.
     """
     by_batch = ["batch_id"] if tables.partition_events_by_batch else []
-    input_schema = schemas.EVENTS
-    if by_batch:
-        # Catalog tables list partition columns last.
-        rest = [field for field in input_schema if field.name not in by_batch]
-        input_schema = type(input_schema)([*rest, input_schema["batch_id"]])
+    input_schema = partitions_last(schemas.EVENTS, by_batch)
     ensure_table(spark, tables.events, input_schema, tables.events_location, tables.fmt, by_batch)
     ensure_table(spark, tables.summary, schemas.SUMMARY, tables.summary_location, tables.fmt)
     resolve_tables(spark, [tables.events, tables.summary])
@@ -108,7 +105,7 @@ def run_generated(
     spark: SparkSession,
     tables: RunTables,
     rows: int = fixed.DEFAULT_ROWS,
-    partitions: int = fixed.DEFAULT_PARTITIONS,
+    partitions: int | None = None,
 ) -> RunReport:
     """The run on a generated batch, with its row and category counts checked."""
     return run_batch(

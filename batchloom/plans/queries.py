@@ -25,13 +25,8 @@ from batchloom.plans.batch_run import RunReport, RunTables, audit, run_batch
 from batchloom.plans.staging import scratch_location
 from batchloom.sinks import tables as sink
 from batchloom.sources import catalog
+from batchloom.sources.generate import events_from_ids, generate_batch, sales_batch
 from batchloom.streaming import monitor
-from batchloom.sources.generate import (
-    events_from_ids,
-    generate_batch,
-    partitions_for,
-    sales_batch,
-)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,14 +107,14 @@ def zero_row_probe(spark, sf_dir):
 def generate_rows(spark, sf_dir):
     """As many generated rows as there are line items."""
     rows = given.read(spark, sf_dir, "lineitem").count()
-    return generate_batch(spark, max(rows, 1), partitions_for(rows))
+    return generate_batch(spark, max(rows, 1))
 
 
 @query
 def generate_summary(spark, sf_dir):
     """Summary of a generated batch with as many rows as there are line items."""
     rows = given.read(spark, sf_dir, "lineitem").count()
-    batch = generate_batch(spark, max(rows, 1), partitions_for(rows), "b1")
+    batch = generate_batch(spark, max(rows, 1), batch_id="b1")
     return summarise(enrich(batch), average=True, exact=True)
 
 
@@ -166,8 +161,7 @@ def append_two_batches(spark, sf_dir):
 @query
 def partitioned_readback(spark, sf_dir):
     """The rows of one batch from a table partitioned by batch."""
-    columns = [f for f in schemas.EVENTS if f.name != "batch_id"]
-    schema = type(schemas.EVENTS)([*columns, schemas.EVENTS["batch_id"]])
+    schema = sink.partitions_last(schemas.EVENTS, ["batch_id"])
     table = _fresh_table(spark, schema, ["batch_id"])
     sink.append_batch(given.event_rows(spark, sf_dir), table, "b1")
     sink.append_batch(given.order_rows(spark, sf_dir), table, "b2")

@@ -16,15 +16,15 @@ def shared_folder(spark: SparkSession) -> str:
     Where it is unset, a local session gets a temporary one; a cluster session must name
     one, since a machine-local folder is lost with its executor.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not folder:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="batchloom-"))
-    return context.getCheckpointDir()
+        folder = tempfile.mkdtemp(prefix="batchloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_location(spark: SparkSession, name: str) -> str:

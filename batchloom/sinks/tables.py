@@ -27,6 +27,12 @@ def type_names(schema: T.StructType) -> dict[str, str]:
     return {field.name: field.dataType.simpleString() for field in schema.fields}
 
 
+def partitions_last(schema: T.StructType, partitioned_by: Sequence[str]) -> T.StructType:
+    """The column order of a partitioned table: catalogs list partition columns last."""
+    rest = [field for field in schema.fields if field.name not in partitioned_by]
+    return T.StructType([*rest, *(schema[name] for name in partitioned_by)])
+
+
 def new_batch_id() -> str:
     return str(uuid.uuid4())
 

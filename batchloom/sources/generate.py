@@ -19,13 +19,16 @@ from batchloom.operators.enrich import tag_batch
 def generate_batch(
     spark: SparkSession,
     rows: int = fixed.DEFAULT_ROWS,
-    partitions: int = fixed.DEFAULT_PARTITIONS,
+    partitions: int | None = None,
     batch_id: str | None = None,
 ) -> DataFrame:
-    """Deterministic event rows for ids ``0 .. rows - 1`` in ``partitions`` partitions.
+    """Deterministic event rows for ids ``0 .. rows - 1``.
 
-    The rows come from ``spark.range`` inside the tasks; there is no shuffle.
+    The rows come from ``spark.range`` inside the tasks; there is no shuffle. The number
+    of partitions follows from ``rows`` unless it is given.
     """
+    if partitions is None:
+        partitions = partitions_for(rows)
     expect_positive(rows=rows, partitions=partitions)
     return events_from_ids(spark.range(0, rows, 1, partitions), F.col("id"), batch_id)
 

@@ -36,12 +36,20 @@ def rollup_stream(status: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return rollup.withColumn("poll_ts", utc_clock(F.col("poll_ts"))) if zoneless else rollup
 
 
-def failed_worker_stream(status: DataFrame) -> DataFrame:
+def failed_worker_stream(status: DataFrame, split: int = 16) -> DataFrame:
     """Each failed worker of a run, reported once, when it is first seen.
 
-    State holds one row per failed worker.
+    Streams drop duplicates only behind the shuffle, and one worker may be failed in most
+    rows. So its rows are first spread over up to ``split`` tasks by input partition; what
+    is left meets in a second round. State holds up to ``split + 1`` rows per failed worker.
     """
-    return failed_rows(status).select("run_id", "worker").dropDuplicates(["run_id", "worker"])
+    part = F.pmod(F.spark_partition_id(), F.lit(split)).alias("__part")
+    failed = failed_rows(status).select("run_id", "worker", part)
+    return (
+        failed.dropDuplicates(["run_id", "worker", "__part"])
+        .select("run_id", "worker")
+        .dropDuplicates(["run_id", "worker"])
+    )
 
 
 def drain(stream: DataFrame, location: str, checkpoint: str) -> StreamingQuery:

@@ -26,7 +26,7 @@ from batchloom.plans.batch_run import RunTables, run_generated  # noqa: E402
 from batchloom.plans.queries import QUERIES  # noqa: E402
 from batchloom.plans.staging import scratch_location  # noqa: E402
 from batchloom.sinks.tables import ensure_database  # noqa: E402
-from batchloom.sources.generate import generate_batch, partitions_for  # noqa: E402
+from batchloom.sources.generate import generate_batch  # noqa: E402
 
 HEADLINE = (
     "enrich_batch",
@@ -52,14 +52,14 @@ REPEATS = 3
 
 
 def generated_summary(spark, rows, *, repartition_first=False):
-    batch = enrich(generate_batch(spark, rows, partitions_for(rows), "b1"))
+    batch = enrich(generate_batch(spark, rows, batch_id="b1"))
     if repartition_first:
         batch = repartition_by(batch, fixed.DEFAULT_PARTITIONS, "category")
     return summarise(batch)
 
 
 def default_run(spark):
-    """The reference's default workload as a whole run: 100,000 rows, 4 partitions."""
+    """The default generated batch as a whole run: 100,000 rows, 4 partitions."""
     name = f"bench_{uuid.uuid4().hex}"
     location = scratch_location(spark, name)
     ensure_database(spark, name, location)

@@ -83,17 +83,26 @@ def test_ensure_table_is_idempotent(spark, events, location):
         sink.ensure_table(spark, events, schemas.SALES, f"{location}/events")
 
 
-def test_orc_table(spark, database, location):
-    table = f"{database}.orc_events"
-    sink.ensure_table(spark, table, schemas.EVENTS, f"{location}/orc", fmt="orc")
+@pytest.mark.parametrize("fmt", ["orc", "json", "csv"])
+def test_other_formats(spark, database, location, fmt):
+    table = f"{database}.{fmt}_events"
+    sink.ensure_table(spark, table, schemas.EVENTS, f"{location}/{fmt}", fmt=fmt)
     sink.append_batch(generate_batch(spark, 100), table, "b1")
+    sink.append_batch(generate_batch(spark, 50), table, "b2")
+    expected = generate_batch(spark, 100, batch_id="b1")
+    assert sink.read_batch(spark, table, "b1").exceptAll(expected).count() == 0
     assert sink.read_batch(spark, table, "b1").count() == 100
 
 
+def test_missing_format_is_an_error(spark, database, location):
+    with pytest.raises(Exception, match="nosuch"):
+        sink.ensure_table(spark, f"{database}.t", schemas.EVENTS, f"{location}/t", fmt="nosuch")
+
+
 def test_partitioned_table_prunes_batches(spark, database, location):
     table = f"{database}.by_batch"
-    schema = T.StructType([f for f in schemas.EVENTS if f.name != "batch_id"])
-    schema = schema.add(schemas.EVENTS["batch_id"])
+    schema = sink.partitions_last(schemas.EVENTS, ["batch_id"])
+    assert schema.names[-1] == "batch_id" and len(schema) == len(schemas.EVENTS)
     sink.ensure_table(spark, table, schema, f"{location}/p", partitioned_by=["batch_id"])
     sink.append_batch(generate_batch(spark, 100), table, "b1")
     sink.append_batch(generate_batch(spark, 50), table, "b2")
