@@ -12,6 +12,9 @@ from batchloom.operators.checks import expect_positive
 from batchloom.operators.ordering import sort_rows
 from batchloom.operators.status import failed_rows
 
+# Spark's default limit for dropping rows of a ranked group before the shuffle.
+_DROPPED_BEFORE_SHUFFLE = 1000
+
 
 def tail_lines(
     log: DataFrame,
@@ -27,12 +30,16 @@ def tail_lines(
     share of the lines out of a single task: each source is first cut into up to ``split``
     parts by input partition, and only the last ``n`` lines of every part meet in the
     second round. In both rounds each task drops all but its own last ``n`` lines per
-    group before the shuffle.
+    group before the shuffle. Spark does that for short tails only; a longer one takes a
+    round per input partition first, so that no group exceeds what one task has read.
     """
     expect_positive(n=n, split=split)
-    parted = log.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(split)))
     newest = [F.desc_nulls_last(column) for column in order]
-    last_of_part = _first_rows(parted, [source, "__part"], newest, n).drop("__part")
+    lines = log.withColumn("__task", F.spark_partition_id())
+    if n > _DROPPED_BEFORE_SHUFFLE:
+        lines = _first_rows(lines, [source, "__task"], newest, n)
+    lines = lines.withColumn("__part", F.pmod("__task", F.lit(split))).drop("__task")
+    last_of_part = _first_rows(lines, [source, "__part"], newest, n).drop("__part")
     return _first_rows(last_of_part, [source], newest, n)
 
 

@@ -33,6 +33,15 @@ _MEASURES = """
     round(sum(line_total), 2) as revenue
 """
 
+_WITH_SALES = f"""
+    {_EVENTS} union all select * from (values
+        ('b2', 101, 'electronics', 2, 2499.00::double),
+        ('b2', 102, 'electronics', 1, 4999.00::double),
+        ('b2', 201, 'grocery', 5, 120.00::double),
+        ('b2', 202, 'grocery', 3, 250.00::double),
+        ('b2', 301, 'household', 4, 450.00::double))
+"""
+
 # Sums and averages in whole cents: no tie can round differently.
 _CENTS = "cast(round({0} * 100) as hugeint)"
 _EXACT_REVENUE = f"cast(sum({_CENTS.format('line_total')}) as double) / 100 as revenue"
@@ -114,6 +123,14 @@ def _tail(rows: str, n: int) -> str:
 
 _RUN_SUMMARY = f"select batch_id, category, {_MEASURES} from ({_B}) group by 1, 2"
 
+_CATEGORY_SUMMARY = f"""
+    select category, count(*) as product_count,
+           cast(sum(quantity) as bigint) as total_quantity,
+           round(sum(line_total), 2) as revenue,
+           round(avg(unit_price), 2) as average_price
+    from ({_B}) group by 1
+"""
+
 _ROLLUP = f"""
     select run_id, poll_ts, count(*) as total,
            count(*) filter (where phase = 'Running') as running,
@@ -134,15 +151,7 @@ ORACLES: dict[str, str] = {
     "events_from_keys": f"select 'b1' as batch_id, {_generated('o_orderkey')} from orders",
     "literal_rows_append": f"""
         select batch_id, category, {_exact('product_count')}
-        from ({_enriched(f'''
-            {_EVENTS} union all
-            select * from (values
-                ('b2', 101, 'electronics', 2, 2499.00::double),
-                ('b2', 102, 'electronics', 1, 4999.00::double),
-                ('b2', 201, 'grocery', 5, 120.00::double),
-                ('b2', 202, 'grocery', 3, 250.00::double),
-                ('b2', 301, 'household', 4, 450.00::double))
-        ''')}) group by 1, 2
+        from ({_enriched(_WITH_SALES)}) group by 1, 2
     """,
     "append_readback": _RUN_SUMMARY,
     "append_two_batches": (
@@ -168,12 +177,11 @@ ORACLES: dict[str, str] = {
         select batch_id, category, {_MEASURES}, round(avg(unit_price), 2) as average_price
         from ({_B}) group by 1, 2
     """,
-    "category_summary": f"""
-        select category, count(*) as product_count,
-               cast(sum(quantity) as bigint) as total_quantity,
-               round(sum(line_total), 2) as revenue,
-               round(avg(unit_price), 2) as average_price
-        from ({_B}) group by 1
+    "category_summary": _CATEGORY_SUMMARY,
+    "sales_category_summary": _CATEGORY_SUMMARY,
+    "sales_all_rows": f"""
+        select batch_id, event_id as product_id, category, quantity, unit_price
+        from ({_WITH_SALES})
     """,
     "summary_by_band": f"""
         select batch_id, category, quantity_band, {_exact('event_count')}

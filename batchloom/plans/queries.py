@@ -22,6 +22,7 @@ from batchloom.operators.aggregate import count_rows, summarise
 from batchloom.operators.enrich import current_batch, enrich, large_lines, tag_batch
 from batchloom.plans import stand_ins as given
 from batchloom.plans.batch_run import RunReport, RunTables, audit, run_batch
+from batchloom.plans.sales_run import SalesReport, report_sales
 from batchloom.plans.staging import scratch_location
 from batchloom.sinks import tables as sink
 from batchloom.sources import catalog
@@ -353,16 +354,30 @@ def batch_run_report(spark, sf_dir):
     return audit(report.summary)
 
 
-@query
-def sales_report(spark, sf_dir):
-    """The local report: large lines of a saved batch by total, highest first."""
+def _reported_sales(spark: SparkSession, sf_dir: str) -> SalesReport:
     table = _fresh_table(spark, schemas.SALES)
     products = given.event_rows(spark, sf_dir).withColumnRenamed("event_id", "product_id")
-    batch_id = sink.append_batch(products, table)
-    lines = enrich(sink.read_batch(spark, table, batch_id)).select(
-        "product_id", "category", "quantity", "unit_price", "line_total"
-    )
-    return ordering.sort_rows(large_lines(lines, 1_000_000), "line_total", descending=True)
+    batch_id = sink.append_batch(products, table, "b1")
+    sink.append(sales_batch(spark, "b2", schemas.SALES), table)
+    return report_sales(spark, table, batch_id, 1_000_000)
+
+
+@query
+def sales_report(spark, sf_dir):
+    """Large lines of a saved batch by total, highest first."""
+    return _reported_sales(spark, sf_dir).large
+
+
+@query
+def sales_all_rows(spark, sf_dir):
+    """All batches of the sales table by product."""
+    return _reported_sales(spark, sf_dir).all_rows
+
+
+@query
+def sales_category_summary(spark, sf_dir):
+    """Summary of one batch of the sales table."""
+    return _reported_sales(spark, sf_dir).summary
 
 
 # Run status and logs

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from batchloom.operators.checks import CheckFailed
 from batchloom.plans.batch_run import RunTables, audit, run_batch, run_generated
+from batchloom.plans.sales_run import run_sales
 from batchloom.sources.generate import generate_batch
 from tests.test_batches import GENERATED
 
@@ -52,3 +53,18 @@ def test_repeated_batch_id_is_found(spark, tables):
 def test_empty_batch(spark, tables):
     report = run_batch(spark, generate_batch(spark, 10).limit(0), tables)
     assert (report.input_rows, report.groups) == (0, 0)
+
+
+def test_sales_run(spark, database, location):
+    table = f"spark_catalog.{database}.sales"
+    run_sales(spark, table, f"{location}/sales")
+    report = run_sales(spark, table, f"{location}/sales")
+    assert [row["product_id"] for row in report.large.collect()] == [102, 101, 301]
+    assert [row["product_id"] for row in report.lines.collect()] == [102, 101, 301, 202, 201]
+    assert [tuple(row) for row in report.summary.collect()] == [
+        ("electronics", 2, 3, 9997.0, 3749.0),
+        ("household", 1, 4, 1800.0, 450.0),
+        ("grocery", 2, 8, 1350.0, 185.0),
+    ]
+    products = [row["product_id"] for row in report.all_rows.collect()]
+    assert products == [101, 101, 102, 102, 201, 201, 202, 202, 301, 301]

@@ -3,6 +3,7 @@
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from batchloom import schemas
 from batchloom.operators.status import rollup_guard, status_rollup
@@ -11,17 +12,23 @@ from batchloom.streaming import monitor
 from tests.test_status import POLLS, START, keyed, read_in_order, status_rows
 
 
-@pytest.fixture
-def feed(spark, location):
+@pytest.fixture(params=["timestamp_ntz", "timestamp"])
+def feed(request, spark, location):
     """Write status rows of some polls into the watched folder, as a later file."""
     folder = f"{location}/status"
 
     def write(*numbers):
         chosen = {START + timedelta(seconds=5 * number) for number in numbers}
         rows = [row for row in status_rows(POLLS) if row[1] in chosen]
-        inline_rows(spark, rows, schemas.STATUS).coalesce(1).write.mode("append").parquet(folder)
+        status = inline_rows(spark, rows, schemas.STATUS).select(as_fed)
+        status.coalesce(1).write.mode("append").parquet(folder)
 
+    as_fed = [
+        F.col(name).cast(request.param) if name == "poll_ts" else F.col(name)
+        for name in schemas.STATUS.names
+    ]
     write.folder = folder
+    write.schema = inline_rows(spark, [], schemas.STATUS).select(as_fed).schema
     return write
 
 
@@ -29,7 +36,7 @@ def test_rollup_goes_on_where_it_stopped(spark, location, feed):
     out, checkpoint = f"{location}/rollup", f"{location}/checkpoint"
 
     def step():
-        stream = monitor.file_stream(spark, feed.folder, schemas.STATUS)
+        stream = monitor.file_stream(spark, feed.folder, feed.schema)
         rollup = monitor.rollup_stream(stream, "0 seconds")
         monitor.drain(rollup, out, checkpoint)
         return spark.read.schema(rollup.schema).parquet(out)
@@ -41,7 +48,7 @@ def test_rollup_goes_on_where_it_stopped(spark, location, feed):
     rollup, _, fired, _, _ = read_in_order(POLLS, 3)
     assert keyed(found, 2) == rollup
     assert keyed(rollup_guard(found), 1) == {run: (at,) for run, at in fired.items()}
-    status = inline_rows(spark, list(status_rows(POLLS)), schemas.STATUS)
+    status = inline_rows(spark, [], feed.schema)
     assert found.schema.simpleString() == status_rollup(status).schema.simpleString()
 
 
@@ -50,7 +57,7 @@ def test_failed_worker_is_reported_once(spark, location, feed):
     _, failures, _, _, _ = read_in_order(POLLS, 3)
     for numbers in [(0, 1), (2, 3), (4, 5, 6), (7, 8)]:
         feed(*numbers)
-        stream = monitor.file_stream(spark, feed.folder, schemas.STATUS)
+        stream = monitor.file_stream(spark, feed.folder, feed.schema)
         monitor.drain(monitor.failed_worker_stream(stream), out, checkpoint)
     reported = [tuple(row) for row in spark.read.parquet(out).collect()]
     assert sorted(reported) == sorted(failures)
