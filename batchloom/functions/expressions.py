@@ -70,22 +70,49 @@ def round_money(value: Column) -> Column:
     return F.round(value, 2)
 
 
-def cents(value: Column) -> Column:
-    """A two-place amount below 90 trillion as whole cents."""
-    return F.rint(value * 100).cast("long")
+# Whole numbers up to here are exact as DOUBLE, and so is what is left after taking one off.
+_WHOLE_LIMIT = 1e15
 
 
-def exact_sum(value: Column) -> Column:
-    """Sum of two-place amounts, the same in any order of rows or partitions.
+def _units(value: Column) -> Column:
+    return F.when(F.abs(value) < _WHOLE_LIMIT, F.rint(value)).otherwise(0.0)
+
+
+def _hundredths(value: Column) -> Column:
+    rest = value - _units(value)
+    return F.when(F.abs(value) < _WHOLE_LIMIT, F.rint(rest * 100)).otherwise(0.0)
+
+
+def _sum_of_cents(value: Column) -> Column:
+    """Whole cents as a decimal. Both sums are BIGINT, so rows are added without error."""
+    units = F.sum(_units(value).cast("long")).cast("decimal(20,0)")
+    hundredths = F.sum(_hundredths(value).cast("long")).cast("decimal(20,0)")
+    return units * 100 + hundredths
+
 
-    Cents are summed as whole numbers, which costs no more than a DOUBLE sum; an overflow
-    is an error.
+def accurate_sum(value: Column) -> Column:
+    """Sum of a DOUBLE column whose error does not grow with the number of rows.
+
+    A plain DOUBLE sum of a few million prices is already off by whole cents, and by
+    different ones in each run. Here units and cents are summed as whole numbers; only
+    what lies below a cent, which is next to nothing for amounts of money, is summed as
+    DOUBLE. Values too large to have cents, infinities and NaN go into that sum whole.
     """
-    return F.sum(cents(value)) / 100
+    below = F.sum(value - _units(value) - _hundredths(value) / 100)
+    return (_sum_of_cents(value) / 100).cast("double") + below
+
+
+def accurate_average(value: Column) -> Column:
+    return accurate_sum(value) / F.count(value)
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of two-place amounts, each taken as whole cents."""
+    return F.when(F.count(value) > 0, (_sum_of_cents(value) / 100).cast("double"))
 
 
 def exact_average(value: Column) -> Column:
     """Average of two-place amounts, rounded half up on the exact quotient."""
-    total, rows = F.sum(cents(value)), F.count(value)
+    total, rows = _sum_of_cents(value), F.count(value)
     rounded = F.call_function("div", F.abs(total) * 2 + rows, rows * 2)
-    return F.signum(total) * F.when(rows > 0, rounded) / 100
+    return F.when(rows > 0, F.signum(total) * rounded / 100)

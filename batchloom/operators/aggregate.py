@@ -12,7 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.functions.expressions import exact_average, exact_sum, round_money
+from batchloom.functions.expressions import (
+    accurate_average,
+    accurate_sum,
+    exact_average,
+    exact_sum,
+    round_money,
+)
 
 
 def summarise(
@@ -26,20 +32,22 @@ def summarise(
 ) -> DataFrame:
     """Count, total quantity and revenue per group of enriched rows.
 
-    ``average`` adds the rounded average unit price. ``exact`` sums two-place amounts as
-    decimals, so the result does not depend on the order of rows; without it the sums are
-    ordinary DOUBLE sums. ``ordered`` sorts by revenue, highest first; leave it off before
-    a table write, where the order is lost anyway.
+    ``average`` adds the rounded average unit price. Sums do not lose cents however many
+    rows there are. ``exact`` takes all amounts as whole cents and rounds averages on the
+    exact quotient, so that no tie depends on how a DOUBLE is represented. ``ordered``
+    sorts by revenue, highest first; leave it off before a table write, where the order is
+    lost anyway.
     """
-    total, price = F.col("line_total"), F.col("unit_price")
+    sum_of, average_of = (
+        (exact_sum, exact_average) if exact else (accurate_sum, accurate_average)
+    )
     measures = [
         F.count("*").alias(count_as),
         F.sum("quantity").cast("long").alias("total_quantity"),
-        (exact_sum(total) if exact else round_money(F.sum(total))).alias("revenue"),
+        round_money(sum_of(F.col("line_total"))).alias("revenue"),
     ]
     if average:
-        mean = exact_average(price) if exact else round_money(F.avg(price))
-        measures.append(mean.alias("average_price"))
+        measures.append(round_money(average_of(F.col("unit_price"))).alias("average_price"))
     summary = df.groupBy(*keys).agg(*measures)
     return by_revenue(summary, *keys) if ordered else summary
 

@@ -1,5 +1,8 @@
 """Golden results of the sample and the generated batch, and NULL and edge rows."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +156,37 @@ def test_exact_average_rounds_ties_up(spark):
     }
 
 
+def sums_of(spark, values):
+    rows = inline_rows(spark, [(v,) for v in values], "v double").repartition(3)
+    found = rows.agg(X.accurate_sum(F.col("v")), X.accurate_average(F.col("v"))).first()
+    return tuple(found)
+
+
+def test_sums_keep_their_cents(spark):
+    """A plain DOUBLE sum of as many prices is off by several cents."""
+    rows = 8_000_000
+    lines = enrich(generate_batch(spark, rows))
+    revenue = {row["category"]: row["revenue"] for row in summarise(lines, ["category"]).collect()}
+    tenths = {name: 0 for name in fixed.CATEGORIES}
+    for id_ in range(10000):  # the prices repeat after this many rows
+        tenths[fixed.CATEGORIES[id_ % 4]] += (1 + id_ % 10) * (500 + id_ * 37 % 10000)
+    assert revenue == {name: total * (rows // 10000) / 10 for name, total in tenths.items()}
+
+
+def test_accurate_sum_of_any_doubles(spark):
+    rng = random.Random(7)
+    values = [rng.uniform(-1e6, 1e6) for _ in range(2000)] + [1e-9, -3e14, 2e17, -2e17]
+    total, average = sums_of(spark, values)
+    assert total == pytest.approx(math.fsum(values), rel=1e-12)
+    assert average == pytest.approx(math.fsum(values) / len(values), rel=1e-12)
+    assert sums_of(spark, [0.125] * 3) == (0.375, 0.125)
+    assert sums_of(spark, [None, 2.5]) == (2.5, 2.5)
+    assert sums_of(spark, [None]) == (None, None)
+    assert sums_of(spark, [math.inf, 1.0])[0] == math.inf
+    assert math.isnan(sums_of(spark, [math.nan, 1.0])[0])
+    assert math.isnan(sums_of(spark, [math.inf, -math.inf])[0])
+
+
 def test_quote_in_batch_id(spark):
     assert current_batch(edge_rows(spark), "it's").count() == 1
 
