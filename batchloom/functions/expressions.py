@@ -70,24 +70,25 @@ def round_money(value: Column) -> Column:
     return F.round(value, 2)
 
 
-# Whole numbers up to here are exact as DOUBLE, and so is what is left after taking one off.
-_WHOLE_LIMIT = 1e15
+def _units(value: Column) -> Column:
+    """Whole units of an amount; NULL where there are none, as for NaN."""
+    return value.try_cast("long")
 
 
-def _units(value: Column) -> Column:
-    return F.when(F.abs(value) < _WHOLE_LIMIT, F.rint(value)).otherwise(0.0)
+def _rest(value: Column) -> Column:
+    return value - F.coalesce(_units(value), F.lit(0))
 
 
 def _hundredths(value: Column) -> Column:
-    rest = value - _units(value)
-    return F.when(F.abs(value) < _WHOLE_LIMIT, F.rint(rest * 100)).otherwise(0.0)
+    return F.rint(_rest(value) * 100).try_cast("long")
 
 
 def _sum_of_cents(value: Column) -> Column:
     """Whole cents as a decimal. Both sums are BIGINT, so rows are added without error."""
-    units = F.sum(_units(value).cast("long")).cast("decimal(20,0)")
-    hundredths = F.sum(_hundredths(value).cast("long")).cast("decimal(20,0)")
-    return units * 100 + hundredths
+    units, hundredths = F.sum(_units(value)), F.sum(_hundredths(value))
+    return F.coalesce(units, F.lit(0)).cast("decimal(20,0)") * 100 + F.coalesce(
+        hundredths, F.lit(0)
+    )
 
 
 def accurate_sum(value: Column) -> Column:
@@ -96,9 +97,9 @@ def accurate_sum(value: Column) -> Column:
     A plain DOUBLE sum of a few million prices is already off by whole cents, and by
     different ones in each run. Here units and cents are summed as whole numbers; only
     what lies below a cent, which is next to nothing for amounts of money, is summed as
-    DOUBLE. Values too large to have cents, infinities and NaN go into that sum whole.
+    DOUBLE. Infinities and NaN go into that sum whole.
     """
-    below = F.sum(value - _units(value) - _hundredths(value) / 100)
+    below = F.sum(_rest(value) - F.coalesce(_hundredths(value), F.lit(0)) / 100)
     return (_sum_of_cents(value) / 100).cast("double") + below
 
 

@@ -16,10 +16,20 @@ from batchloom.operators.status import failed_rows, status_rollup
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet"
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    pattern: str = "*.parquet",
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    """New Parquet files of a folder as a stream, oldest first.
+
+    ``files_per_batch`` keeps a large backlog from being read as one batch.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def rollup_stream(status: DataFrame, delay: str = "10 minutes") -> DataFrame:
