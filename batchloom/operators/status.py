@@ -148,8 +148,9 @@ def first_streak(polls: DataFrame, limit: int) -> DataFrame:
         .withColumn("closed", F.max(F.when(F.col("has_reset"), F.col("opened"))).over(earlier))
         .withColumn("carried", F.col("opened") - F.coalesce("closed", F.lit(0)))
     )
-    missing = (F.lit(limit) - F.col("carried")).cast("int")
-    fired_by_carry = F.when(missing >= 1, F.get("leading", missing - 1))
+    # What is carried may exceed any INT; what is missing to the limit is cast only if positive.
+    missing = F.lit(limit) - F.col("carried")
+    fired_by_carry = F.when(missing >= 1, F.get("leading", (missing - 1).cast("int")))
     return (
         carried.groupBy("run_id")
         .agg(F.min(F.least("fired_inside", fired_by_carry)).alias("fired"))

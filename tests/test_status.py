@@ -75,7 +75,10 @@ def random_polls(seed, runs=12, polls=60):
         bad = rng.choice([0.3, 0.6, 0.9])
         result[f"r{run}"] = [
             {} if rng.random() < 0.05 else
-            {f"w{w}": X if rng.random() < bad else rng.choice([R, P, OK, ""]) for w in range(rng.randint(1, 2))}
+            {
+                f"w{w}": X if rng.random() < bad else rng.choice([R, P, OK, ""])
+                for w in range(rng.randint(1, 2))
+            }
             for _ in range(polls)
         ]
     return result
