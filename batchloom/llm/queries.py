@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import language_id
+from batchloom.llm import language_id, similarity_join
 from batchloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~held_out))
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     return language_id.identify(rows, model).drop("text")
+
+
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.cluster(table(spark, sf_dir, "documents"))
