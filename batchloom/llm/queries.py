@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm import decontaminate, language_id, private_data, similarity_join
+from batchloom.llm import (
+    decontaminate,
+    language_id,
+    mixing,
+    private_data,
+    quality_rules,
+    similarity_join,
+)
 from batchloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +50,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.digest(private_data.find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "posterior",
+    )
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mixed(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "source", "lang", "topic", "tokens", "rate", "copies")
