@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.llm import (
     decontaminate,
+    html_text,
     language_id,
     mixing,
     private_data,
@@ -65,3 +66,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mixed(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "source", "lang", "topic", "tokens", "rate", "copies")
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.fit(pages))
