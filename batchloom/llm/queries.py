@@ -13,6 +13,7 @@ from batchloom.llm import (
     language_id,
     mixing,
     private_data,
+    quality_model,
     quality_rules,
     similarity_join,
 )
@@ -72,3 +73,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extracted(pages, html_text.fit(pages))
+
+
+@query
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.judged(docs, quality_model.fit(docs))
