@@ -5,7 +5,7 @@ by pattern over all documents; expectation-maximisation on these few counts esti
 labeller's votes on good and bad documents, and so a posterior label for each pattern. A linear
 scorer over hashed features is then fitted to the posterior labels of a bounded sample: at
 most ``sample`` documents, the smallest by a hash of their id. Features are the words, their
-shapes and pairs of neighbouring shapes, as shares of the document, so the scorer also tells
+shapes and pairs of neighbouring shapes, as shares of the document (short ones damped), so the scorer also tells
 documents on which most labellers abstain. Every document is scored whole, in one pass.
 
 Edge cases: null and empty texts have no features; they are called bad with the score 0.
@@ -151,7 +151,7 @@ class Hasher:
         return found
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets and their shares, each kind of feature summing to one."""
+        """Buckets and their shares of the text."""
         kept = self.kept
         words = WORD.findall(text)
         if not words:
@@ -161,7 +161,8 @@ class Hasher:
         same = (found[1:, 0] == found[:-1, 0]).sum()
         buckets, counts = np.unique(np.concatenate([found[:, 0], found[:, 1], pairs]), return_counts=True)
         # Two buckets of their own: repeated neighbours and a constant.
-        return np.append(buckets, [0, 1]), np.append(counts / len(words), [same / len(words), 1.0])
+        damped = len(words) + 5  # a few words say little
+        return np.append(buckets, [0, 1]), np.append(counts / damped, [same / damped, 1.0])
 
 
 @dataclass
