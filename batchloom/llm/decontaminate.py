@@ -39,7 +39,7 @@ UNITS = (
 )
 #: Marks a name in the lower-cased text.
 MARK = "\u0001"
-NAME = r"(?<=[\p{Ll}\p{N},;:][ \n\t])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;:][ \n\t]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 TOKEN = MARK + r"?[\p{L}\p{N}]++(?:[.,:/][0-9]++)*+"
 
 
@@ -65,37 +65,48 @@ def template(found: Column) -> Column:
 
 
 def windows(texts: DataFrame, key: str) -> DataFrame:
-    """``key, place, window, slots`` (and ``literal``, the plain words) of each window.
+    """``key, place, window`` of each window, and the text's tokens ``t`` and template ``k``.
 
-    ``slots`` holds the values of the placeholders in order.
+    Both are null for a text without placeholders, most of them: then no slot is to be held
+    against another. They are references here, and only copied for windows that match.
     """
-    shaped = texts.select(key, tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    shaped = shaped.select(key, "t", template(F.col("t")).alias("k"))
-    hashed = shaped.select(
+    found = texts.select(key, tokens(F.col("text")).alias("t"))
+    slots = F.exists("t", lambda x: F.substring(x, 1, 1).between("0", "9") | x.startswith(MARK))
+    found = found.withColumn("k", F.when(slots, template(F.col("t"))))
+    rows = found.select(
         key,
-        F.when(F.exists("k", lambda x: x.startswith("#")), F.col("t")).alias("t"),
+        F.when(F.col("k").isNotNull(), F.col("t")).alias("t"),
         "k",
-        F.transform("k", lambda x: F.xxhash64(x)).alias("h"),
+        F.transform(F.coalesce("k", "t"), lambda x: F.xxhash64(x)).alias("h"),
     )
-
-    def at(i: Column) -> Column:
-        kinds = F.slice("k", i, WINDOW)
-        values = F.zip_with(F.slice("t", i, WINDOW), kinds, lambda t, k: F.when(k.startswith("#"), t))
-        return F.struct(
-            i.alias("place"),
-            F.xxhash64(F.slice("h", i, WINDOW)).alias("window"),
-            F.when(F.col("t").isNotNull(), F.filter(values, lambda v: v.isNotNull())).alias("slots"),
-        )
-
-    starts = F.sequence(F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(1)))
-    return hashed.select(key, F.inline(F.transform(starts, at)))
+    # Hashes of 2, 4 and then 8 tokens; those that run over the end are cut off.
+    whole = F.when(F.size("h").between(1, WINDOW - 1), F.array(F.xxhash64("h")))
+    rows = rows.withColumn("short", whole).withColumn("w", F.col("h"))
+    for step in (1, 2, 4):
+        later = F.slice("w", step + 1, F.size("w"))
+        rows = rows.withColumn("w", F.zip_with("w", later, lambda a, b: F.xxhash64(a, b)))
+    full = F.slice("w", 1, F.greatest(F.size("w") - WINDOW + 1, F.lit(0)))
+    rows = rows.select(key, "t", "k", F.coalesce("short", full).alias("w"))
+    # The outer form, since a plain one repeats the array's making in a filter before it; a
+    # text without windows gives a null one, which matches nothing.
+    return rows.select(key, "t", "k", F.posexplode_outer("w").alias("place", "window"))
+
+
+def slots() -> Column:
+    """The values of the window's placeholders in order; null if its text has none."""
+    place = F.col("place") + 1
+    values = F.zip_with(
+        F.slice("t", place, WINDOW), F.slice("k", place, WINDOW),
+        lambda t, k: F.when(k.startswith("#"), t),
+    )
+    return F.filter(values, lambda v: v.isNotNull())
 
 
 def _literal(texts: DataFrame) -> DataFrame:
     """The benchmark windows with enough plain words."""
-    found = windows(texts, "item_id")
-    slots = F.coalesce(F.size("slots"), F.lit(0))
-    return found.where(WINDOW - F.greatest(slots, F.lit(0)) >= MIN_LITERAL)
+    found = windows(texts, "item_id").select("item_id", "place", "window", slots().alias("slots"))
+    found = found.where("window is not null")
+    return found.where(WINDOW - F.coalesce(F.size("slots"), F.lit(0)) >= MIN_LITERAL)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -111,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         item = F.broadcast(item)
     hits = staged(
         windows(docs.select("doc_id", "text"), "doc_id").join(item, "window")
-        .select("doc_id", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("offset"), "slots", "item_slots")
+        .select("doc_id", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("offset"), slots().alias("slots"), "item_slots")
     )
     run = ["doc_id", "item_id", "offset"]
     paired = hits.where(F.size("item_slots") > 0).select(

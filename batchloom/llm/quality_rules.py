@@ -27,62 +27,69 @@ ROUNDS = 15
 MIN_POSTERIOR = 0.5
 MADE_UP = 4
 MIN_WORDS = 50
-BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
-
-
-def repeated_words(hashes: Column) -> Column:
-    """Words inside three-word windows that the text has twice or more."""
-    n = F.size(hashes) - 2
-    windows = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, 3)))
-    return F.when(n > 1, _covered(windows)).otherwise(F.lit(0)).cast("long")
-
-
-def _covered(windows: Column) -> Column:
-    placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+#: A word without a letter.
+BARE = (
+    r"[^\p{L}\x20\x09-\x0D](?<=(?:\A|[\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D])"
+    r"[^\p{L}\x20\x09-\x0D]*+(?![^\x20\x09-\x0D])"
+)
+
+
+def with_repeated_words(rows: DataFrame) -> DataFrame:
+    """Adds ``n_repeat_words``: words inside three-word windows that the text has twice or more.
+
+    ``hashes`` holds the words' hashes. Each step is a projection of its own, so that what
+    several expressions need is made once.
+    """
+    size = lambda c: F.greatest(F.size(c), F.lit(1))
+    later = lambda c, i: F.slice(c, i, size(c))
+    pair = F.zip_with("hashes", later("hashes", 2), lambda a, b: F.xxhash64(a, b))
+    three = F.zip_with("_w", later("hashes", 3), lambda a, b: F.xxhash64(a, b))
+    rows = rows.withColumn("_w", pair).withColumn("_w", three)
+    rows = rows.withColumn("_w", F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))))
+    # Only texts that repeat a window are sorted.
+    placed = F.sort_array(F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    rows = rows.withColumn("_w", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), placed))
     none = F.expr("array(cast(null as struct<w:bigint,i:int>))")
     beside = F.arrays_zip(
-        placed.alias("own"), F.concat(none, placed).alias("last"),
-        F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))).alias("next"),
+        F.col("_w").alias("own"), F.concat(none, "_w").alias("last"), later("_w", 2).alias("next")
     )
     twice = F.filter(
         beside,
         lambda x: x["own"].isNotNull()
         & (x["own"]["w"].eqNullSafe(x["last"]["w"]) | x["own"]["w"].eqNullSafe(x["next"]["w"])),
     )
-    places = F.sort_array(F.transform(twice, lambda x: x["own"]["i"]))
-    later = F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0)))
+    rows = rows.withColumn("_w", F.sort_array(F.transform(twice, lambda x: x["own"]["i"])))
     # A window adds three words, or as many as lie before the next one.
-    added = F.zip_with(places, later, lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
+    added = F.zip_with("_w", later("_w", 2), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
     total = F.aggregate(added, F.lit(0), lambda s, x: s + x)
-    return F.when(F.size(windows) == F.size(F.array_distinct(windows)), 0).otherwise(total)
+    return rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("_w")
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the counts that the rules need, of whole texts."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    words = words_of(F.col("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     long = lambda c: c.cast("long")
     rows = rows.select(
         "doc_id", "text",
-        F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"),
+        F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"),
         F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"),
     )
-    return rows.select(
-        "doc_id",
+    rows = rows.select(
+        "doc_id", "hashes",
         long(F.size("hashes")).alias("n_words"),
         long(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""))).alias("word_chars"),
         long(F.regexp_count("text", F.lit("[#*$%&|<>]"))).alias("n_symbols"),
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        repeated_words(F.col("hashes")).alias("n_repeat_words"),
         long(F.size("lines")).alias("n_lines"),
         long(F.size(F.array_distinct("hashes"))).alias("n_distinct"),
         long(F.regexp_count("text", F.lit(r"\p{Lu}\p{Lu}"))).alias("n_upper_pairs"),
         long(F.regexp_count("text", F.lit(BARE))).alias("n_bare"),
-        long(F.regexp_count("text", F.lit(r"[.!?][\x20\x09-\x0D]|[.!?]\z"))).alias("n_ends"),
+        long(F.regexp_count("text", F.lit(r"[.!?](?:[\x20\x09-\x0D]|\z)"))).alias("n_ends"),
         long(F.regexp_count("text", F.lit(r"!!|\?\?|\*\*\*|[#$%&]{2}"))).alias("n_bursts"),
     )
+    return with_repeated_words(rows).drop("hashes")
 
 
 def _vote(good: Column, bad: Column) -> Column:

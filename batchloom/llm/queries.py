@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.llm import (
+    context_mixing,
     decontaminate,
     html_text,
     language_id,
@@ -79,3 +80,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.judged(docs, quality_model.fit(docs))
+
+
+@query
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return context_mixing.scored(docs, fold(F.col("doc_id"), 5) == 1)

@@ -103,7 +103,7 @@ def _survey(seed: int) -> Callable:
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         met: set[int] = set()
         for batch in batches:
-            sizes, nodes, checks = [], [], []
+            sizes, nodes, checks, maps = [], [], [], []
             for text in _texts(batch):
                 tokens = shingle_set(text)
                 node = node_of(tokens, seed)
@@ -113,23 +113,25 @@ def _survey(seed: int) -> Callable:
                 sizes.append(len(tokens))
                 nodes.append(node if len(tokens) else None)
                 checks.append(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed + 1) - (1 << 63))
-            n = len(sizes)
-            yield _survey_rows(batch.column("doc_id"), sizes, nodes, checks, [None] * n, [None] * n)
+                maps.append(parity(tokens))
+            none = [None] * len(sizes)
+            yield _survey_rows(batch.column("doc_id"), sizes, nodes, checks, maps, none, none)
         if met:
             pieces = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PIECES)]
             none = [None] * PIECES
-            yield _survey_rows(pa.nulls(PIECES, pa.int64()), none, none, none, range(PIECES), pieces)
+            yield _survey_rows(pa.nulls(PIECES, pa.int64()), none, none, none, none, range(PIECES), pieces)
 
     return run
 
 
-SURVEY = "doc_id long, n long, node long, mark long, piece int, counts binary"
+SURVEY = "doc_id long, n long, node long, mark long, bitmap array<long>, piece int, counts binary"
 
 
-def _survey_rows(ids, sizes, nodes, checks, pieces, counts) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    columns = [pa.array(x, kind) for x, kind in zip((sizes, nodes, checks, pieces, counts), kinds)]
-    return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n", "node", "mark", "piece", "counts"])
+def _survey_rows(ids, *columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+    arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds)]
+    names = ["doc_id", "n", "node", "mark", "bitmap", "piece", "counts"]
+    return pa.RecordBatch.from_arrays([ids, *arrays], names=names)
 
 
 def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +193,7 @@ def _pack(table: np.ndarray, seed: int, ranges: int) -> Callable:
                 found.append(tokens[first])
                 owner.append(np.full(len(first), node, np.int64))
                 held += len(first)
-                if held >= 4_000_000:
+                if held >= 2_000_000:
                     yield packed()
                     found, owner, held = [], [], 0
         if found:
@@ -244,9 +246,7 @@ def _sets(bloom: np.ndarray, seed: int) -> Callable:
             met.update(sets)
             columns = {
                 "node": pa.array(sets, pa.int64()),
-                "n": pa.array([len(x) for x in sets.values()], pa.int64()),
                 "tokens": pa.array([x.tobytes() for x in sets.values()], pa.binary()),
-                "bitmap": pa.array([parity(x) for x in sets.values()], pa.list_(pa.int64())),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -275,9 +275,6 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-SETS = "node long, n long, tokens binary, bitmap array<long>"
-
-
 def _place() -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("place")
 
@@ -301,11 +298,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of the pairs ``a, b``."""
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
+    """The linked ones of the pairs ``a, b``; only the sets of their nodes are made."""
+    pairs = staged(pairs)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = staged(ends.join(nodes.select("node", "doc_id"), "node"))
+    sets = staged(
+        texts.select("text", _place())
+        .mapInArrow(_sets(_bloom(wanted), seed), "node long, tokens binary")
+        .join(wanted.select("node"), "node")
+        .dropDuplicates(["node"])
+    )
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
-    return pairs.mapInArrow(_verify, "a long, b long")
+        own = sets.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}"))
+        pairs = pairs.join(own, side)
+    return staged(pairs.mapInArrow(_verify, "a long, b long"))
+
+
+def near(x: str, y: str) -> Column:
+    """Whether sizes and bitmaps of two nodes allow a link."""
+    flips = " + ".join(f"bit_count({x}.bitmap[{i}] ^ {y}.bitmap[{i}])" for i in range(BITMAP_WORDS))
+    return F.expr(
+        f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n)"
+        f" and {100 + PERCENT} * ({flips}) <= {100 - PERCENT} * ({x}.n + {y}.n)"
+    )
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -317,7 +333,10 @@ def cluster(docs: DataFrame) -> DataFrame:
         rows = survey.where("n is not null")
         nodes = staged(
             rows.where("n > 0").groupBy("node")
-            .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+            .agg(
+                F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bitmap").alias("bitmap"),
+                F.min("mark").alias("low"), F.max("mark").alias("high"),
+            )
         )
         # Two sets with one id are told apart by a second hash; then another seed is taken.
         total = nodes.agg(F.sum("n"), F.max(F.expr("low <> high"))).first()
@@ -332,36 +351,31 @@ def cluster(docs: DataFrame) -> DataFrame:
     found = staged(dealt.mapInArrow(_shared, "token long, node long"))
     hubs = found.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     shared = staged(found.join(hubs.select("token", "hub"), "token").distinct())
-    wanted = staged(shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node"))
-    sets = staged(
-        texts.select("text", _place())
-        .mapInArrow(_sets(_bloom(wanted), seed), SETS)
-        .join(wanted.select("node"), "node")
-        .dropDuplicates(["node"])
-    )
-    stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(verified(stars, sets))
-    labels = components(links)
-    links = links.unionByName(verified(open_pairs(shared, sets, labels), sets))
+    links = verified(star_pairs(shared, nodes), nodes, texts, seed)
     labels = components(links)
-    return _named(rows, nodes, labels)
+    more = verified(open_pairs(shared, nodes, labels), nodes, texts, seed)
+    return _named(rows, nodes, components(links.unionByName(more)))
+
 
+def star_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each node with the hub of each of its tokens, where the filters let the pair pass."""
+    about = nodes.select("node", "n", "bitmap")
+    pairs = shared.where("node <> hub").select("node", "hub").distinct().join(about, "node").alias("x")
+    pairs = pairs.join(about.alias("y"), (F.col("x.hub") == F.col("y.node")) & near("x", "y"))
+    return pairs.select(F.col("x.hub").alias("a"), F.col("x.node").alias("b"))
 
-def open_pairs(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+
+def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs with a common token and no common component that the filters let pass."""
-    comp = F.coalesce("comp", "node")
-    labels = labels.select("node", "comp")
-    about = sets.select("node", "n", "bitmap").join(labels, "node", "left").withColumn("comp", comp)
-    every = shared.join(about, "node")
+    about = nodes.select("node", "n", "bitmap").join(labels, "node", "left")
+    about = about.withColumn("comp", F.coalesce("comp", "node"))
+    every = staged(shared.join(about, "node"))
     of_hub = about.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    # One side holds the nodes outside the component of the token's hub: nodes of a large
+    # group of near copies never meet each other here.
     one = every.join(of_hub, "hub").where("comp <> hub_comp").drop("hub_comp").alias("x")
-    two = every.alias("y")
-    flips = " + ".join(f"bit_count(x.bitmap[{i}] ^ y.bitmap[{i}])" for i in range(BITMAP_WORDS))
-    near = F.expr(
-        f"x.comp <> y.comp and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
-        f" and {100 + PERCENT} * ({flips}) <= {100 - PERCENT} * (x.n + y.n)"
-    )
-    pairs = one.join(two, (F.col("x.token") == F.col("y.token")) & near)
+    apart = (F.col("x.token") == F.col("y.token")) & F.expr("x.comp <> y.comp") & near("x", "y")
+    pairs = one.join(every.alias("y"), apart)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
