@@ -17,6 +17,7 @@ from batchloom.llm import (
     quality_model,
     quality_rules,
     similarity_join,
+    token_scan,
 )
 from batchloom.llm.common import fold, table
 
@@ -86,3 +87,8 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return context_mixing.scored(docs, fold(F.col("doc_id"), 5) == 1)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.counted(table(spark, sf_dir, "documents"))
