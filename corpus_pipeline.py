@@ -1,26 +1,72 @@
-"""The corpus pipeline: STAGES turn the documents table into a training mix."""
+"""The corpus pipeline: STAGES turn the documents table into a training mix.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept. All
+but the last return the columns of ``documents``. Stages survive null ids and texts, repeated
+rows and empty tables as their operators define it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from batchloom.llm import language_id
+from batchloom.llm import decontaminate, language_id, mixing, private_data, similarity_join
 from batchloom.llm.common import staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is known and is the one they claim, if any."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    known = found.where("lang_pred <> 'und'")
-    return known.select(docs.columns)
+    """Keep the documents with a known language.
+
+    The model learns from the documents that name their language; one that names none gets
+    the language found. Texts without a letter have none and go.
+    """
+    found = language_id.identify(docs, language_id.fit(docs)).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: the one with the least id.
+
+    Rows that share an id stay or go together, equal ones once. A group without any id keeps
+    one row of each of its texts.
+    """
+    groups = staged(similarity_join.cluster(docs))
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
+    once = own.where("_rows = 1").drop("_rows")
+    again = own.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents in which no benchmark item was found."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep every document, personal data replaced by its kind."""
+    return private_data.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents so that sources, languages and topics have their target weights."""
+    return mixing.mixed(docs)
 
 
-STAGES = [("language_id", language)]
-#: Python models and 64-bit hashes are beyond SQL; tests hold the stages against brute force.
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing", mix),
+]
+#: Fitted models and 64-bit hashes are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table; each writes what the next one reads."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
