@@ -141,7 +141,12 @@ class Page:
                 return
 
     def kind(self, node: int) -> str:
-        return KINDS.get(self.tags[node], "box")
+        """The kind of the element, or the one its class says it stands for."""
+        kind, names = KINDS.get(self.tags[node], "box"), self.names[node]
+        aside, main = bool(names & ASIDE), bool(names & MAIN)
+        if aside != main and (aside or kind == "box"):
+            return "frame" if aside else "main"
+        return kind
 
     def features(self, node: int) -> tuple[str, ...]:
         chars, names = self.chars[node], self.names[node]
@@ -154,10 +159,6 @@ class Page:
             f"ends {min(self.ends[node], 2) if chars else -1}",
         )
 
-    def named_aside(self, node: int) -> bool:
-        names = self.names[node]
-        return self.kind(node) == "frame" or bool(names & ASIDE and not names & MAIN)
-
     def labels(self) -> list[int] | None:
         """The state of each node; nothing if the page does not say what its content is."""
         mains = [i for i, tag in enumerate(self.tags) if tag in ("article", "main")]
@@ -173,7 +174,7 @@ class Page:
             up = state[self.parents[node]]
             if node in around:
                 state.append(AROUND)
-            elif self.named_aside(node) or up != CONTENT and node != mains[0]:
+            elif self.kind(node) == "frame" or up != CONTENT and node != mains[0]:
                 state.append(BESIDE)
             else:
                 state.append(CONTENT)
@@ -194,7 +195,7 @@ def start() -> Counter:
     for kind in set(KINDS.values()):
         # Under a frame, under content, and beside: there nothing turns into content again.
         rows = {"main": (0.5, 8, 0.5), "frame": (0.1, 0.1, 8), "box": (3, 2, 2)}
-        for up, row in enumerate((rows.get(kind, (0.1, 3, 2)), (0.001, 0.2, 4) if kind == "frame" else (0.001, 20, 0.2), (1e-6, 1e-6, 50))):
+        for up, row in enumerate((rows.get(kind, (0.1, 1.5, 3)), (0.001, 0.2, 4) if kind == "frame" else (0.001, 20, 0.2), (1e-6, 1e-6, 50))):
             for state, n in zip(STATES, row):
                 counts[kind, up, state] = n
     by_kind = {"main": (0.1, 4, 0.1), "frame": (0.1, 0.1, 4), "prose": (0.1, 6, 2), "box": (6, 2, 2)}
@@ -203,10 +204,10 @@ def start() -> Counter:
             counts[f"tag {tag}", state] = n
     # Class words of asides and of main parts; text length; share of links; sentences.
     for key, *row in (
-        ("names 00", 20, 40, 20), ("names 10", 0.1, 0.1, 20), ("names 01", 4, 8, 1), ("names 11", 1, 2, 2),
-        ("chars 0", 40, 5, 10), *((f"chars {i}", 0.5, 3 + i, 8 - i) for i in range(1, 6)),
-        ("links -1", 40, 6, 8), ("links 0", 0.5, 20, 8), *((f"links {i}", 0.2, 0.5, 6) for i in range(1, 5)),
-        ("ends -1", 40, 6, 8), ("ends 0", 0.5, 3, 10), ("ends 1", 0.2, 6, 5), ("ends 2", 0.2, 10, 3),
+        ("names 00", 20, 40, 20), ("names 10", 0.1, 0.1, 20), ("names 01", 1, 8, 1), ("names 11", 1, 2, 2),
+        ("chars 0", 40, 15, 10), *((f"chars {i}", 0.5, 3 + i, 8 - i) for i in range(1, 6)),
+        ("links -1", 40, 15, 8), ("links 0", 0.5, 20, 8), *((f"links {i}", 0.2, 0.5, 6) for i in range(1, 5)),
+        ("ends -1", 40, 15, 8), ("ends 0", 0.5, 3, 10), ("ends 1", 0.2, 6, 5), ("ends 2", 0.2, 10, 3),
     ):
         for state, n in zip(STATES, row):
             counts[key, state] = float(n)
@@ -238,7 +239,7 @@ class Model:
 
     def local(self, page: Page, node: int) -> list[float]:
         """How likely the node's features are in each state."""
-        key = (*page.features(node), page.named_aside(node))
+        key = (*page.features(node), page.kind(node) == "frame")
         if key not in self.met:
             value = [math.prod(self.shown[f, s] for f in key[:-1]) for s in STATES]
             if key[-1]:

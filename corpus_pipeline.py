@@ -45,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep every document, personal data replaced by its kind."""
-    return private_data.redacted(docs)
+    """Keep every document, personal data replaced by its kind and ``n_chars`` counted anew."""
+    return private_data.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

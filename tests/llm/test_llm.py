@@ -1,0 +1,522 @@
+"""The training-data operators against plain Python, and on odd rows."""
+
+import hashlib
+import html
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from batchloom.llm import (
+    context_mixing, decontaminate, html_text, language_id, mixing, private_data, quality_model,
+    quality_rules, queries, similarity_join, token_scan,
+)
+from batchloom.llm.common import fold
+from batchloom.llm.components import components
+from tests.conftest import TESTDATA
+
+SF = str(TESTDATA / "sf0.001")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ("lang_pred", "score", "mark", "node", "token", "n", "kind", "key", "w", "words", "_w", "spans", "_id", "hashes", "row", "place", "t", "k")
+SHORT = "Call me on +1 (988) 555-2485 or write to a.b@c.example now."
+LONG = "the word of a text " * 3_000
+ODD = [
+    (1, None, "en", "s", None), (2, "", "en", "s", 0), (3, " \n\t ", None, None, 3),
+    (4, SHORT, "en", "s", 60), (4, SHORT, "en", "s", 60), (5, SHORT, None, None, None),
+    (None, SHORT, "en", "t", 1), (None, None, None, None, None), (6, LONG, "en", "t", 1),
+    (7, "1234 5678 !!", "de", "t", 1), (8, "Ein Satz über Käse.", "de", "s", 1),
+    (9, "a", "en", "s", 1), (10, "\x01\x00 É😀 x", "en", "s", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = spark.createDataFrame(ODD, DOCS)
+    return rows.withColumns({name: F.lit("clash") for name in CLASHES})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {row.doc_id: row.text or "" for row in documents.select("doc_id", "text").collect()}
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def low(text):
+    return (text or "").encode().lower().split()
+
+
+# 1: context mixing
+
+
+def check_base(found, texts, held_out):
+    known = Counter(t for i, text in texts for t in [*low(text), b""] if not held_out(i))
+    n, v = sum(known.values()), len(known)
+    want = Counter()
+    for i, text in texts:
+        own = [*low(text), b""]
+        base = sum(math.log10((known[t] + 0.5) / (n + 0.5 * (v + 1))) for t in own)
+        want[i, held_out(i), len(own), sum(t in known for t in own), n, round(base, 6)] += 1
+    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found)
+    assert got == want
+
+
+def fifth(i):
+    return zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+
+
+@pytest.mark.parametrize("common", [50, 200_000])
+def test_mixing_base(documents, texts, common):
+    found = context_mixing.scored(documents, fold(F.col("doc_id"), 5) == 1, common).collect()
+    check_base(found, list(texts.items()), fifth)
+    assert all(r.score < 0 and math.isfinite(r.score) and 0 < r.bits_per_byte < 30 for r in found)
+
+
+def test_mixing_scores_alike_however_many_tokens_are_common(documents):
+    held_out = fold(F.col("doc_id"), 5) == 1
+    learned = [context_mixing.scored(documents, held_out, n).agg(F.sum("score")).first()[0] for n in (200_000, 190_000)]
+    assert learned[0] == pytest.approx(learned[1], rel=1e-9)
+
+
+def test_spelling_is_a_distribution():
+    rng = np.random.default_rng(1)
+    model = context_mixing.Spelling(
+        rng.normal(size=(len(context_mixing.ORDERS), 1 << context_mixing.SLOT_BITS)).astype(np.float32),
+        np.full((64, len(context_mixing.ORDERS)), 0.3, np.float32),
+        rng.uniform(0.1, 0.9, (256, context_mixing.CELLS)).astype(np.float32),
+    )
+    # The first byte of a token takes each of its values; the bits of one byte sum to one.
+    total = 0.0
+    data = np.arange(256, dtype=np.uint8)
+    place = np.zeros(256, np.int64)
+    logs = np.zeros(256)
+    made = context_mixing.contexts(data, np.zeros(256, np.int64))
+    for bit, node, value in context_mixing.bits_of(data):
+        mixed = sum(model.weights[context_mixing.gates(place, bit), k] * model.odds[k][context_mixing.slots(made[k], o, node)] for k, o in enumerate(context_mixing.ORDERS))
+        mixed = np.clip(mixed, -8, 8)
+        one = (1 / (1 + np.exp(-mixed)) + model.refined[0, np.rint((mixed + 8) * 2).astype(int)]) / 2
+        logs += np.log(np.where(value == 1, one, 1 - one))
+    total = np.exp(logs).sum()
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_mixing_odd_rows(odd, empty):
+    held_out = fold(F.col("doc_id"), 5) == 1
+    found = context_mixing.scored(odd, held_out).collect()
+    check_base(found, [row[:2] for row in ODD], fifth)
+    assert context_mixing.scored(empty, held_out).count() == 0
+
+
+# 2: decontamination
+
+ITEM = "Tom had 12 apples and gave 5 apples to Anna, so how many apples are left for the school fair?"
+OTHER = "so Rob had 30 apples and gave 7 apples to Jane, so how many apples are left for the school fair? Yes."
+SWAPPED = "If Tom weighs 70 kg and Tom walks 3 km with a bag of 2 kg each day then how far is that in a week?"
+
+
+def test_templates(spark):
+    benchmark = spark.createDataFrame([(1, ITEM), (2, SWAPPED), (2, SWAPPED), (3, None), (4, "")], "item_id long, text string")
+    docs = [
+        (1, f"Before it all. {ITEM} After."), (2, f"here {OTHER}"), (3, "Nothing of this kind is here at all, just words."),
+        (4, SWAPPED.replace("70", "71").replace("3 km", "9 km")), (5, SWAPPED.replace("Tom walks", "Ann walks")),
+        (6, None), (7, ""), (1, f"Before it all. {ITEM} After."), (None, ITEM), (8, "apples are left for the school fair"),
+    ]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("window", F.lit(1)).withColumn("k", F.lit(2))
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(rows, benchmark).collect()}
+    # Document 5 lets one name of the item stand for two.
+    assert set(found) == {(1, 1), (2, 1), (4, 2), (None, 1)}
+    assert found[2, 1].reparameterised and found[4, 2].reparameterised and not found[1, 1].reparameterised
+    assert sorted(r.doc_id for r in decontaminate.clean(rows, benchmark).collect()) == [3, 5, 6, 7, 8]
+
+
+def test_exact_passages_are_found(spark, documents, texts):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r.item_id: r.text for r in benchmark.collect()}
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, benchmark).collect()}
+    exact = {(i, j) for i, text in texts.items() for j, item in items.items() if item in text}
+    assert exact <= found
+    assert all(items[j].lower() in texts[i].lower() for i, j in found)
+
+
+def test_templates_odd_rows(spark, odd, empty):
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(odd, benchmark).count() == 0
+    assert decontaminate.clean(odd, benchmark).count() == len(ODD)
+    assert decontaminate.contaminated(empty, empty.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+# 3: quality rules
+
+
+def counts(text):
+    own = words(text)
+    windows = Counter(zip(own, own[1:], own[2:]))
+    covered = {j for i in range(len(own) - 2) if windows[tuple(own[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    seen, again = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    failed = len(own) < 50 or 100 * len(covered) > 50 * len(own)
+    return len(own), sum(map(len, own)), len(re.findall(r"[#*$%&|<>]", text or "")), again, len(covered), failed
+
+
+def test_rule_counts(spark, texts):
+    found = queries.QUERIES["op3_quality_rules"](spark, SF).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        own = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        assert own == counts(texts[r.doc_id])
+        assert not (r.base_failed and r.kept)
+
+
+@pytest.mark.parametrize("which", ["rules", "model"])
+def test_quality_against_labels(spark, which):
+    sf = str(TESTDATA / "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = quality_rules.judged(docs) if which == "rules" else quality_model.judged(docs, quality_model.fit(docs))
+    if which == "rules":
+        found = found.where("not base_failed")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rates = {r.quality: r.kept for r in found.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert rates[1] > 0.97 and rates.get(0, 0) < 0.05
+
+
+def test_quality_odd_rows(odd, empty):
+    for row in quality_rules.judged(odd).collect():
+        assert row.n_words >= 0 and row.kept is not None
+    want = Counter((i, counts(text)) for i, text, *_ in ODD)
+    assert Counter((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in quality_rules.judged(odd).collect()) == want
+    scored = quality_model.judged(odd, quality_model.fit(odd)).collect()
+    assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
+    assert all(r.score == 0 for r in scored if r.doc_id in (1, 2, 3))
+    assert quality_rules.judged(empty).count() == 0
+    assert quality_model.judged(empty, quality_model.fit(empty)).count() == 0
+
+
+# 5: language
+
+
+def test_language_held_out(spark):
+    sf = str(TESTDATA / "sf0.01")
+    found = queries.QUERIES["op5_language_id"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right = found.where("held_out and lang is not null").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.97
+
+
+def test_language_backs_off():
+    model = language_id.Model(["aa", "bb"], {"cat": 0}, {"do": 1, "g": 2}, np.array([[1.0, 3.0], [4.0, 1.0], [1.0, 9.0]]), np.array([0.4, 0.6]))
+    scorer = language_id.Scorer(model)
+    assert scorer.predict("cat")[0] == "aa"
+    assert scorer.predict("dog")[0] == "bb"  # "do" is known, so "g" is not asked
+    assert scorer.predict("g")[0] == "aa"
+    assert scorer.predict("zzz") == ("bb", 0.6)
+    assert scorer.predict("12 -") == ("und", 0.0) == scorer.predict(None)
+
+
+def test_language_odd_rows(odd, empty):
+    model = language_id.fit(odd)
+    found = language_id.identify(odd, model)
+    assert Counter(found.columns) == Counter([c for c in odd.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"])
+    for r in found.collect():
+        letters = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
+        assert r.lang_pred in ("en", "de", "und")
+    assert language_id.identify(empty, language_id.fit(empty)).count() == 0
+    assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(empty)).collect()} == {"und"}
+
+
+# 6: mixing
+
+
+def test_margins(spark, documents):
+    measured = documents.select(
+        F.coalesce("source", F.lit("(none)")).alias("source"), F.coalesce("lang", F.lit("(none)")).alias("lang"),
+        mixing.topic(F.col("text")).alias("topic"), mixing.token_count(F.col("text")).alias("tokens"),
+    )
+    table = mixing.cells(measured)
+    targets = mixing.default_targets(table)
+    raked = mixing.rake(table, targets).toPandas()
+    assert raked.tokens.sum() == sum(len(words(r.text)) for r in documents.collect())
+    for d in ("source", "lang"):
+        want = targets[d].toPandas().set_index("label").share
+        have = (raked.tokens * raked.weight).groupby(raked[d]).sum()
+        assert (have / have.sum() - want / want.sum()).abs().max() < 0.01
+
+
+def test_draw_follows_rates(documents):
+    many = documents.select("doc_id", "text", "lang", "source").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    many = many.withColumn("doc_id", F.col("doc_id") * 20 + F.col("i"))
+    drawn = mixing.mixed(many, share=0.7)
+    tokens = drawn.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
+    whole = many.agg(F.sum(mixing.token_count(F.col("text")))).first()[0]
+    assert tokens / whole == pytest.approx(0.7, abs=0.03)
+    assert drawn.where("copies not in (floor(rate), floor(rate) + 1)").count() == 0
+
+
+def test_given_targets(spark, documents):
+    targets = {"lang": spark.createDataFrame([("en", 0.5), ("de", 0.5), ("xx", 3.0)], "label string, share double")}
+    drawn = mixing.mixed(documents.where("lang in ('en', 'de')"), targets)
+    rate = drawn.groupBy("lang").agg(F.first("rate").alias("r")).collect()
+    assert len(rate) == 2
+
+
+def test_mixing_rows_odd(odd, empty):
+    drawn = mixing.mixed(odd)
+    assert [c for c in drawn.columns if c in CLASHES] == list(CLASHES)
+    same = {(r.doc_id, r.copies) for r in drawn.where("doc_id = 4").collect()}
+    assert len(same) <= 1
+    assert mixing.mixed(empty).count() == 0
+
+
+# 7: personal data
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    pairs = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(x - 9 * (x > 9) for x in pairs) % 10 == 0
+
+
+def base(text):
+    tests = {
+        "email": lambda v: True, "ip": lambda v: all(int(x) <= 255 for x in v.split(".")),
+        "card": lambda v: 16 <= len(d := re.sub("[^0-9]", "", v)) <= 19 and luhn(d),
+        "phone": lambda v: 8 <= len(re.sub("[^0-9]", "", v)) <= 15,
+    }
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if tests[k](m[0])]
+
+
+TRICKY = [
+    "", None, "a@b.c@d.e_x@f.g", "a@b.c_x@y.z", "1.2.3.4.5.6.7.8", "256.1.1.1 0001.02.3.4 99999999999999999999.1.1.1",
+    "4111 1111 1111 1111 4111-1111-1111-1111", "+1 (988) 555-2485 +12 +1234567", "é😀 mail: ñ.x@y.com, x@y..com +x@a-b.co",
+    "%%%@-.-.-", "a" * 3_000 + "@b.c" + ".d" * 3_000, ".".join(["1"] * 999), "@@@ + ++1 23456789 1-2-3",
+]
+
+
+def test_base_spans(spark, documents, texts):
+    more = spark.createDataFrame([(10**9 + i, x) for i, x in enumerate(TRICKY)], "doc_id long, text string")
+    rows = documents.select("doc_id", "text").unionByName(more)
+    found = private_data.digest(private_data.find(rows)).collect()
+    own = texts | {10**9 + i: x for i, x in enumerate(TRICKY)}
+    assert len(found) == len(own)
+    for r in found:
+        want = base(own[r.doc_id])
+        written = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in want) for x in PATTERNS]
+        assert set(filter(None, written.split(","))) <= set(r.spans.split(","))
+
+
+def test_contexts_find_more(spark):
+    seeds = [(i, f"word{i % 7} please call me at +1 555 01{i:02d} 99{i:02d} or else") for i in range(40)]
+    rows = [*seeds, (100, "x please call me at 555-0100-7788 or else"), (101, "in the year 1999-2000-2001 it was"), (102, None)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in private_data.digest(private_data.find(rows)).collect()}
+    start = "x please call me at ".index("at ") + 3
+    assert found[100].spans == f"phone:{start}:{start + 13}" and found[100].n_phone == 0
+    assert found[101].spans == "" and found[102].spans == ""
+    clean = {r.doc_id: r.text for r in private_data.redacted(rows).collect()}
+    assert clean[100] == "x please call me at [PHONE] or else"
+    assert clean[0] == "word0 please call me at [PHONE] or else" and clean[102] is None
+
+
+def test_personal_data_odd_rows(odd, empty):
+    assert private_data.find(odd).count() == len(ODD)
+    clean = private_data.redacted(odd)
+    assert clean.columns == odd.columns and clean.count() == len(ODD)
+    assert {r.text for r in clean.where("doc_id in (4, 5)").collect()} == {"Call me on [PHONE] or write to [EMAIL] now."}
+    assert private_data.redacted(empty).count() == 0
+
+
+# 8: token counts
+
+
+@pytest.mark.parametrize("block", [2, 30, 1 << 20])
+def test_scan_stitches_blocks(spark, documents, texts, tmp_path, block):
+    import tiktoken
+
+    encoding = tiktoken.Encoding("own", pat_str=token_scan.SPLIT, mergeable_ranks=token_scan.ranks(token_scan.VOCABULARY), special_tokens={})
+    rows = documents.where("length(text) < 300").select("doc_id", "text").repartition(3, "doc_id")
+    path = str(tmp_path / "flat")
+    token_scan.write(rows, path)
+    found = token_scan.blocks(spark, path, block)
+    lengths = token_scan.scan(found).orderBy("part", "place").select("n_tokens")
+    ids = [r.doc_id for r in token_scan.order(rows).orderBy("part", "place").collect()]
+    assert [r.n_tokens for r in lengths.collect()] == [len(encoding.encode_ordinary(texts[i])) for i in ids]
+    assert token_scan.open_tokens(found).count() == 0
+
+
+def test_scan_by_hand(spark, tmp_path):
+    end = token_scan.END
+    # An end id's bytes across two ids (0x50 | 0xC4) are no end.
+    ids = [end, 1, 2, 3, end, end, 0x5001, 0x02C4, end, 7, 8]
+    (tmp_path / "part-00004.bin").write_bytes(np.array(ids, "<u2").tobytes())
+    for block in (2, 4, 6, 100):
+        found = token_scan.blocks(spark, str(tmp_path), block)
+        assert [(r.part, r.place, r.n_tokens) for r in token_scan.scan(found).orderBy("place").collect()] == [(4, 0, 0), (4, 1, 3), (4, 2, 0), (4, 3, 2)]
+        assert [tuple(r) for r in token_scan.open_tokens(found).collect()] == [(4, 2)]
+
+
+def test_scan_odd_rows(odd, empty):
+    found = token_scan.counted(odd).collect()
+    assert len(found) == len(ODD)
+    assert all((r.n_tokens == 0) == (r.doc_id in (1, 2)) for r in found if r.doc_id is not None)
+    assert token_scan.counted(empty).count() == 0
+
+
+# 9: similarity join
+
+
+def shingles(text):
+    own = low(text)
+    return frozenset(zip(*(own[k:] for k in range(5)))) if len(own) >= 5 else frozenset([tuple(own)] if own else [])
+
+
+def brute(rows):
+    """n_shingles and component of each row, by all pairs."""
+    sets = [shingles(text) for _, text in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared and 100 * shared >= 80 * len(sets[a] | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    return Counter((i, len(s), least.get(g) if s else i) for (i, _), s, g in zip(rows, sets, group))
+
+
+def joined(docs):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in similarity_join.cluster(docs).collect())
+
+
+def test_join_against_all_pairs(documents, texts):
+    assert joined(documents) == brute(list(texts.items()))
+
+
+def test_join_near_copies(spark):
+    rng = np.random.default_rng(3)
+    rows, stem = [], [f"w{i}" for i in range(120)]
+    for i in range(150):
+        own = list(stem if i % 3 else [f"v{j}" for j in range(90)])
+        for j in rng.choice(len(own), int(rng.integers(0, 5)), replace=False):
+            own[j] = f"x{rng.integers(0, 9)}"
+        rows.append((int(i) + 1, " ".join(own)))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_join_odd_rows(odd, empty):
+    assert joined(odd) == brute([row[:2] for row in ODD])
+    assert similarity_join.cluster(empty).count() == 0
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 100), (101, 100), (200, 200)]
+    found = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 200: 200}
+
+
+# 10: pages
+
+
+def test_pages_text(spark):
+    found = {r.page_id: r for r in queries.QUERIES["op10_html_extraction"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inside = r.html.split("<article>")[1].split("</article>")[0].replace("<br>", " ")
+        blocks = (" ".join(html.unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split("</?(?:p|h1)>", inside))
+        assert found[r.page_id].text == "\n".join(filter(None, blocks))
+        assert found[r.page_id].n_chars == len(found[r.page_id].text)
+
+
+PAGES = {
+    None: "", "": "", "plain &amp; simple\n text": "plain & simple text",
+    '<body><div class="sidebar"><p>Buy this now. It is cheap.</p></div><div class="content"><h2>Hi</h2><p>A long '
+    "sentence of text here. And another.</p><p>More text, to <a href=x>read</a> on. Good.</p></div>": (
+        "Hi\nA long sentence of text here. And another.\nMore text, to read on. Good."
+    ),
+    "<nav><a href=x>One</a></nav><main><h1>T &lt;x&gt;</h1><p>Para one is here. It goes on.<!-- no --></p><form><p>Name</p></form>"
+    "<script>var x = '<p>';</script><section class='comments'><p>First post! So good. Thanks.</p></section></main><footer>End.": (
+        "T <x>\nPara one is here. It goes on."
+    ),
+}
+
+
+def test_pages_odd_rows(spark):
+    rows = spark.createDataFrame([(i, "u", x, "clash") for i, x in enumerate(PAGES)], "page_id long, url string, html string, text string")
+    model = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    found = {r.page_id: r.text for r in html_text.extracted(rows, model).collect()}
+    assert found == dict(enumerate(PAGES.values()))
+    assert html_text.extracted(rows.limit(0), html_text.fit(rows.limit(0))).count() == 0
+    html_text.main_text(model, "<div>" * 5_000 + "deep")
+
+
+def test_marginals_are_exact():
+    """Against the sum over all states of a small tree."""
+    from itertools import product
+
+    model = html_text.Model(Counter())
+    page = html_text.Page("<div><p>Some text. More.</p><ul><li><a>x</a><li>long enough text here.</ul></div>")
+    n, total, content = len(page.tags), 0.0, [0.0] * len(page.tags)
+    for state in product(html_text.STATES, repeat=n - 1):
+        state = (0, *state)
+        weight = math.prod(
+            model.edge[page.kind(i)][state[page.parents[i]]][state[i]] * model.local(page, i)[state[i]] for i in range(1, n)
+        )
+        total += weight
+        for i in range(n):
+            content[i] += weight * (state[i] == html_text.CONTENT)
+    assert model.marginals(page) == pytest.approx([x / total for x in content])
+
+
+# the pipeline
+
+
+def test_pipeline(spark, documents, texts):
+    docs, kept = documents, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+    columns = documents.columns
+    assert docs.columns[: len(columns)] == columns
+    assert set(kept["language_id"]) == {i for i, x in texts.items() if any(c.isalpha() for c in x)}
+    groups = brute([(i, texts[i]) for i in kept["language_id"]])
+    assert set(kept["near_duplicates"]) == {c for _, _, c in groups}
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    gone = set(kept["near_duplicates"]) - set(kept["decontamination"])
+    assert gone == {i for i in kept["near_duplicates"] if any(x.lower() in texts[i].lower() for x in items)}
+    assert set(kept["personal_data"]) == set(kept["decontamination"])
+    assert not any(base(r.text) for r in kept["personal_data"].values())
+    assert set(kept["mixing"]) <= set(kept["personal_data"])
+
+
+def test_pipeline_odd_rows(spark, odd, empty):
+    for rows in (odd.drop(*CLASHES), empty):
+        for _, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, SF)
+        rows.collect()
