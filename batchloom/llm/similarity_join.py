@@ -43,8 +43,8 @@ from batchloom.llm.components import components
 SHINGLE = 5
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Hash buckets of the frequency table; four bytes each.
-BUCKET_BITS = 20
+#: Hash buckets of the frequency table; two bytes each where it is sent to tasks.
+BUCKET_BITS = 23
 #: Pieces in which tasks hand in their frequency tables.
 PIECES = 64
 #: A token of a bucket beyond this count is spread by Spark's joins, not packed.
@@ -349,8 +349,12 @@ def cluster(docs: DataFrame) -> DataFrame:
     # Packs of common tokens (part -1) are dealt out anyhow; they pass through.
     dealt = packed.repartition(ranges, F.when(F.col("part") < 0, F.xxhash64("nodes")).otherwise(F.col("part")))
     found = staged(dealt.mapInArrow(_shared, "token long, node long"))
-    hubs = found.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    shared = staged(found.join(hubs.select("token", "hub"), "token").distinct())
+    hubs = found.groupBy("token").agg(
+        F.min("node").alias("hub"), F.max("node").alias("last"), (F.count("*") > 2).alias("more")
+    )
+    hubs = hubs.where("hub < last").drop("last")
+    # A hub's own row is not needed: every pair with it is a pair of the star.
+    shared = staged(found.join(hubs, "token").where("node <> hub").distinct())
     links = verified(star_pairs(shared, nodes), nodes, texts, seed)
     labels = components(links)
     more = verified(open_pairs(shared, nodes, labels), nodes, texts, seed)
@@ -360,7 +364,7 @@ def cluster(docs: DataFrame) -> DataFrame:
 def star_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each node with the hub of each of its tokens, where the filters let the pair pass."""
     about = nodes.select("node", "n", "bitmap")
-    pairs = shared.where("node <> hub").select("node", "hub").distinct().join(about, "node").alias("x")
+    pairs = shared.select("node", "hub").distinct().join(about, "node").alias("x")
     pairs = pairs.join(about.alias("y"), (F.col("x.hub") == F.col("y.node")) & near("x", "y"))
     return pairs.select(F.col("x.hub").alias("a"), F.col("x.node").alias("b"))
 
@@ -369,7 +373,8 @@ def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFr
     """Pairs with a common token and no common component that the filters let pass."""
     about = nodes.select("node", "n", "bitmap").join(labels, "node", "left")
     about = about.withColumn("comp", F.coalesce("comp", "node"))
-    every = staged(shared.join(about, "node"))
+    # Where a token has one node beside its hub, their pair is settled.
+    every = staged(shared.where("more").drop("more").join(about, "node"))
     of_hub = about.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
     # One side holds the nodes outside the component of the token's hub: nodes of a large
     # group of near copies never meet each other here.
