@@ -70,36 +70,48 @@ def round_money(value: Column) -> Column:
     return F.round(value, 2)
 
 
-def _units(value: Column) -> Column:
-    """Whole units of an amount; NULL where there are none, as for NaN."""
-    return value.try_cast("long")
+# Cents up to here are whole numbers that a DOUBLE holds with room to round.
+_MOST_CENTS = float(1 << 50)
+# Sums of 18-bit parts of the cents stay within BIGINT for 2^45 rows.
+_PART_BITS = 18
 
 
-def _rest(value: Column) -> Column:
-    return value - F.coalesce(_units(value), F.lit(0))
+def _is_amount(value: Column) -> Column:
+    """Whether whole cents hold the value: not so for NaN, infinities and beyond 2^50 cents."""
+    return F.abs(value * 100) < _MOST_CENTS
 
 
-def _hundredths(value: Column) -> Column:
-    return F.rint(_rest(value) * 100).try_cast("long")
+def _cents(value: Column) -> Column:
+    return F.when(_is_amount(value), F.rint(value * 100).cast("long"))
 
 
 def _sum_of_cents(value: Column) -> Column:
-    """Whole cents as a decimal. Both sums are BIGINT, so rows are added without error."""
-    units, hundredths = F.sum(_units(value)), F.sum(_hundredths(value))
-    return F.coalesce(units, F.lit(0)).cast("decimal(20,0)") * 100 + F.coalesce(
-        hundredths, F.lit(0)
-    )
+    """Whole cents as a decimal: three sums of BIGINT parts, so rows are added without error."""
+    cents, mask = _cents(value), F.lit((1 << _PART_BITS) - 1)
+    parts = [
+        cents.bitwiseAND(mask),
+        F.shiftright(cents, _PART_BITS).bitwiseAND(mask),
+        F.shiftright(cents, 2 * _PART_BITS),
+    ]
+    sums = [F.coalesce(F.sum(part), F.lit(0)).cast("decimal(20,0)") for part in parts]
+    scales = [F.lit(Decimal(1 << (_PART_BITS * i))) for i in range(len(parts))]
+    return sums[0] * scales[0] + sums[1] * scales[1] + sums[2] * scales[2]
+
+
+def _sum_beyond_cents(value: Column) -> Column:
+    """Sum of the values that are no amounts, as DOUBLE; 0 where there are none."""
+    return F.coalesce(F.sum(F.when(~_is_amount(value), value)), F.lit(0.0))
 
 
 def accurate_sum(value: Column) -> Column:
     """Sum of a DOUBLE column whose error does not grow with the number of rows.
 
     A plain DOUBLE sum of a few million prices is already off by whole cents, and by
-    different ones in each run. Here units and cents are summed as whole numbers; only
-    what lies below a cent, which is next to nothing for amounts of money, is summed as
-    DOUBLE. Infinities and NaN go into that sum whole.
+    different ones in each run. Here cents are summed as whole numbers; only what lies
+    below a cent, which is next to nothing for amounts of money, is summed as DOUBLE.
+    Values beyond 2^50 cents, infinities and NaN go into that sum whole.
     """
-    below = F.sum(_rest(value) - F.coalesce(_hundredths(value), F.lit(0)) / 100)
+    below = F.sum(value - F.coalesce(_cents(value), F.lit(0)) / 100)
     return (_sum_of_cents(value) / 100).cast("double") + below
 
 
@@ -108,12 +120,22 @@ def accurate_average(value: Column) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum of two-place amounts, each taken as whole cents."""
-    return F.when(F.count(value) > 0, (_sum_of_cents(value) / 100).cast("double"))
+    """Sum of two-place amounts, each taken as whole cents.
+
+    Values that are no amounts are added as DOUBLE, so nothing that is counted is left out.
+    """
+    total = (_sum_of_cents(value) / 100).cast("double") + _sum_beyond_cents(value)
+    return F.when(F.count(value) > 0, total)
 
 
 def exact_average(value: Column) -> Column:
-    """Average of two-place amounts, rounded half up on the exact quotient."""
+    """Average of two-place amounts, rounded half up on the exact quotient.
+
+    With values that are no amounts it is the quotient of the DOUBLE sum.
+    """
     total, rows = _sum_of_cents(value), F.count(value)
+    whole = F.count_if(~_is_amount(value)) == 0
     rounded = F.call_function("div", F.abs(total) * 2 + rows, rows * 2)
-    return F.when(rows > 0, F.signum(total) * rounded / 100)
+    return F.when((rows > 0) & whole, F.signum(total) * rounded / 100).when(
+        rows > 0, exact_sum(value) / rows
+    )

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from batchloom import fixed_values as fixed
 from batchloom.functions.expressions import line_total_of, quantity_band_of
+from batchloom.sources.catalog import quoted
 
 
 def tag_batch(df: DataFrame, batch_id: str) -> DataFrame:
     """Put one constant batch id on every row, as the first column."""
-    rest = [F.col(f"`{name}`") for name in df.columns if name != "batch_id"]
+    rest = [F.col(quoted(name)) for name in df.columns if name != "batch_id"]
     return df.select(F.lit(batch_id).alias("batch_id"), *rest)
 
 

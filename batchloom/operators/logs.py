@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from batchloom import fixed_values as fixed
 from batchloom.operators.checks import expect_positive
-from batchloom.operators.ordering import sort_rows
+from batchloom.operators.ordering import free_name, sort_rows
 from batchloom.operators.status import failed_rows
-
-# Spark's default limit for dropping rows of a ranked group before the shuffle.
-_DROPPED_BEFORE_SHUFFLE = 1000
+from batchloom.sources.catalog import quoted
 
 
 def tail_lines(
@@ -22,30 +20,32 @@ def tail_lines(
     order: Sequence[str] = ("ts",),
     *,
     source: str = "source",
-    split: int = 200,
+    split: int | None = None,
 ) -> DataFrame:
     """The last ``n`` lines of each source.
 
-    ``order`` must order the lines of a source fully. Two rounds keep a source with any
-    share of the lines out of a single task: each source is first cut into up to ``split``
-    parts by input partition, and only the last ``n`` lines of every part meet in the
-    second round. In both rounds each task drops all but its own last ``n`` lines per
-    group before the shuffle. Spark does that for short tails only; a longer one takes a
-    round per input partition first, so that no group exceeds what one task has read.
+    Lines alike in ``order`` are put in order by all other columns, so the result does not
+    depend on how the log is laid out. Three rounds keep a source with any share of the
+    lines out of a single task: each input partition keeps its own last ``n`` lines of a
+    source; those are cut into up to ``split`` parts (as many as the session's shuffle
+    partitions, unless given), whose last ``n`` lines meet in the last round.
     """
+    split = split or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     expect_positive(n=n, split=split)
-    newest = [F.desc_nulls_last(column) for column in order]
-    lines = log.withColumn("__task", F.spark_partition_id())
-    if n > _DROPPED_BEFORE_SHUFFLE:
-        lines = _first_rows(lines, [source, "__task"], newest, n)
-    lines = lines.withColumn("__part", F.pmod("__task", F.lit(split))).drop("__task")
-    last_of_part = _first_rows(lines, [source, "__part"], newest, n).drop("__part")
-    return _first_rows(last_of_part, [source], newest, n)
+    rest = [name for name in log.columns if name not in order and name != source]
+    newest = [F.desc_nulls_last(quoted(name)) for name in [*order, *rest]]
+    task, part = free_name(log, "task"), free_name(log, "part")
+    lines = log.withColumn(task, F.spark_partition_id())
+    lines = _first_rows(lines, [source, task], newest, n)
+    lines = lines.withColumn(part, F.pmod(task, F.lit(split))).drop(task)
+    lines = _first_rows(lines, [source, part], newest, n).drop(part)
+    return _first_rows(lines, [source], newest, n)
 
 
 def _first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    place = free_name(df, "rank")
+    rank = F.row_number().over(Window.partitionBy(*map(quoted, keys)).orderBy(*order))
+    return df.withColumn(place, rank).filter(F.col(place) <= n).drop(place)
 
 
 def object_events(events: DataFrame, obj: str | None = None) -> DataFrame:

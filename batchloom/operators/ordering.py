@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Input partition ids stay the same when a task is run again; random numbers would not.
-_PART = "__part"
+from batchloom.sources.catalog import quoted
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not use."""
+    taken = {name.lower() for name in df.columns}
+    return next(name for i in count() if (name := f"{stem}_{i}") not in taken)
 
 
 def sort_rows(df: DataFrame, column: str, *, descending: bool = False) -> DataFrame:
@@ -18,8 +25,10 @@ def sort_rows(df: DataFrame, column: str, *, descending: bool = False) -> DataFr
     copies of one row do not meet in a single task. NULLs come first ascending and last
     descending.
     """
-    parted = df.withColumn(_PART, F.spark_partition_id())
-    return parted.orderBy(*_sort_keys(df, column, descending), _PART).drop(_PART)
+    part = free_name(df, "part")
+    # Input partition ids stay the same when a task is run again; random numbers would not.
+    parted = df.withColumn(part, F.spark_partition_id())
+    return parted.orderBy(*_sort_keys(df, column, descending), part).drop(part)
 
 
 def top_k(df: DataFrame, k: int, column: str, *, descending: bool = True) -> DataFrame:
@@ -31,21 +40,26 @@ def top_k(df: DataFrame, k: int, column: str, *, descending: bool = True) -> Dat
 
 
 def _sort_keys(df: DataFrame, column: str, descending: bool) -> list[Column]:
-    first = F.desc_nulls_last(column) if descending else F.asc_nulls_first(column)
-    return [first, *(F.asc_nulls_first(name) for name in df.columns if name != column)]
+    by = F.desc_nulls_last if descending else F.asc_nulls_first
+    rest = [F.asc_nulls_first(quoted(name)) for name in df.columns if name != column]
+    return [by(quoted(column)), *rest]
 
 
 def repartition_by(
-    df: DataFrame, partitions: int, column: str, *, split_hot: int = 1
+    df: DataFrame, partitions: int | None, column: str, *, split_hot: int = 1
 ) -> DataFrame:
-    """Hash rows by ``column`` into a fixed number of partitions.
+    """Hash rows by ``column`` into partitions; without a number, as many as the data need.
 
-    With ``split_hot`` above 1 the rows of one key go to up to that many partitions,
-    chosen by the input partition they come from, so one key with a third of all rows does
-    not end up in a single task. Use it only to spread rows; an aggregate needs no
-    repartition at all.
+    With ``split_hot`` above 1 the rows of one key are dealt to that many pieces by a hash
+    of the whole row and its input partition, so one key with a third of all rows does not
+    end up in a single task, however few the input partitions are. Pieces are hashed to
+    partitions, so several times as many pieces as partitions give even ones. Use it only to
+    spread rows; an aggregate needs no repartition at all.
     """
+    number = [] if partitions is None else [partitions]
     if split_hot == 1:
-        return df.repartition(partitions, column)
-    part = F.pmod(F.spark_partition_id(), F.lit(split_hot))
-    return df.withColumn(_PART, part).repartition(partitions, column, _PART).drop(_PART)
+        return df.repartition(*number, quoted(column))
+    piece = free_name(df, "piece")
+    row = F.xxhash64(*(F.col(quoted(name)) for name in df.columns), F.spark_partition_id())
+    split = df.withColumn(piece, F.pmod(row, F.lit(split_hot)))
+    return split.repartition(*number, quoted(column), piece).drop(piece)

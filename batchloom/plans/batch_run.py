@@ -11,12 +11,13 @@ from batchloom import fixed_values as fixed
 from batchloom import schemas
 from batchloom.operators.aggregate import summarise
 from batchloom.operators.checks import expect_count, expect_schema
-from batchloom.operators.enrich import enrich
+from batchloom.operators.enrich import enrich, tag_batch
 from batchloom.plans.staging import stage
 from batchloom.sinks.tables import (
     DEFAULT_FORMAT,
-    append_batch,
+    append,
     ensure_table,
+    expect_new_batch,
     new_batch_id,
     partitions_last,
     read_batch,
@@ -36,7 +37,7 @@ class RunTables:
     events_location: str
     summary_location: str
     fmt: str = DEFAULT_FORMAT
-    partition_events_by_batch: bool = False
+    partition_events_by_batch: bool = True
 
 
 @dataclass(frozen=True)
@@ -70,10 +71,10 @@ def run_batch(
 ) -> RunReport:
     """Append ``events`` as a batch, publish its audited summary and read that back.
 
-    The input is read twice: once to write it, once to summarise it. The rows written are
-    counted during the write; the summary is computed once, staged and audited against
-    that count (and against the expected numbers, where given) before it is published, so
-    a failed check leaves the summary table unchanged.
+    The batch is written once to the shared folder, counted on the way and summarised there.
+    Only when its id is new, its rows and groups are as many as expected and the summary
+    accounts for every row does it reach the input table, and its summary the summary table.
+    So a rejected run leaves both tables as they were.
     """
     by_batch = ["batch_id"] if tables.partition_events_by_batch else []
     input_schema = partitions_last(schemas.EVENTS, by_batch)
@@ -81,20 +82,26 @@ def run_batch(
     ensure_table(spark, tables.summary, schemas.SUMMARY, tables.summary_location, tables.fmt)
     resolve_tables(spark, [tables.events, tables.summary])
 
+    if batch_id is not None:
+        expect_new_batch(spark, tables.events, batch_id)
+    batch_id = batch_id or new_batch_id()
     written = Observation()
     counted = events.observe(written, F.count(F.lit(1)).alias("rows"))
-    batch_id = append_batch(counted, tables.events, batch_id or new_batch_id())
+    batch = stage(tag_batch(counted, batch_id))
     rows = written.get["rows"]
     if expected_rows is not None:
         expect_count("rows written", rows, expected_rows)
 
-    enriched = expect_schema(enrich(read_batch(spark, tables.events, batch_id)), fixed.ENRICHED_TYPES)
+    enriched = expect_schema(enrich(batch), fixed.ENRICHED_TYPES)
     summary = stage(summarise(enriched))
     found = audit(summary).first()
     expect_count("rows summarised", found["input_rows"], rows)
     if expected_groups is not None:
         expect_count("summary groups", found["group_count"], expected_groups)
 
+    append(batch, tables.events)
+    kept = read_batch(spark, tables.events, batch_id)
+    expect_count("rows appended", kept.count(), rows)
     write_summary(summary, tables.summary)
     saved = read_summary(spark, tables.summary, batch_id)
     expect_count("saved summary rows", saved.count(), found["group_count"])

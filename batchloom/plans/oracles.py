@@ -67,10 +67,7 @@ def _generated(id_: str) -> str:
     """
 
 
-_RANGE = f"""
-    select {_generated('id')}
-    from (select unnest(range((select count(*) from lineitem))) as id)
-"""
+_RANGE = f"select {_generated('o_orderkey')} from (select distinct o_orderkey from orders)"
 
 _PHASE = """
     case event_type when 'error' then 'Failed' when 'signup' then 'Pending'
@@ -172,7 +169,12 @@ ORACLES: dict[str, str] = {
         select event_id, category, quantity, unit_price, line_total
         from ({_B}) where line_total >= 1000
     """,
-    "filter_batch": f"select * from ({_BOTH}) where batch_id = 'b2'",
+    "filter_batch": """
+        select l_linestatus as batch_id, l_orderkey as event_id
+        from lineitem where l_linestatus = 'F'
+        union all
+        select o_orderstatus, o_orderkey from orders where o_orderstatus = 'F'
+    """,
     "summary_by_category": f"""
         select batch_id, category, {_MEASURES}, round(avg(unit_price), 2) as average_price
         from ({_B}) group by 1, 2
@@ -267,6 +269,10 @@ ORACLES: dict[str, str] = {
         "select 'y' || year(ts) as source, ts, event_id, props as line from events", 80
     ),
     "object_events": f"select object, type, reason, message from ({_OBJECT_EVENTS})",
+    "one_object_events": f"""
+        select type, reason, message from ({_OBJECT_EVENTS})
+        where object = (select min(object) from ({_OBJECT_EVENTS}))
+    """,
     "failed_object_events": f"""
         select object, type, reason, message from ({_OBJECT_EVENTS})
         where object in ({_FAILED_WORKERS})

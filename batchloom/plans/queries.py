@@ -88,34 +88,47 @@ def external_table_scan(spark, sf_dir):
 def sql_table_scan(spark, sf_dir):
     """Projection, CASE and parametrised filter in SQL over a two-part table name."""
     table = _fresh_table(spark, schemas.EVENTS)
-    sink.append(given.event_batch(spark, sf_dir), table)
+    sink.append_batch(given.event_rows(spark, sf_dir), table, "b1")
+    sink.append_batch(given.order_rows(spark, sf_dir), table, "b2")
     return spark.sql(
         """
         SELECT event_id, category, CAST(quantity AS DOUBLE) * unit_price AS line_total,
-               CASE WHEN quantity >= :bulk THEN 'bulk' ELSE 'standard' END AS quantity_band
+               CASE WHEN quantity >= :limit THEN :above ELSE :below END AS quantity_band
         FROM IDENTIFIER(:t) WHERE batch_id = :b
         """,
-        args={"t": table, "b": "b1", "bulk": fixed.BULK_FROM},
+        args={
+            "t": table, "b": "b1",
+            "limit": fixed.BULK_FROM, "above": fixed.BULK, "below": fixed.STANDARD,
+        },
     )
 
 
 @query
 def zero_row_probe(spark, sf_dir):
-    return given.read(spark, sf_dir, "lineitem").limit(0)
+    """A registered table resolved by name, without reading a row."""
+    database, _ = _fresh_database(spark)
+    schema = given.read(spark, sf_dir, "lineitem").schema
+    sink.ensure_table(spark, f"{database}.lineitem", schema, f"{sf_dir}/lineitem.parquet")
+    return catalog.probe(spark, f"{database}.lineitem")
+
+
+def _generated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated rows whose ids are order keys."""
+    orders = given.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"))
+    last = orders.agg(F.max("event_id")).first()[0]
+    return generate_batch(spark, (last or 0) + 1).join(orders, "event_id", "left_semi")
 
 
 @query
 def generate_rows(spark, sf_dir):
-    """As many generated rows as there are line items."""
-    rows = given.read(spark, sf_dir, "lineitem").count()
-    return generate_batch(spark, max(rows, 1))
+    """Generated rows up to the last order key, kept where an order has the id."""
+    return _generated_orders(spark, sf_dir)
 
 
 @query
 def generate_summary(spark, sf_dir):
-    """Summary of a generated batch with as many rows as there are line items."""
-    rows = given.read(spark, sf_dir, "lineitem").count()
-    batch = generate_batch(spark, max(rows, 1), batch_id="b1")
+    """Summary of the generated rows that are orders."""
+    batch = tag_batch(_generated_orders(spark, sf_dir), "b1")
     return summarise(enrich(batch), average=True, exact=True)
 
 
@@ -128,11 +141,12 @@ def events_from_keys(spark, sf_dir):
 
 @query
 def literal_rows_append(spark, sf_dir):
-    """The sample rows appended behind a large batch; all batches summarised."""
+    """The sample rows inserted as literals behind a large batch; all batches summarised."""
     table = _fresh_table(spark, schemas.SALES)
     products = given.event_batch(spark, sf_dir).withColumnRenamed("event_id", "product_id")
     sink.append(products, table)
-    sink.append(sales_batch(spark, "b2", schemas.SALES), table)
+    sample = [("b2", *row, Decimal(f"{price:.2f}")) for *row, price in fixed.SALES_ROWS]
+    sink.insert_values(spark, table, sample)
     return summarise(
         enrich(spark.table(table)), count_as="product_count", average=True, exact=True
     )
@@ -174,6 +188,7 @@ def insert_select(spark, sf_dir):
     """Positional INSERT of a query result; the inserted batch read back."""
     table = _fresh_table(spark, schemas.EVENTS)
     orders = given.read(spark, sf_dir, "orders")
+    sink.append_batch(given.event_rows(spark, sf_dir), table, "b2")
     sink.insert_select(events_from_ids(orders, F.col("o_orderkey"), "b1"), table)
     return sink.read_batch(spark, table, "b1")
 
@@ -215,11 +230,13 @@ def filter_large_sales(spark, sf_dir):
 
 @query
 def filter_batch(spark, sf_dir):
-    """One of two batches, which lie in one DataFrame."""
-    both = given.event_batch(spark, sf_dir).unionByName(
-        tag_batch(given.order_rows(spark, sf_dir), "b2")
+    """One batch by a stored column, from the rows of two tables."""
+    lines = given.read(spark, sf_dir, "lineitem").withColumnRenamed("l_linestatus", "batch_id")
+    orders = given.read(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "batch_id")
+    both = lines.select("batch_id", F.col("l_orderkey").alias("event_id")).unionByName(
+        orders.select("batch_id", F.col("o_orderkey").alias("event_id"))
     )
-    return current_batch(both, "b2")
+    return current_batch(both, "F")
 
 
 # Aggregates
@@ -288,7 +305,7 @@ def top_k(spark, sf_dir):
 @query
 def repartition_rows(spark, sf_dir):
     """All rows spread by category, with hot categories split."""
-    return ordering.repartition_by(_enriched(spark, sf_dir), 16, "category", split_hot=16)
+    return ordering.repartition_by(_enriched(spark, sf_dir), None, "category", split_hot=1_000)
 
 
 @query
@@ -388,25 +405,26 @@ def status_rollup(spark, sf_dir):
     return status.status_rollup(given.hourly_status(spark, sf_dir))
 
 
-def _drained(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A streaming operator over the event file, run to its end and read back."""
+def _status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = given.read(spark, sf_dir, "events").schema
-    events = monitor.file_stream(spark, sf_dir, schema, "events.parquet")
-    stream = build(given.as_hourly_status(events))
-    location = scratch_location(spark, "stream")
-    monitor.drain(stream, f"{location}/rows", f"{location}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{location}/rows")
+    # As a pattern the name may be that of a file or of a folder of part files.
+    events = monitor.file_stream(spark, f"{sf_dir}/{{events.parquet}}", schema, files_per_batch=4)
+    return given.as_hourly_status(events)
 
 
 @query
 def status_rollup_stream(spark, sf_dir):
-    """The roll-up kept by a stream; a poll is complete once its hour is the latest."""
-    return _drained(spark, sf_dir, lambda rows: monitor.rollup_stream(rows, "0 seconds"))
+    """The roll-up kept by a stream, over all batches it has taken in."""
+    stream, location = _status_stream(spark, sf_dir), scratch_location(spark, "rollup")
+    monitor.drain_rollup(stream, f"{location}/rows", f"{location}/checkpoint")
+    return monitor.rollup_so_far(spark, given.hourly_status(spark, sf_dir), f"{location}/rows")
 
 
 @query
 def failed_workers_stream(spark, sf_dir):
-    return _drained(spark, sf_dir, monitor.failed_worker_stream)
+    stream, location = _status_stream(spark, sf_dir), scratch_location(spark, "failed")
+    monitor.drain_failed_workers(stream, f"{location}/rows", f"{location}/checkpoint")
+    return monitor.failed_so_far(spark, given.hourly_status(spark, sf_dir), f"{location}/rows")
 
 
 @query
@@ -459,6 +477,13 @@ def object_events(spark, sf_dir):
     return logs.object_events(given.object_event_rows(spark, sf_dir))
 
 
+@query
+def one_object_events(spark, sf_dir):
+    """The events of the object that comes first by name."""
+    rows = given.object_event_rows(spark, sf_dir)
+    return logs.object_events(rows, rows.agg(F.min("object")).first()[0])
+
+
 @query
 def failed_object_events(spark, sf_dir):
     """Events of all workers that failed in the hourly run."""

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """A folder that driver and executors share.
 
-    Where it is unset, a local session gets a temporary one; a cluster session must name
-    one, since a machine-local folder is lost with its executor.
+    It is the one named in ``spark.checkpoint.dir``; where that is unset, a folder in the
+    warehouse. Only session settings are read, and none is changed, so any kind of session
+    will do.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="batchloom-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    return named or f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/staged"
 
 
 def scratch_location(spark: SparkSession, name: str) -> str:
@@ -32,7 +26,9 @@ def scratch_location(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, location: str | None = None) -> DataFrame:
     """Compute ``df`` once and keep it as files, so later steps survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    location = location or scratch_location(spark, "staged")
+    df.write.parquet(location)
+    return spark.read.schema(df.schema).parquet(location)

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchloom.operators.aggregate import by_revenue
-from batchloom.operators.checks import SchemaMismatch, expect_schema
+from batchloom.operators.checks import CheckFailed, SchemaMismatch, expect_schema
 from batchloom.operators.enrich import current_batch, tag_batch
 from batchloom.sources.catalog import quoted, table_metadata, table_schema
 
@@ -92,14 +93,40 @@ def append(df: DataFrame, table: str) -> None:
 def append_batch(df: DataFrame, table: str, batch_id: str | None = None) -> str:
     """Tag rows with a batch id, append them and return the id.
 
-    Leave ``batch_id`` out: a fresh one per call keeps a repeated run from adding to an
-    earlier batch.
+    Without ``batch_id`` each call takes a fresh one. A given id must be new: a batch that
+    the table already holds is refused before a row is written.
     """
+    if batch_id is not None:
+        expect_new_batch(df.sparkSession, table, batch_id)
     batch_id = batch_id or new_batch_id()
     append(tag_batch(df, batch_id), table)
     return batch_id
 
 
+def expect_new_batch(spark: SparkSession, table: str, batch_id: str) -> None:
+    """Raise if the table holds rows of the batch."""
+    if not read_batch(spark, table, batch_id).isEmpty():
+        raise CheckFailed(f"{table} already holds batch {batch_id}")
+
+
+def insert_values(spark: SparkSession, table: str, rows: Sequence[Sequence[Any]]) -> None:
+    """``INSERT INTO ... VALUES``: literals by position, stored by the SQL assignment rules.
+
+    For a handful of rows; a decimal literal, for one, goes into a DOUBLE column.
+    """
+    values = ", ".join(f"({', '.join(map(_literal, row))})" for row in rows)
+    spark.sql(f"INSERT INTO IDENTIFIER(:t) VALUES {values}", args={"t": table})
+
+
+def _literal(value: Any) -> str:
+    """The SQL literal of a number, a text or NULL."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def insert_select(df: DataFrame, table: str) -> None:
     """``INSERT INTO ... SELECT``: columns are matched by position, types by the SQL rules."""
     df.sparkSession.sql(

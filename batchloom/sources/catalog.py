@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +39,8 @@ def table_metadata(spark: SparkSession, table: str) -> dict:
 
 
 def table_schema(spark: SparkSession, table: str) -> T.StructType:
-    """Columns held in the catalog. Unlike a scan, this lists none of the table's files."""
-    described = spark.sql("DESCRIBE TABLE IDENTIFIER(:t)", args={"t": table}).collect()
-    # A heading follows the columns where the table is partitioned.
-    columns = takewhile(lambda row: not row["col_name"].startswith("# "), described)
-    return T.StructType.fromDDL(
-        ", ".join(f"{quoted(row['col_name'])} {row['data_type']}" for row in columns)
-    )
+    """The table's columns with their full types, however wide or nested."""
+    return spark.table(table).schema
 
 
 def table_location(spark: SparkSession, table: str) -> str:
@@ -93,3 +87,9 @@ def use_namespace(
         spark.catalog.setCurrentCatalog(catalog)
     if database is not None:
         spark.catalog.setCurrentDatabase(database)
+
+
+def drop_database(spark: SparkSession, database: str) -> None:
+    """Forget a scratch database and its tables. Files of external tables stay in the shared
+    folder, whose cleaning is the cluster's matter."""
+    spark.sql(f"DROP DATABASE IF EXISTS {quoted(database)} CASCADE")

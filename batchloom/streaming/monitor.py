@@ -1,78 +1,104 @@
 """The run-status operators on a stream of status rows, for a run that is still going on.
 
-Both keep small keyed state and emit through an append sink. The streak guard needs no
-stream of its own: ``rollup_guard`` reads the polls that ``rollup_stream`` has written.
+Each micro-batch is reduced on its own and written under its number; readers add up what all
+batches have written. Counts add up and distinct workers unite, so no row can come too late,
+whatever the order of the files and their split into batches, and the stream holds no state.
+A batch that is run again after a failure overwrites its own output. The streak guard needs
+no stream of its own: ``rollup_guard`` reads the polls that ``rollup_so_far`` gives.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from batchloom.functions.times import utc_clock, utc_instant
 from batchloom.operators.status import failed_rows, status_rollup
 
+_BATCH = T.StructField("stream_batch", T.LongType())
+
 
 def file_stream(
     spark: SparkSession,
-    folder: str,
+    path: str,
     schema: T.StructType,
-    pattern: str = "*.parquet",
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """New Parquet files of a folder as a stream, oldest first.
+    """New Parquet files of a folder, or of a path pattern, as a stream, oldest first.
 
     ``files_per_batch`` keeps a large backlog from being read as one batch.
     """
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
-def rollup_stream(status: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Workers per poll, emitted once when no row of the poll can come any more.
-
-    A poll is held until the stream is ``delay`` past it; rows later than that are dropped.
-    State holds the open polls only. A watermark needs an instant, so a zone-less
-    ``poll_ts`` is read as UTC in between.
-    """
-    zoneless = dict(status.dtypes)["poll_ts"] == "timestamp_ntz"
-    if zoneless:
-        status = status.withColumn("poll_ts", utc_instant(F.col("poll_ts")))
-    rollup = status_rollup(status.withWatermark("poll_ts", delay))
-    return rollup.withColumn("poll_ts", utc_clock(F.col("poll_ts"))) if zoneless else rollup
+def _drain(
+    stream: DataFrame, checkpoint: str, location: str, reduce: Callable[[DataFrame, int], DataFrame]
+) -> StreamingQuery:
+    """Reduce what has arrived so far, batch by batch, and wait for the end.
 
-
-def failed_worker_stream(status: DataFrame, split: int = 16) -> DataFrame:
-    """Each failed worker of a run, reported once, when it is first seen.
-
-    Streams drop duplicates only behind the shuffle, and one worker may be failed in most
-    rows. So its rows are first spread over up to ``split`` tasks by input partition; what
-    is left meets in a second round. State holds up to ``split + 1`` rows per failed worker.
+    A later call with the same checkpoint goes on where this one stopped.
     """
-    part = F.pmod(F.spark_partition_id(), F.lit(split)).alias("__part")
-    failed = failed_rows(status).select("run_id", "worker", part)
-    return (
-        failed.dropDuplicates(["run_id", "worker", "__part"])
-        .select("run_id", "worker")
-        .dropDuplicates(["run_id", "worker"])
-    )
-
 
-def drain(stream: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
-    """Write what has arrived so far to Parquet files and wait for the end.
+    def write(rows: DataFrame, number: int) -> None:
+        reduced = reduce(rows, number)
+        reduced.write.mode("overwrite").parquet(f"{location}/{_BATCH.name}={number}")
 
-    A later call with the same checkpoint goes on where this one stopped.
-    """
     running = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(location)
+        .start()
     )
     running.awaitTermination()
     return running
+
+
+def _written(spark: SparkSession, location: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, _BATCH])).parquet(location)
+
+
+def drain_rollup(stream: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
+    """Write the workers per poll of each batch; a poll may go on in any later batch."""
+    return _drain(stream, checkpoint, location, lambda rows, _: status_rollup(rows))
+
+
+def rollup_so_far(spark: SparkSession, status: DataFrame, location: str) -> DataFrame:
+    """Workers per poll over all batches written; ``status`` gives the types."""
+    schema = status_rollup(status).schema
+    keys = ["run_id", "poll_ts"]
+    counts = [name for name in schema.names if name not in keys]
+    return _written(spark, location, schema).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts))
+
+
+def failed_workers(status: DataFrame) -> DataFrame:
+    return failed_rows(status).select("run_id", "worker").distinct()
+
+
+def drain_failed_workers(stream: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
+    """Write each failed worker of a run once, with the batch in which it is first seen.
+
+    A batch is made distinct map-side, so a worker with most of the rows costs each task one
+    row, and is then held against what earlier batches have reported.
+    """
+
+    def new(rows: DataFrame, number: int) -> DataFrame:
+        found = failed_workers(rows)
+        if number == 0:
+            return found
+        known = _written(rows.sparkSession, location, found.schema)
+        known = known.filter(F.col(_BATCH.name) < number).drop(_BATCH.name)
+        same = F.col("f.run_id").eqNullSafe(F.col("k.run_id")) & (F.col("f.worker") == F.col("k.worker"))
+        return found.alias("f").join(known.alias("k"), same, "left_anti")
+
+    return _drain(stream, checkpoint, location, new)
+
+
+def failed_so_far(spark: SparkSession, status: DataFrame, location: str) -> DataFrame:
+    """The failed workers reported by all batches; ``status`` gives the types."""
+    return _written(spark, location, failed_workers(status).schema).drop(_BATCH.name)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from batchloom.operators.checks import CheckFailed
 from batchloom.plans.batch_run import RunTables, audit, run_batch, run_generated
 from batchloom.plans.sales_run import run_sales
+from batchloom.sinks.tables import append_batch
 from batchloom.sources.generate import generate_batch
 from tests.test_batches import GENERATED
 
@@ -39,14 +40,18 @@ def test_failed_check_publishes_nothing(spark, tables, expected):
     with pytest.raises(CheckFailed):
         run_batch(spark, generate_batch(spark, 100), tables, **expected)
     assert spark.table(tables.summary).count() == 0
+    assert spark.table(tables.events).count() == 0
 
 
-def test_repeated_batch_id_is_found(spark, tables):
-    """The same id twice would double the batch; the audit stops before publishing."""
+def test_repeated_batch_id_is_refused(spark, tables):
+    """The same id twice would double the batch; it is refused before a row is written."""
     batch = generate_batch(spark, 100)
     run_batch(spark, batch, tables, batch_id="b1")
-    with pytest.raises(CheckFailed, match="rows summarised: expected 100, found 200"):
+    with pytest.raises(CheckFailed, match="already holds batch b1"):
         run_batch(spark, batch, tables, batch_id="b1")
+    with pytest.raises(CheckFailed, match="already holds batch b1"):
+        append_batch(batch, tables.events, "b1")
+    assert spark.table(tables.events).count() == 100
     assert spark.table(tables.summary).agg(F.sum("event_count")).first()[0] == 100
 
 

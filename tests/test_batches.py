@@ -6,6 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from batchloom.functions.expressions import accurate_sum, exact_average, exact_sum
+from batchloom.plans.queries import QUERIES
+from tests.conftest import TESTDATA
 from batchloom import fixed_values as fixed
 from batchloom import schemas
 from batchloom.functions import expressions as X
@@ -257,3 +260,46 @@ def test_summary_does_not_depend_on_partitions(spark, partitions):
     whole = summarise(enrich(generate_batch(spark, 10007, 4, "b1")), exact=True)
     assert sorted(tuples(summary)) == sorted(tuples(whole))
     assert summary.agg(F.sum("event_count")).first()[0] == 10007
+
+
+def test_repartition_splits_hot_keys_of_one_input_partition(spark):
+    rows = generate_batch(spark, 30_000, 1).filter("category <> 'books'")
+    spread = repartition_by(rows, 16, "category", split_hot=128)
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+
+
+ODD_AMOUNTS = [
+    [10.0, float("inf")], [10.0, float("-inf")], [1.0, float("nan")], [10.0, 1e19], [9e18, 9e18],
+    [1e13, 0.25], [1e15, 1e15], [-1e13, -0.01], [0.1] * 10, [None, 2.5], [None, None],
+    [float("inf"), float("-inf")], [1e308, 1e308],
+]
+
+
+@pytest.mark.parametrize("amounts", ODD_AMOUNTS, ids=str)
+def test_sums_leave_nothing_out(spark, amounts):
+    df = inline_rows(spark, [(a,) for a in amounts], "v double")
+    sums = [accurate_sum(F.col("v")), exact_sum(F.col("v"))]
+    found = df.agg(*sums, exact_average(F.col("v"))).first()
+    own = [a for a in amounts if a is not None]
+    want = math.fsum(own) if all(map(math.isfinite, own)) and max(map(abs, own), default=0) < 1e300 else sum(own)
+    if not own:
+        assert tuple(found) == (None, None, None)
+    for value in found[:2] if own else ():
+        assert value == pytest.approx(want, rel=1e-15, nan_ok=True)
+    if own:
+        assert found[2] == pytest.approx(want / len(own), rel=1e-9, abs=0.005, nan_ok=True)
+
+
+def test_large_sums_do_not_overflow(spark):
+    df = spark.range(0, 100_000).select(F.lit(11_000_000_000_000.01).alias("v"))
+    assert df.agg(exact_sum(F.col("v"))).first()[0] == 1_100_000_000_000_001_000.0
+
+
+def test_sorts_cross_partition_boundaries_in_order(spark):
+    for name, column, sign in (("sort_asc", "event_id", 1), ("sort_desc", "line_total", -1)):
+        rows = QUERIES[name](spark, str(TESTDATA / "sf0.001"))
+        bounds = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.min(column), F.max(column))
+        ends = sorted(tuple(row) for row in bounds.collect())
+        for (_, low, high), (_, next_low, next_high) in zip(ends, ends[1:]):
+            assert high <= next_low if sign > 0 else low >= next_high

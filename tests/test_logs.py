@@ -39,6 +39,15 @@ def test_tail(spark, n, split):
     assert sorted(tuple(row) for row in found.collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("n", [2, 1500])
+def test_tail_has_one_result_on_any_layout(spark, n):
+    lines = [("s", START, str(i), f"{i} of them") for i in range(2000)]
+    log = inline_rows(spark, lines, "source string, ts timestamp_ntz, `a.b` string, __part string")
+    tails = [sorted(logs.tail_lines(rows, n).collect()) for rows in (log.repartition(7), log.coalesce(1))]
+    assert tails[0] == tails[1] and len(tails[0]) == n
+    assert tails[0][0].__fields__ == log.columns
+
+
 def test_tail_parameters(spark):
     log = inline_rows(spark, [], schemas.LOG)
     with pytest.raises(ValueError):

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom import schemas
+from batchloom.plans.queries import QUERIES
 from batchloom.operators.status import rollup_guard, status_rollup
 from batchloom.sources.generate import inline_rows
 from batchloom.streaming import monitor
+from tests.conftest import TESTDATA
 from tests.test_status import POLLS, START, keyed, read_in_order, status_rows
 
 
@@ -32,34 +34,44 @@ def feed(request, spark, location):
     return write
 
 
-def test_rollup_goes_on_where_it_stopped(spark, location, feed):
+@pytest.mark.parametrize("files", [1, 2, None])
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4, 5, 6, 7, 8], [8, 3, 5, 0, 7, 1, 2, 6, 4]])
+def test_rollup_does_not_depend_on_files_and_batches(spark, location, feed, files, order):
     out, checkpoint = f"{location}/rollup", f"{location}/checkpoint"
-
-    def step():
-        stream = monitor.file_stream(spark, feed.folder, feed.schema)
-        rollup = monitor.rollup_stream(stream, "0 seconds")
-        monitor.drain(rollup, out, checkpoint)
-        return spark.read.schema(rollup.schema).parquet(out)
-
-    feed(0, 1, 2, 3)
-    assert step().count() == 4 + 4 + 3
-    feed(4, 5, 6, 7, 8)
-    found = step()
+    status = inline_rows(spark, [], feed.schema)
+    # One poll comes in two files, whose rows lie in different batches.
+    for step in (order[:4], order[4:]):
+        for number in step:
+            feed(number)
+        stream = monitor.file_stream(spark, feed.folder, feed.schema, files)
+        monitor.drain_rollup(stream, out, checkpoint)
+    found = monitor.rollup_so_far(spark, status, out)
     rollup, _, fired, _, _ = read_in_order(POLLS, 3)
     assert keyed(found, 2) == rollup
     assert keyed(rollup_guard(found), 1) == {run: (at,) for run, at in fired.items()}
-    status = inline_rows(spark, [], feed.schema)
     assert found.schema.simpleString() == status_rollup(status).schema.simpleString()
 
 
 def test_failed_worker_is_reported_once(spark, location, feed):
     out, checkpoint = f"{location}/failed", f"{location}/checkpoint"
     _, failures, _, _, _ = read_in_order(POLLS, 3)
-    for numbers in [(0, 1), (2, 3), (4,), (5,), (6,), (7, 8)]:
+    for numbers in [(2, 3), (0, 1), (4,), (5,), (7, 8), (6,)]:
         feed(*numbers)
         if numbers in [(4,), (5,)]:
             continue
         stream = monitor.file_stream(spark, feed.folder, feed.schema, files_per_batch=1)
-        monitor.drain(monitor.failed_worker_stream(stream), out, checkpoint)
-    reported = [tuple(row) for row in spark.read.parquet(out).collect()]
-    assert sorted(reported) == sorted(failures)
+        monitor.drain_failed_workers(stream, out, checkpoint)
+    found = monitor.failed_so_far(spark, inline_rows(spark, [], feed.schema), out)
+    assert sorted(tuple(row) for row in found.collect()) == sorted(failures)
+
+
+def test_streams_read_a_folder_of_part_files(spark, tmp_path):
+    events = spark.read.parquet(str(TESTDATA / "sf0.001" / "events.parquet"))
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("status_rollup", "failed_workers"):
+        batch = QUERIES["status_rollup"](spark, str(tmp_path)) if name == "status_rollup" else None
+        found = QUERIES[f"{name}_stream"](spark, str(tmp_path))
+        if batch is not None:
+            assert sorted(found.collect()) == sorted(batch.select(found.columns).collect())
+        else:
+            assert found.count() == found.distinct().count() > 0

@@ -1,5 +1,8 @@
 """Create, append, read back, look up and check tables."""
 
+from decimal import Decimal
+from pathlib import Path
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -15,6 +18,9 @@ from batchloom.operators.checks import (
     expect_schema,
 )
 from batchloom.operators.enrich import enrich
+from batchloom.operators.logs import tail_lines
+from batchloom.operators.ordering import repartition_by, sort_rows
+from batchloom.plans import staging
 from batchloom.plans.staging import scratch_location, shared_folder, stage
 from batchloom.sinks import tables as sink
 from batchloom.sources import catalog
@@ -178,12 +184,47 @@ def test_staged_result_is_computed_once(spark):
 
     staged = stage(spark.range(0, 100, 1, 4).mapInPandas(count, "id long"))
     once = seen.value
+    assert once == 100
     assert staged.count() == 100 and staged.agg(F.sum("id")).first()[0] == 4950
     assert seen.value == once
-    assert "Scan ExistingRDD" in staged._jdf.queryExecution().toString()
+    assert "MapInPandas" not in staged._jdf.queryExecution().toString()
 
 
 def test_shared_folder_is_the_named_one(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == folder
     assert scratch_location(spark, "x").startswith(f"{folder}/x-")
+
+
+def test_library_needs_no_classic_session():
+    """Neither the classic context nor a change of settings is used outside of tests."""
+    root = Path(staging.__file__).resolve().parent.parent
+    words = ("sparkContext", "setCheckpointDir", "localCheckpoint", "mkdtemp", "conf.set")
+    for path in root.rglob("*.py"):
+        found = [word for word in words if word in path.read_text()]
+        assert not found, f"{path}: {found}"
+
+
+def test_wide_and_oddly_named_columns(spark, database, location):
+    fields = ", ".join(f"f{i}: int" for i in range(40))
+    ddl = f"wide struct<{fields}>, `a.b` string, `__part` int, `back``tick` double"
+    rows = inline_rows(spark, [(tuple(range(40)), "x", 1, 2.0), (None, "y", 2, 3.0)], ddl)
+    table = f"{database}.odd"
+    for _ in range(2):
+        sink.ensure_table(spark, table, rows.schema, f"{location}/odd")
+    sink.append(rows, table)
+    stored = spark.table(table)
+    assert sorted(stored.select("`a.b`").collect()) == [("x",), ("y",)]
+    assert sort_rows(stored, "a.b", descending=True).collect()[0]["a.b"] == "y"
+    assert sort_rows(stored, "back`tick").columns == rows.columns
+    assert repartition_by(stored, 3, "a.b", split_hot=2).columns == rows.columns
+    assert tail_lines(stored, 1, ["back`tick"], source="a.b").columns == rows.columns
+
+
+def test_literal_insert_goes_by_position(spark, database, location):
+    table = f"{database}.literals"
+    sink.ensure_table(spark, table, schemas.SALES, f"{location}/literals")
+    sink.insert_values(spark, table, [("b", 1, "c", 2, Decimal("2499.00")), ("b", 2, "it's \\ c", None, Decimal("0.10"))])
+    assert sorted(tuple(row) for row in spark.table(table).collect()) == [("b", 1, "c", 2, 2499.0), ("b", 2, "it's \\ c", None, 0.1)]
+    catalog.drop_database(spark, database)
+    assert not catalog.database_exists(spark, database)
