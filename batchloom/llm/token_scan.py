@@ -23,7 +23,6 @@ never clash.
 from __future__ import annotations
 
 import base64
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import shared_folder, staged
+from batchloom.llm.common import staged
+from batchloom.plans.staging import scratch_location
 
 #: Where the public tokenizers' files are.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -141,7 +141,7 @@ def open_tokens(found: DataFrame) -> DataFrame:
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens`` of each row, counted in flat files written below ``path``."""
     spark = docs.sparkSession
-    path = path or f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = path or scratch_location(spark, "tokens")
     write(docs, path, vocabulary)
     lengths = scan(blocks(spark, path))
     rows = order(docs)
