@@ -56,14 +56,12 @@ class Model:
     share: np.ndarray
 
 
-def sample(labelled: DataFrame, per_language: int) -> DataFrame:
+def sample(labelled: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
     """At most so many rows of each language, of ``doc_id, text, lang``."""
-    sizes = labelled.groupBy("lang").count()
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     # Twice the rows wanted survive this cheap filter, so that no large group is sorted.
-    near = labelled.join(F.broadcast(sizes), "lang").where(
-        hashed * F.col("count") < F.lit(2_000_000 * per_language)
-    )
+    cuts = [F.lit(x) for size in sizes.items() for x in (size[0], 2_000_000 * per_language // size[1])]
+    near = labelled.where(hashed <= F.element_at(F.create_map(*cuts), F.col("lang"))) if cuts else labelled
     first = Window.partitionBy("lang").orderBy(hashed, "doc_id", F.xxhash64("text"))
     return (
         near.withColumn("place", F.row_number().over(first))
@@ -91,11 +89,19 @@ def fit(
     sample_per_language: int = 1_500,
     max_words: int = 40_000,
     max_grams: int = 10_000,
+    max_languages: int = 500,
 ) -> Model:
-    """Learn from ``doc_id, text, lang``; rows without text or language teach nothing."""
+    """Learn from ``doc_id, text, lang``; rows without text or language teach nothing.
+
+    More than ``max_languages`` labels are an error, as no bound would hold for the model.
+    """
     labelled = labelled.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
+    found = labelled.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    size = {row["lang"]: row["count"] for row in found}
     counts = (
-        sample(labelled, sample_per_language)
+        sample(labelled, size, sample_per_language)
         .mapInPandas(_count, "lang string, kind int, unit string, n long")
         .groupBy("lang", "kind", "unit")
         .agg(F.sum("n").alias("n"))
@@ -110,7 +116,6 @@ def fit(
         .toArrow()
         .to_pandas()
     )
-    size = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}
     languages = sorted(size)
     index: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for kind, unit in zip(rows.kind, rows.unit):

@@ -86,10 +86,11 @@ def _shares(table: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFr
             F.sum("own").alias("all"),
             F.sum(F.when(F.col("share").isNull(), F.col("own"))).alias("free"),
             F.sum("share").alias("shares"),
-        )
-        rest = F.col("all") - F.coalesce("free", F.lit(0.0))
-        goal = F.coalesce(F.col("share") / F.col("shares") * rest, F.col("own"))
-        wanted[d] = staged(own.join(F.broadcast(totals)).select(d, goal.alias("goal")))
+        ).first()
+        rest = (totals["all"] or 0.0) - (totals["free"] or 0.0)
+        part = F.col("share") / F.lit(totals["shares"] or 1.0)
+        goal = F.coalesce(part * F.lit(rest), F.col("own"))
+        wanted[d] = staged(own.select(d, goal.alias("goal")))
     return wanted
 
 

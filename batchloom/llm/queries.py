@@ -19,7 +19,7 @@ from batchloom.llm import (
     similarity_join,
     token_scan,
 )
-from batchloom.llm.common import fold, table
+from batchloom.llm.common import GAP, LOWER, UPPER, fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,6 +45,36 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join.cluster(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op9_ngram_jaccard"] = f"""
+    with recursive cut as (
+        select doc_id, list_filter(
+            string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAP}'),
+            lambda x: x <> '') as w
+        from documents
+    ), shingle as (
+        select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+        from cut, unnest(range(1, greatest(len(w) - 3, 2))) t(i)
+        where len(w) > 0
+    ), size as (
+        select doc_id, count(*) as n from shingle group by 1
+    ), pair as (
+        select a.doc_id as x, b.doc_id as y, count(*) as i
+        from shingle a join shingle b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+    ), link as (
+        select x, y from pair join size a on a.doc_id = x join size b on b.doc_id = y
+        where 100 * i >= 80 * (a.n + b.n - i)
+    ), both_ways as (
+        select x, y from link union all select y, x from link
+    ), reach(doc_id, other) as (
+        select doc_id, doc_id from cut
+        union
+        select reach.doc_id, y from reach join both_ways on x = other
+    )
+    select doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id
+    from reach left join size using (doc_id) group by doc_id
+"""
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

@@ -420,6 +420,17 @@ def test_join_against_all_pairs(documents, texts):
     assert joined(documents) == brute(list(texts.items()))
 
 
+def test_join_against_sql(spark, documents):
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = connection.execute(queries.ORACLES["op9_ngram_jaccard"])
+    names = [column[0] for column in want.description]
+    assert names == ["doc_id", "n_shingles", "component_id"]
+    assert Counter(want.fetchall()) == joined(documents)
+
+
 def test_join_near_copies(spark):
     rng = np.random.default_rng(3)
     rows, stem = [], [f"w{i}" for i in range(120)]
