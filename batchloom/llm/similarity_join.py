@@ -51,7 +51,7 @@ PIECES = 64
 COMMON = 4_096
 #: Bits of the filter that tells which documents' sets are wanted.
 BLOOM_BITS = 1 << 26
-BITMAP_WORDS = 8
+BITMAP_WORDS = 16
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -81,6 +81,11 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def short_length(n: int) -> int:
+    """Of the prefix, the tokens that a set as large or larger must share one of."""
+    return n + 2 * PERCENT * -n // (100 + PERCENT) + 1
+
+
 def buckets(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
@@ -190,7 +195,9 @@ def _pack(table: np.ndarray, seed: int, ranges: int) -> Callable:
                     continue
                 met.add(node)
                 first = np.argsort(table[buckets(tokens)], kind="stable")[: prefix_length(len(tokens))]
-                found.append(tokens[first])
+                # The last bit tells whether the token is in the short prefix.
+                short = np.arange(len(first)) < short_length(len(tokens))
+                found.append(tokens[first] & ~np.uint64(1) | short.astype(np.uint64))
                 owner.append(np.full(len(first), node, np.int64))
                 held += len(first)
                 if held >= 2_000_000:
@@ -219,7 +226,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
         tokens, nodes = tokens[new], nodes[new]
-        same = tokens[1:] == tokens[:-1]
+        same = tokens[1:] | 1 == tokens[:-1] | 1
         several = np.zeros(len(tokens), bool)
         several[1:] |= same
         several[:-1] |= same
@@ -227,7 +234,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _token_rows(tokens, nodes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(nodes, pa.int64())], names=["token", "node"])
+    """The last bit of the tokens is taken off as the flag it is."""
+    columns = [pa.array(tokens | 1, pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens & 1 == 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "node", "short"])
 
 
 def _sets(bloom: np.ndarray, seed: int) -> Callable:
@@ -348,11 +357,12 @@ def cluster(docs: DataFrame) -> DataFrame:
     packed = texts.mapInArrow(_pack(table, seed, ranges), "part int, tokens binary, nodes binary")
     # Packs of common tokens (part -1) are dealt out anyhow; they pass through.
     dealt = packed.repartition(ranges, F.when(F.col("part") < 0, F.xxhash64("nodes")).otherwise(F.col("part")))
-    found = staged(dealt.mapInArrow(_shared, "token long, node long"))
+    found = staged(dealt.mapInArrow(_shared, "token long, node long, short boolean"))
     hubs = found.groupBy("token").agg(
-        F.min("node").alias("hub"), F.max("node").alias("last"), (F.count("*") > 2).alias("more")
+        F.min("node").alias("hub"), F.max("node").alias("last"), (F.count("*") > 2).alias("more"),
+        F.max("short").alias("any_short"),
     )
-    hubs = hubs.where("hub < last").drop("last")
+    hubs = hubs.where("hub < last and any_short").drop("last", "any_short")
     # A hub's own row is not needed: every pair with it is a pair of the star.
     shared = staged(found.join(hubs, "token").where("node <> hub").distinct())
     links = verified(star_pairs(shared, nodes), nodes, texts, seed)
@@ -379,7 +389,10 @@ def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFr
     # One side holds the nodes outside the component of the token's hub: nodes of a large
     # group of near copies never meet each other here.
     one = every.join(of_hub, "hub").where("comp <> hub_comp").drop("hub_comp").alias("x")
-    apart = (F.col("x.token") == F.col("y.token")) & F.expr("x.comp <> y.comp") & near("x", "y")
+    # The smaller set of a linked pair shares a token of its short prefix.
+    apart = (F.col("x.token") == F.col("y.token")) & F.expr(
+        "x.comp <> y.comp and (x.short and x.n <= y.n or y.short and y.n <= x.n)"
+    ) & near("x", "y")
     pairs = one.join(every.alias("y"), apart)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
