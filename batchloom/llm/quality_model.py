@@ -84,9 +84,14 @@ class Facts:
 def labels(f: Facts) -> tuple[int, ...]:
     """The votes of the labellers on one document."""
     n = max(1, f.words)
+    # What is good in one way does not speak for a text that is odd in another.
+    plain = (
+        f.symbols <= 0.05 * n and f.bare <= 0.1 * max(n, 20)
+        and f.upper <= 0.2 * f.letters and f.repeated <= 0.1 * n
+    )
 
     def vote(good: bool, bad: bool) -> int:
-        return BAD if bad else GOOD if good else NONE
+        return BAD if bad else GOOD if good and plain else NONE
 
     return (
         vote(False, f.symbols > 0.1 * n),
