@@ -119,7 +119,7 @@ def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def estimate(patterns: dict[tuple[int, ...], int]) -> tuple[float, np.ndarray]:
     """Share of good documents and, for good and bad ones, each labeller's vote shares."""
-    votes = np.array(list(patterns)).reshape(-1, LABELLERS) + 1
+    votes = np.array(list(patterns), dtype=int).reshape(-1, LABELLERS) + 1
     n = np.array(list(patterns.values()), dtype=float)
     start = np.array(START)[:, None, :].repeat(LABELLERS, axis=1)
     prior, shares = 0.8, start
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, sample: int = 12_000) -> Model:
         data = [(hasher.features(text), labels(Facts.of(text))) for batch in batches for text in batch.text]
         if not data:
             return
-        votes = np.array([x[1] for x in data]) + 1
+        votes = np.array([x[1] for x in data], dtype=int) + 1
         weights = train([x[0] for x in data], posterior(votes, prior, shares))
         yield pd.DataFrame({"weights": [weights.tobytes()]})
 
