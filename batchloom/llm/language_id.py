@@ -13,10 +13,15 @@ may travel to every task. Every text is scored whole.
 Edge cases: a null text or one without a letter gives ``und`` with score 0. A text whose
 letters are all unknown gives the language with the most labelled rows, with that share as
 score. Without any labelled row every text gives ``und``.
+
+``judge`` also holds a text against the languages themselves. Its n-grams of order ``LOOK``
+cost about the entropy of their language if it is written in it and far more if it is in none
+that the model knows, however clearly one of these is the cheapest.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,12 +32,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchloom.llm.common import staged
+
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 #: Of unseen words whose costs a task keeps; it starts anew beyond that.
 KEPT_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang_pred string, score double"
+#: The order of n-grams by which a text is held against the language found.
+LOOK = 3
+#: By how much single n-grams scatter, three times over.
+SPREAD = 3.0
+#: Rows by which a language is known well enough to doubt one of them.
+FEW = 50
 
 
 def words(text: str | None) -> list[str]:
@@ -66,10 +79,17 @@ def sample(labelled: DataFrame, sizes: dict[str, int], per_language: int) -> Dat
     return (
         near.withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= per_language)
-        .select("lang", "text")
+        .select("doc_id", "lang", "text")
     )
 
 
+def sizes_of(labelled: DataFrame, max_languages: int) -> dict[str, int]:
+    found = labelled.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    return {row["lang"]: row["count"] for row in found}
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found: Counter = Counter()
@@ -96,10 +116,7 @@ def fit(
     More than ``max_languages`` labels are an error, as no bound would hold for the model.
     """
     labelled = labelled.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
-    found = labelled.groupBy("lang").count().limit(max_languages + 1).collect()
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    size = {row["lang"]: row["count"] for row in found}
+    size = sizes_of(labelled, max_languages)
     counts = (
         sample(labelled, size, sample_per_language)
         .mapInPandas(_count, "lang string, kind int, unit string, n long")
@@ -130,6 +147,23 @@ def fit(
     return Model(languages, *index, costs, rows_of / max(1, rows_of.sum()))
 
 
+def fit_agreed(labelled: DataFrame, sample_per_language: int = 1_500, max_languages: int = 500) -> Model:
+    """Learn from the rows of a sample whose label a model of the other half finds again, so
+    that mislabelled rows do not speak for themselves. Languages of fewer than ``FEW`` rows keep
+    all of theirs: half of those would be too little to judge by."""
+    labelled = labelled.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
+    sizes = sizes_of(labelled, max_languages)
+    rows = sample(labelled, sizes, sample_per_language)
+    rows = staged(rows.withColumn("half", F.pmod(F.xxhash64("text", "doc_id"), F.lit(2))))
+    agreed = []
+    for half in (0, 1):
+        model = fit(rows.where(F.col("half") != half), sample_per_language)
+        known = [x for x in model.languages if sizes[x] >= FEW]
+        same = (F.col("lang_pred") == F.col("lang")) | ~F.col("lang").isin(known)
+        agreed.append(identify(rows.where(F.col("half") == half), model).where(same))
+    return fit(staged(agreed[0].unionByName(agreed[1])), sample_per_language)
+
+
 class Scorer:
     """A task's copy of the model, with the costs of the unseen words it has met."""
 
@@ -138,7 +172,15 @@ class Scorer:
         self.known = len(model.costs)
         self.start()
 
+        at = [i for gram, i in model.grams.items() if len(gram) == LOOK]
+        part = 10.0 ** -model.costs[at]
+        #: Of each language, the mean cost of its own n-grams of the order LOOK.
+        self.usual = (part * model.costs[at]).sum(axis=0) / np.maximum(part.sum(axis=0), 1e-300)
+        self.unseen = (model.costs.max() if self.known else 0) + 1
+
     def start(self) -> None:
+        #: Of words met: their n-grams of the order LOOK and what these cost in each language.
+        self.looks: dict[str, tuple[int, np.ndarray]] = {}
         self.index = dict(self.model.words)
         spare = np.empty((KEPT_WORDS, len(self.model.languages)))
         self.costs = np.vstack([self.model.costs, spare])
@@ -157,10 +199,13 @@ class Scorer:
         return -1
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.verdict(words(text))[:2]
+
+    def verdict(self, found: list[str]) -> tuple[str, float, np.ndarray | None]:
+        """The language, its score and the mean costs; no costs if no letter is known."""
         model, index = self.model, self.index
-        found = words(text)
         if not model.languages or not any(c.isalpha() for word in found for c in word):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, None
         total, n = np.zeros(len(model.languages)), 0
         at, times = [], []
         for word, count in Counter(found).items():
@@ -178,12 +223,39 @@ class Scorer:
         total, n = self.added(total, n, at, times)
         if not n:
             best = int(model.share.argmax())
-            return model.languages[best], float(model.share[best])
+            return model.languages[best], float(model.share[best]), None
         mean = total / n
         best = int(mean.argmin())
         # Words lean on each other, so a long text is no surer than one of 30 words.
         chance = np.exp((mean[best] - mean) * np.log(10) * min(n, 30))
-        return model.languages[best], float(1 / chance.sum())
+        return model.languages[best], float(1 / chance.sum()), mean
+
+    def judge(self, text: str | None, stated: str | None) -> tuple[str, float, float, float]:
+        """The language, its score, what the text's look costs beyond the language's own, and
+        what its words cost more in the stated language."""
+        found = words(text)
+        language, score, mean = self.verdict(found)
+        if mean is None:
+            return language, score, math.inf, 0.0
+        best = self.model.languages.index(language)
+        total, n = 0.0, 0
+        for word, count in Counter(found).items():
+            size, costs = self.looks.get(word) or self.look(word)
+            total += count * costs[best]
+            n += count * size
+        # So few n-grams may cost more by chance.
+        strange = total / n - self.usual[best] - SPREAD / math.sqrt(n)
+        known = stated in self.model.languages
+        return language, score, float(strange), float(mean[self.model.languages.index(stated)] - mean[best]) if known else 0.0
+
+    def look(self, word: str) -> tuple[int, np.ndarray]:
+        if len(self.looks) >= KEPT_WORDS:
+            self.looks.clear()
+        cut = grams(word, LOOK)
+        at = [i for x in cut if (i := self.model.grams.get(x)) is not None]
+        costs = self.model.costs[at].sum(axis=0) + self.unseen * (len(cut) - len(at))
+        self.looks[word] = len(cut), costs
+        return self.looks[word]
 
     def added(self, total, n, at, times):
         if not at:
@@ -210,3 +282,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kept = docs.drop("lang_pred", "score", "_language")
     found = kept.withColumn("_language", language_of(model))
     return found.select(*[kept[f"`{c}`"] for c in kept.columns], "_language.*")
+
+
+def judge(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, ``strange`` and ``against``.
+
+    ``strange`` is what the text's n-grams cost beyond those of the language found (infinite
+    if no letter is known), ``against`` what its words cost more in the language of ``lang``.
+    """
+
+    @F.pandas_udf(f"{RESULT}, strange double, against double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for texts, stated in batches:
+            yield pd.DataFrame(
+                [scorer.judge(x, y) for x, y in zip(texts, stated)],
+                columns=["lang_pred", "score", "strange", "against"],
+            )
+
+    kept = docs.drop("lang_pred", "score", "strange", "against", "_language")
+    found = kept.withColumn("_language", run(F.col("text"), F.col("lang")))
+    return found.select(*[kept[f"`{c}`"] for c in kept.columns], "_language.*")

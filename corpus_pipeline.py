@@ -14,14 +14,27 @@ from batchloom.llm import decontaminate, language_id, mixing, private_data, simi
 from batchloom.llm.common import staged, table
 
 
+#: Most that a text's n-grams may cost beyond the usual of its language, and least that its
+#: words cost more under a wrong label, in log10 each.
+MAX_STRANGE, MIN_AGAINST = 1.4, 1.5
+#: Scores needed to overrule a label, and to name a language where there is none.
+SURE, LIKELY = 0.99, 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents with a known language.
+    """Keep the documents in a language of the corpus, under that language.
 
-    The model learns from the documents that name their language; one that names none gets
-    the language found. Texts without a letter have none and go.
+    The model learns from documents that name their language and whose label it finds again. A label that the model
+    surely contradicts is replaced by the language found; one that names none gets it, or goes
+    if no language is likelier than all others together. Texts without a letter and those that
+    look like none of the languages go, whatever their label.
     """
-    found = language_id.identify(docs, language_id.fit(docs)).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = language_id.judge(docs, language_id.fit_agreed(docs))
+    wrong = (F.col("score") >= SURE) & (F.col("against") >= MIN_AGAINST)
+    lang = F.when(F.col("lang").isNull() | wrong, F.col("lang_pred")).otherwise(F.col("lang"))
+    told = F.col("lang").isNotNull() | (F.col("score") > LIKELY)
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("strange") <= MAX_STRANGE)
+    return found.where(known & told).withColumn("lang", lang).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -531,3 +531,28 @@ def test_pipeline_odd_rows(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, SF)
         rows.collect()
+
+
+def test_language_stage_follows_the_model(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").where("n_chars > 300")
+    kept = lambda rows: {r.doc_id: r.lang for r in corpus_pipeline.language(spark, rows, SF).collect()}
+    right = {r.doc_id: r.lang for r in docs.collect()}
+    assert kept(docs) == right
+    # One in ten under another's label, one in ten under none.
+    other = F.when(F.col("lang") == "en", "fr").otherwise("en")
+    lang = F.when(F.col("doc_id") % 10 == 0, other).when(F.col("doc_id") % 10 != 1, F.col("lang"))
+    assert kept(docs.withColumn("lang", lang)) == right
+
+
+def test_language_stage_drops_unknown_languages(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").where("n_chars > 300")
+    strange = [
+        "Прежде всего надо сказать что это другой язык и его буквы здесь никто не знает",
+        "Tämä on suomenkielinen teksti jota malli ei tunne lainkaan koska sitä ei ole koskaan opetettu sille",
+        "Przede wszystkim trzeba powiedzieć że jest to zupełnie inny język którego model wcale nie zna",
+        "12 345 !!",
+    ]
+    more = [(10**9 + 10 * i + j, x, lang, "s", len(x)) for i, x in enumerate(strange) for j, lang in enumerate(("en", None))]
+    rows = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, rows, SF).collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
