@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from batchloom.llm import (
     context_mixing,
     decontaminate,
+    fill_in_middle,
     html_text,
     language_id,
     mixing,
@@ -122,3 +123,40 @@ def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.counted(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fill_in_middle.digest(fill_in_middle.transformed(docs))
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+    with given as (
+        select doc_id, coalesce(text, '') as text, sha256('7:' || doc_id::varchar) as h
+        from documents
+    ), unit as (
+        select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as u,
+            [('0x' || substr(h, 1 + 8 * i, 8))::bigint for i in range(4)] as r
+        from given
+    ), drawn as (
+        select *, len(u) as n,
+            least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) as lo,
+            greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) as hi,
+            case when text = '' or regexp_matches(text, '<[PSM]>') or r[3] % 100 >= 100
+                then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end as form
+        from unit
+    ), part as (
+        select *, array_to_string(u[1:lo], '') as pre, array_to_string(u[lo + 1:hi], '') as mid,
+            array_to_string(u[hi + 1:], '') as suf
+        from drawn
+    )
+    select doc_id, n, form,
+        case when form <> 'plain' then length(pre) end as prefix_chars,
+        case when form <> 'plain' then length(mid) end as middle_chars,
+        sha256(case form when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+            when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid
+            else text end) as output_sha256,
+        sha256(text) as restored_sha256
+    from part
+"""
