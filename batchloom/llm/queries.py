@@ -18,6 +18,7 @@ from batchloom.llm import (
     quality_model,
     quality_rules,
     similarity_join,
+    source_audit,
     token_scan,
 )
 from batchloom.llm.common import GAP, LOWER, UPPER, fold, table
@@ -160,3 +161,65 @@ ORACLES["op13_fill_in_middle"] = r"""
         sha256(text) as restored_sha256
     from part
 """
+
+
+@query
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audited(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_audit"] = f"""
+    with given as (
+        select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+            translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as text
+        from documents
+    ), word as (
+        select d, lang, source, unnest(regexp_extract_all(
+            text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from given
+    ), kept as (
+        select lang, term from word group by 1, 2 having count(distinct d) >= 10
+    ), size as (
+        select lang, count(*) as v from kept group by 1
+    ), grp as (
+        select distinct lang, source from given
+    ), seen as (
+        select lang, source, term, count(*) as c from word join kept using (lang, term)
+        group by 1, 2, 3
+    ), cell as (
+        select lang, source, term, coalesce(c, 0)::hugeint as c
+        from grp join kept using (lang) left join seen using (lang, source, term)
+    ), own as (
+        select lang, source, term, c, sum(c) over (partition by lang, source) as n from cell
+    ), share as (
+        select lang, source, term, c, 1 + (1000000000 * (c + 2)) // (n + 2 * v) as p
+        from own join size using (lang)
+    ), whole as (
+        select lang, term, sum(c)::hugeint as c from cell group by 1, 2
+    ), whole_share as (
+        select lang, term, 1 + (1000000000 * (c + 2)) // (sum(c) over (partition by lang) + 2 * v)
+            as q
+        from whole join size using (lang)
+    ), pair as (
+        select a.lang, a.source, b.source as item, sum(f) as value
+        from grp a join grp b on a.lang = b.lang and a.source <> b.source left join (
+            select x.lang, x.source as s, y.source as t,
+                (x.p - y.p) * (x.p - y.p) // (x.p + y.p) as f
+            from share x join share y on x.lang = y.lang and x.term = y.term
+        ) d on d.lang = a.lang and s = a.source and t = b.source
+        group by 1, 2, 3
+    ), both_parts as (
+        select lang, source, 'pair' as part, item, coalesce(value, 0)::bigint as value,
+            row_number() over (partition by lang, source order by coalesce(value, 0) desc, item) as r
+        from pair
+        union all
+        select lang, source, 'term', term, value::bigint,
+            row_number() over (partition by lang, source order by value desc, term)
+        from (
+            select lang, source, term, (p - q) * (p - q) // (p + q) as value
+            from share join whole_share using (lang, term) where c > 0 and p > q
+        )
+    )
+    select lang, source, part, item, value, r::int as rank from both_parts
+    where part = 'pair' or r <= 10
+"""
