@@ -188,11 +188,12 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns[group["source"]] = starts, _shares(counts, group["total"], row["size"])
             for a, b in combinations(columns, 2):
                 sums[row["lang"], a, b] += pair_sum(columns[a], columns[b], ends)
-    keys = list(sums)
-    yield pa.RecordBatch.from_pydict({
-        **{name: pa.array([k[i] for k in keys], pa.string()) for i, name in enumerate("lab")},
-        "value": pa.array([sums[k] for k in keys], pa.int64()),
-    }).rename_columns(["lang", "a", "b", "value"])
+    both_ways = [(lang, *p, v) for (lang, a, b), v in sums.items() for p in ((a, b), (b, a))]
+    lang, a, b, value = zip(*both_ways, strict=True) if both_ways else ((),) * 4
+    texts = [pa.array(x, pa.string()) for x in (lang, a, b)]
+    yield pa.RecordBatch.from_arrays(
+        [*texts, pa.array(value, pa.int64())], ["lang", "a", "b", "value"]
+    )
 
 
 def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -234,8 +235,7 @@ def pair_values(entries: DataFrame, groups: DataFrame) -> DataFrame:
         F.collect_list(F.struct("source", "total")).alias("groups")
     )
     sums = blocks(entries).join(per_lang, "lang").mapInArrow(_pair_sums, SUMS)
-    back = sums.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value")
-    sums = sums.unionByName(back).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     a = groups.select("lang", F.col("source").alias("a"))
     b = groups.select("lang", F.col("source").alias("b"))
     pairs = a.join(b, "lang").where("a <> b").join(sums, ["lang", "a", "b"], "left")
