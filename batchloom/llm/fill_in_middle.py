@@ -28,14 +28,15 @@ Only the id and text columns are read; ``transformed`` returns its own columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTINELS = ("<P>", "<S>", "<M>")
-ANY_SENTINEL = "<[PSM]>"
 PLAIN, PSM, SPM = "plain", "psm", "spm"
 #: Most that a segment may miss a boundary offset by, before slopes are rounded.
 BOUND = 100
@@ -94,18 +95,27 @@ def learned(offsets: np.ndarray) -> tuple[list[int], list[int], list[int], bytes
     return ranks, offsets[firsts].tolist(), slopes, residuals.tobytes()
 
 
-def _indexes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _indexes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        rows = []
+        parts = [[] for _ in _FIELDS]
         for text in batch:
-            offsets = boundaries(text)
-            rows.append((len(offsets) - 1, *learned(offsets)))
-        yield pd.DataFrame(rows, columns=["units", "ranks", "offsets", "slopes", "residuals"])
+            offsets = boundaries(text.as_py())
+            for part, value in zip(parts, (len(offsets) - 1, *learned(offsets)), strict=True):
+                part.append(value)
+        columns = [pa.array(p, f.type) for p, f in zip(parts, _FIELDS, strict=True)]
+        yield pa.StructArray.from_arrays(columns, fields=_FIELDS)
+
+
+_LONGS = pa.list_(pa.int64())
+_FIELDS = [
+    pa.field("units", pa.int64()), pa.field("ranks", _LONGS), pa.field("offsets", _LONGS),
+    pa.field("slopes", _LONGS), pa.field("residuals", pa.binary()),
+]
 
 
 def rank_index(text: Column | str) -> Column:
     """The learned index over the boundary offsets of each text, a struct like ``INDEX``."""
-    return F.pandas_udf(_indexes, INDEX)(text)
+    return F.arrow_udf(_indexes, INDEX)(text)
 
 
 def offset_at(index: Column, rank: Column) -> Column:
@@ -130,14 +140,21 @@ def _draws(seed: int, key: Column) -> list[Column]:
 def restored(output: Column, form: Column) -> Column:
     """The text that an output of ``transformed`` was made of.
 
-    Sentinels cannot overlap, and no other than the three put in occurs, so they cut the output
-    into its parts.
+    No sentinel occurs but the three put in, and none overlaps another, so the first of a kind
+    is the one put in. Byte searches serve, without a regular expression over whole texts.
     """
-    part = F.split(output, ANY_SENTINEL, -1)
-    first, second, third = (F.get(part, F.lit(i)) for i in (1, 2, 3))
+    last = F.substring_index(output, SENTINELS[2], -1)
+    front = F.substring_index(output, SENTINELS[2], 1)
+
+    def parts(mark: str) -> tuple[Column, Column]:
+        opened = F.substring_index(front, mark, 1)
+        return F.substring(opened, F.lit(1 + len(mark)), F.length(opened)), F.substring_index(front, mark, -1)
+
+    prefix, suffix = parts(SENTINELS[1])
+    first, second = parts(SENTINELS[0])
     return (
-        F.when(form == PSM, F.concat(first, third, second))
-        .when(form == SPM, F.concat(second, third, first))
+        F.when(form == PSM, F.concat(prefix, last, suffix))
+        .when(form == SPM, F.concat(second, last, first))
         .otherwise(output)
     )
 
@@ -154,11 +171,12 @@ def transformed(
     indexed = texts.withColumn("index", rank_index("text"))
     index = F.col("index")
     h1, h2, h3, h4 = _draws(seed, F.col("doc_id"))
+    marked = reduce(or_, (F.col("text").contains(mark) for mark in SENTINELS))
     drawn = indexed.withColumns({
         "a": h1 % (index["units"] + 1),
         "b": h2 % (index["units"] + 1),
         "form": F.when(
-            (F.col("text") == "") | F.col("text").rlike(ANY_SENTINEL) | (h3 % 100 >= fim_percent),
+            (F.col("text") == "") | marked | (h3 % 100 >= fim_percent),
             PLAIN,
         ).otherwise(F.when(h4 % 100 < spm_percent, SPM).otherwise(PSM)),
     })
