@@ -19,6 +19,7 @@ from batchloom.llm import (
     quality_rules,
     similarity_join,
     source_audit,
+    substring_dedup,
     token_scan,
 )
 from batchloom.llm.common import GAP, LOWER, UPPER, fold, table
@@ -223,3 +224,31 @@ ORACLES["op11_source_audit"] = f"""
     select lang, source, part, item, value, r::int as rank from both_parts
     where part = 'pair' or r <= 10
 """
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op12_substring_dedup"] = f"""
+    with cut as (
+        select doc_id, list_filter(
+            string_split_regex(coalesce(text, ''), '{GAP}'), lambda x: x <> '') as w
+        from documents
+    ), win as (
+        select doc_id, i, array_to_string(w[i:i + 49], ' ') as g
+        from cut, unnest(range(1, len(w) - 48)) t(i)
+    ), first as (
+        select g, min(doc_id) as d from win group by g
+    ), gone as (
+        select distinct doc_id, i + k as i
+        from win join first using (g), range(50) s(k) where d < doc_id
+    ), removed as (
+        select doc_id, list(i) as places from gone group by doc_id
+    )
+    select doc_id, len(w) as n_words, coalesce(len(places), 0) as n_removed,
+        sha256(array_to_string(case when places is null then w else list_filter(
+            w, lambda x, i: not list_contains(places, i)) end, ' ')) as kept_sha256
+    from cut left join removed using (doc_id)
+"""
