@@ -1,4 +1,4 @@
-"""Sorts, top-k and explicit repartitioning."""
+"""Sorts and explicit repartitioning."""
 
 from __future__ import annotations
 
@@ -28,18 +28,10 @@ def sort_rows(df: DataFrame, column: str, *, descending: bool = False) -> DataFr
     part = free_name(df, "part")
     # Input partition ids stay the same when a task is run again; random numbers would not.
     parted = df.withColumn(part, F.spark_partition_id())
-    return parted.orderBy(*_sort_keys(df, column, descending), part).drop(part)
+    return parted.orderBy(*sort_keys(df, column, descending), part).drop(part)
 
 
-def top_k(df: DataFrame, k: int, column: str, *, descending: bool = True) -> DataFrame:
-    """First ``k`` rows of the total order, without sorting the whole input.
-
-    Spark plans this as ``TakeOrderedAndProject``: each task keeps ``k`` rows.
-    """
-    return df.orderBy(*_sort_keys(df, column, descending)).limit(k)
-
-
-def _sort_keys(df: DataFrame, column: str, descending: bool) -> list[Column]:
+def sort_keys(df: DataFrame, column: str, descending: bool) -> list[Column]:
     by = F.desc_nulls_last if descending else F.asc_nulls_first
     rest = [F.asc_nulls_first(quoted(name)) for name in df.columns if name != column]
     return [by(quoted(column)), *rest]

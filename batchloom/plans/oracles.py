@@ -205,6 +205,18 @@ ORACLES: dict[str, str] = {
     "top_k": f"""
         select event_id, line_total from ({_B}) order by line_total desc, event_id limit 20
     """,
+    "top_k_large": """
+        select l_orderkey, l_linenumber, unit_price, unit::int as unit from (
+            select l_orderkey, l_linenumber,
+                   cast(round(l_extendedprice / l_quantity) as bigint) as unit_price,
+                   unnest(range(1, cast(l_quantity as integer) + 1)) as unit
+            from lineitem
+        ) order by unit_price desc, l_orderkey, l_linenumber, unit limit 100000
+    """,
+    "top_k_large_text": f"""
+        select event_id, category || '-' || quantity as label from ({_EVENTS})
+        order by label, event_id limit 20000
+    """,
     "repartition_rows": _B,
     "repartition_summary": _RUN_SUMMARY,
     "pmod_case_round": f"""

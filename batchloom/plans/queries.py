@@ -20,6 +20,8 @@ from batchloom.functions.phases import is_success, is_terminal, phase_or_pending
 from batchloom.operators import logs, ordering, status
 from batchloom.operators.aggregate import count_rows, summarise
 from batchloom.operators.enrich import current_batch, enrich, large_lines, tag_batch
+from batchloom.operators.hot_keys import repartition_hot
+from batchloom.operators.selection import top_k as top_k_rows
 from batchloom.plans import stand_ins as given
 from batchloom.plans.batch_run import RunReport, RunTables, audit, run_batch
 from batchloom.plans.sales_run import SalesReport, report_sales
@@ -299,13 +301,28 @@ def sort_desc(spark, sf_dir):
 @query
 def top_k(spark, sf_dir):
     lines = _enriched(spark, sf_dir).select("event_id", "line_total")
-    return ordering.top_k(lines, 20, "line_total")
+    return top_k_rows(lines, 20, "line_total")
+
+
+@query
+def top_k_large(spark, sf_dir):
+    """The 100,000 dearest units, each sold item of a line being one; no task holds them all."""
+    units = given.sold_units(spark, sf_dir)
+    return top_k_rows(units, 100_000, "unit_price")
+
+
+@query
+def top_k_large_text(spark, sf_dir):
+    """The first 20,000 lines by their comment-like label, a text with many ties."""
+    lines = given.event_rows(spark, sf_dir)
+    label = F.concat_ws("-", "category", F.col("quantity").cast("string")).alias("label")
+    return top_k_rows(lines.select("event_id", label), 20_000, "label", descending=False)
 
 
 @query
 def repartition_rows(spark, sf_dir):
-    """All rows spread by category, with hot categories split."""
-    return ordering.repartition_by(_enriched(spark, sf_dir), None, "category", split_hot=1_000)
+    """All rows spread by category; only categories that would fill a partition are split."""
+    return repartition_hot(_enriched(spark, sf_dir), None, "category")
 
 
 @query

@@ -38,6 +38,15 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sold_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each unit of a line item, with its share of the line's price."""
+    line = read(spark, sf_dir, "lineitem")
+    count = F.col("l_quantity").cast("int")
+    unit = F.explode(F.sequence(F.lit(1), count)).alias("unit")
+    price = F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("long").alias("unit_price")
+    return line.where(count >= 1).select("l_orderkey", "l_linenumber", price, unit)
+
+
 def event_phase() -> Column:
     """Worker phase of an event."""
     kind = F.col("event_type")

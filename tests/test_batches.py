@@ -14,7 +14,8 @@ from batchloom import schemas
 from batchloom.functions import expressions as X
 from batchloom.operators.aggregate import by_revenue, count_rows, summarise
 from batchloom.operators.enrich import current_batch, enrich, large_lines, tag_batch
-from batchloom.operators.ordering import repartition_by, sort_rows, top_k
+from batchloom.operators.ordering import repartition_by, sort_rows
+from batchloom.operators.selection import top_k
 from batchloom.sources.generate import (
     events_from_ids,
     generate_batch,
