@@ -10,16 +10,15 @@ pairs of sources are summed over run-length columns:
 
 1. Reorder. Terms with equal counts in every source are one entry with a length (grouped with
    partial aggregates, so however many terms share the commonest counts, none is hot). Sorted
-   by language and counts, entries with equal counts in a source come together.
-2. Encode. Each task cuts its part of that order into blocks; a block has a run-length column
+   by language and counts in each task, entries with equal counts in a source come together.
+2. Encode. Each task cuts its ordered entries into blocks; a block has a run-length column
    for each source: where its count changes, and the share it has from there.
 3. Intersect. A pair's run boundaries in a block are united; between two boundaries both shares
    stay the same, so the difference is worked out once and multiplied by the number of terms.
    Block sums are added up.
 
 Sums over blocks are whole numbers, so the split into blocks does not matter. A language with a
-third of all rows is cut into blocks like any other, since the range partitioner splits by the
-counts too. The pairs themselves number sources squared per language, as asked; a block holds
+third of all rows is spread like any other, since its entries are dealt by their counts. The pairs themselves number sources squared per language, as asked; a block holds
 ``CELLS`` counts at most, so its rows get fewer where sources are many.
 
 Edge cases: null text, language and source count as empty ones. Groups without a term take part
@@ -225,8 +224,13 @@ def profiles(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def blocks(entries: DataFrame) -> DataFrame:
-    """The reordered vocabulary as blocks of run-length columns."""
-    return entries.orderBy("lang", "vector").mapInArrow(_encode, BLOCKS)
+    """The reordered vocabulary as blocks of run-length columns.
+
+    Each task orders what it reads, as the entries are dealt by their counts already. One order
+    over all tasks would give longer runs, but its range bounds need samples of whole vectors in
+    the driver.
+    """
+    return entries.sortWithinPartitions("lang", "vector").mapInArrow(_encode, BLOCKS)
 
 
 def pair_values(entries: DataFrame, groups: DataFrame) -> DataFrame:
