@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom import fixed_values as fixed
+from batchloom.plans.staging import scratch_location, stage
 
 
-def _worker() -> Column:
+def worker_of() -> Column:
     return F.nullif(F.col("worker"), F.lit(""))
 
 
 def _count_phase(phase: str) -> Column:
-    return F.count_if(_worker().isNotNull() & (F.col("phase") == phase))
+    return F.count_if(worker_of().isNotNull() & (F.col("phase") == phase))
 
 
 def status_rollup(status: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def status_rollup(status: DataFrame) -> DataFrame:
     Workers in any other phase count in the total only.
     """
     return status.groupBy("run_id", "poll_ts").agg(
-        F.count(_worker()).alias("total"),
+        F.count(worker_of()).alias("total"),
         _count_phase(fixed.RUNNING).alias("running"),
         _count_phase(fixed.PENDING).alias("pending"),
         _count_phase(fixed.FAILED).alias("failed"),
@@ -43,7 +44,7 @@ def distinct_workers(status: DataFrame, *, approximate: bool = False) -> DataFra
     tasks. ``approximate`` shuffles one sketch per run and task instead.
     """
     count = F.approx_count_distinct if approximate else F.count_distinct
-    return status.groupBy("run_id").agg(count(_worker()).alias("distinct_workers"))
+    return status.groupBy("run_id").agg(count(worker_of()).alias("distinct_workers"))
 
 
 def resource_summary(status: DataFrame, slots_per_worker: int = fixed.SLOTS_PER_WORKER) -> DataFrame:
@@ -55,8 +56,8 @@ def resource_summary(status: DataFrame, slots_per_worker: int = fixed.SLOTS_PER_
     seen = status.select(
         "run_id",
         "poll_ts",
-        _worker().alias("worker"),
-        (_worker().isNotNull() & (F.col("phase") == fixed.RUNNING)).alias("is_running"),
+        worker_of().alias("worker"),
+        (worker_of().isNotNull() & (F.col("phase") == fixed.RUNNING)).alias("is_running"),
     )
     grouped = seen.groupingSets(
         [["run_id", "poll_ts"], ["run_id", "worker"]], "run_id", "poll_ts", "worker"
@@ -73,7 +74,7 @@ def resource_summary(status: DataFrame, slots_per_worker: int = fixed.SLOTS_PER_
 
 
 def failed_rows(status: DataFrame) -> DataFrame:
-    return status.filter((F.col("phase") == fixed.FAILED) & _worker().isNotNull())
+    return status.filter((F.col("phase") == fixed.FAILED) & worker_of().isNotNull())
 
 
 def first_failure(status: DataFrame) -> DataFrame:
@@ -105,54 +106,88 @@ def rollup_guard(rollup: DataFrame, limit: int = fixed.FAILED_POLLS_LIMIT) -> Da
 def first_streak(polls: DataFrame, limit: int) -> DataFrame:
     """First poll of each run that ends ``limit`` bad polls in a row.
 
-    ``polls`` holds one row ``(run_id, poll_ts, bad)`` per poll. Streaks are followed in two
-    levels, so that one run may hold any share of the polls:
-
-    1. Range partitioning by ``(run_id, poll_ts)`` cuts every run into pieces that are
-       contiguous in time and of even size. A window inside each piece finds the streaks
-       that lie in it, and one row per piece sums it up.
-    2. A window over the pieces of a run carries the open streak from piece to piece. A
-       streak that began earlier and reaches the limit inside a piece does so at a poll
-       of the piece's leading streak, whose first ``limit`` polls the summary row holds.
+    ``polls`` holds one row ``(run_id, poll_ts, bad)`` per poll. Range partitioning by
+    ``(run_id, poll_ts)`` cuts every run into stretches that are contiguous in time and of even
+    size, so one run may hold any share of the polls. The cut is written to the shared folder,
+    as it is read twice: summed up per stretch, and once more for the single poll of a run at
+    which a streak that came in from earlier stretches reaches the limit.
     """
     if limit <= 0:
         raise ValueError(f"limit must be positive, found {limit}")
-    pieces = polls.repartitionByRange("run_id", "poll_ts").withColumn(
-        "piece", F.spark_partition_id()
+    cut = polls.repartitionByRange("run_id", "poll_ts").withColumn(
+        "stretch", F.spark_partition_id().cast("long")
+    )
+    cut = stage(with_lengths(cut), scratch_location(polls.sparkSession, "polls"))
+    return fired_at(merge_stretches(stretch_summaries(cut, limit), limit), cut)
+
+
+def with_lengths(polls: DataFrame) -> DataFrame:
+    """Add ``length``, the bad polls in a row up to each one inside its stretch, and ``leading``:
+    whether all polls of the stretch so far are bad.
+    """
+    so_far = (
+        Window.partitionBy("run_id", "stretch")
+        .orderBy("poll_ts")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    in_piece = Window.partitionBy("run_id", "piece").orderBy("poll_ts")
-    so_far = in_piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bad = F.col("bad")
-    streaks = (
-        pieces.withColumn("bad_so_far", F.count_if(bad).over(so_far))
+    bad, at_reset = F.col("bad"), F.col("bad_at_reset")
+    return (
+        polls.withColumn("bad_so_far", F.count_if(bad).over(so_far))
         .withColumn("bad_at_reset", F.max(F.when(~bad, F.col("bad_so_far"))).over(so_far))
-        .withColumn("length", F.col("bad_so_far") - F.coalesce("bad_at_reset", F.lit(0)))
+        .withColumn("length", F.col("bad_so_far") - F.coalesce(at_reset, F.lit(0)))
+        .withColumn("leading", bad & at_reset.isNull())
+        .drop("bad_so_far", "bad_at_reset")
     )
-    at_limit = bad & (F.col("length") == limit)
-    leading = bad & F.col("bad_at_reset").isNull() & (F.col("length") <= limit)
-    per_piece = streaks.groupBy("run_id", "piece").agg(
+
+
+def stretch_summaries(polls: DataFrame, limit: int, *more: Column) -> DataFrame:
+    """What a stretch of a run's time line contributes to its streaks, in one row.
+
+    ``head`` bad polls lead it, ``tail`` bad polls end it, and ``fired`` is the poll at which a
+    streak inside it first reaches the limit. With ``reset``, whether any poll was not bad, that
+    is all that streaks across stretches need, however long the stretch. ``more`` are further
+    aggregates.
+    """
+    at_limit = F.col("bad") & (F.col("length") == limit)
+    return polls.groupBy("run_id", "stretch").agg(
         F.min("poll_ts").alias("starts"),
-        F.max_by("length", "poll_ts").alias("open_at_end"),
-        F.bool_or(~bad).alias("has_reset"),
-        F.min(F.when(at_limit, F.col("poll_ts"))).alias("fired_inside"),
-        F.array_sort(F.collect_list(F.when(leading, F.col("poll_ts")))).alias("leading"),
+        F.count_if("leading").alias("head"),
+        F.max_by("length", "poll_ts").alias("tail"),
+        F.bool_or(~F.col("bad")).alias("reset"),
+        F.min(F.when(at_limit, F.col("poll_ts"))).alias("fired"),
+        *more,
     )
 
+
+def merge_stretches(summaries: DataFrame, limit: int) -> DataFrame:
+    """``run_id, fired, stretch, missing``: what the stretches of each run amount to.
+
+    ``fired`` is the first firing inside a stretch. ``stretch`` is the first one in whose
+    leading streak a streak carried in from before reaches the limit, at its ``missing``-th poll.
+    One row per stretch meets per run.
+    """
     earlier = (
-        Window.partitionBy("run_id")
-        .orderBy("starts")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("run_id").orderBy("starts").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
-        per_piece.withColumn("opened", F.coalesce(F.sum("open_at_end").over(earlier), F.lit(0)))
-        .withColumn("closed", F.max(F.when(F.col("has_reset"), F.col("opened"))).over(earlier))
-        .withColumn("carried", F.col("opened") - F.coalesce("closed", F.lit(0)))
+        summaries.withColumn("opened", F.coalesce(F.sum("tail").over(earlier), F.lit(0)))
+        .withColumn("closed", F.max(F.when(F.col("reset"), F.col("opened"))).over(earlier))
+        .withColumn("missing", F.lit(limit) - F.col("opened") + F.coalesce("closed", F.lit(0)))
     )
-    # What is carried may exceed any INT; what is missing to the limit is cast only if positive.
-    missing = F.lit(limit) - F.col("carried")
-    fired_by_carry = F.when(missing >= 1, F.get("leading", (missing - 1).cast("int")))
-    return (
-        carried.groupBy("run_id")
-        .agg(F.min(F.least("fired_inside", fired_by_carry)).alias("fired"))
-        .filter(F.col("fired").isNotNull())
+    by_carry = F.col("missing").between(1, F.least("head", F.lit(limit - 1)))
+    first = F.min(F.when(by_carry, F.struct("starts", "stretch", "missing")))
+    merged = carried.groupBy("run_id").agg(F.min("fired").alias("fired"), first.alias("first"))
+    return merged.select("run_id", "fired", "first.stretch", "first.missing").where(
+        "fired is not null or stretch is not null"
+    )
+
+
+def fired_at(merged: DataFrame, polls: DataFrame) -> DataFrame:
+    """``run_id, fired`` of merged stretches; ``polls`` has the lengths of the polls in them."""
+    reached = polls.where("leading").select(
+        "run_id", "stretch", F.col("length").alias("missing"), F.col("poll_ts").alias("at")
     )
+    carried = merged.where("stretch is not null").drop("fired")
+    carried = reached.join(carried, ["run_id", "stretch", "missing"]).select("run_id", "at")
+    inside = merged.where("fired is not null").select("run_id", F.col("fired").alias("at"))
+    return inside.unionByName(carried).groupBy("run_id").agg(F.min("at").alias("fired"))

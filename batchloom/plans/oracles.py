@@ -297,3 +297,11 @@ ORACLES: dict[str, str] = {
         from orders
     """,
 }
+
+# What a stream keeps is what the same operator gives on all rows.
+ORACLES |= {
+    f"{name}_stream": ORACLES[name]
+    for name in (
+        "distinct_workers", "resource_summary", "streak_guard", "streak_guard_one_run", "tail_n",
+    )
+}

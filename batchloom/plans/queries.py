@@ -422,11 +422,14 @@ def status_rollup(spark, sf_dir):
     return status.status_rollup(given.hourly_status(spark, sf_dir))
 
 
-def _status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = given.read(spark, sf_dir, "events").schema
     # As a pattern the name may be that of a file or of a folder of part files.
-    events = monitor.file_stream(spark, f"{sf_dir}/{{events.parquet}}", schema, files_per_batch=4)
-    return given.as_hourly_status(events)
+    return monitor.file_stream(spark, f"{sf_dir}/{{events.parquet}}", schema, files_per_batch=4)
+
+
+def _status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given.as_hourly_status(_event_stream(spark, sf_dir))
 
 
 @query
@@ -444,6 +447,57 @@ def failed_workers_stream(spark, sf_dir):
     return monitor.failed_so_far(spark, given.hourly_status(spark, sf_dir), f"{location}/rows")
 
 
+@query
+def distinct_workers_stream(spark, sf_dir):
+    """The exact count kept by a stream."""
+    stream, location = _status_stream(spark, sf_dir), scratch_location(spark, "workers")
+    monitor.drain_workers(stream, f"{location}/rows", f"{location}/checkpoint")
+    return monitor.workers_so_far(spark, given.hourly_status(spark, sf_dir), f"{location}/rows")
+
+
+@query
+def resource_summary_stream(spark, sf_dir):
+    """Peaks and distinct workers kept by two streams."""
+    location, rows = scratch_location(spark, "resources"), given.hourly_status(spark, sf_dir)
+    polls, workers = f"{location}/polls", f"{location}/workers"
+    day = 24 * 3600
+    stream = _status_stream(spark, sf_dir)
+    monitor.drain_stretches(stream, polls, f"{location}/checkpoint-polls", seconds=day)
+    stream = _status_stream(spark, sf_dir)
+    monitor.drain_workers(stream, workers, f"{location}/checkpoint-workers")
+    return monitor.resources_so_far(spark, rows, polls, workers, 2, seconds=day)
+
+
+def _guard_stream(spark: SparkSession, sf_dir: str, shape: Callable, limit: int) -> DataFrame:
+    stream, location = shape(_event_stream(spark, sf_dir)), scratch_location(spark, "guard")
+    week = 7 * 24 * 3600
+    monitor.drain_stretches(stream, f"{location}/rows", f"{location}/checkpoint", limit, seconds=week)
+    rows = shape(given.read(spark, sf_dir, "events"))
+    return monitor.guard_so_far(spark, rows, f"{location}/rows", limit, seconds=week)
+
+
+@query
+def streak_guard_stream(spark, sf_dir):
+    """The guard on one run per user, kept by a stream."""
+    return _guard_stream(spark, sf_dir, given.as_user_status, fixed.FAILED_POLLS_LIMIT)
+
+
+@query
+def streak_guard_one_run_stream(spark, sf_dir):
+    """The guard on one run that holds all polls, kept by a stream."""
+    return _guard_stream(spark, sf_dir, given.as_single_run_status, 4)
+
+
+@query
+def tail_n_stream(spark, sf_dir):
+    """The log tails kept by a stream."""
+    stream, location = given.as_log_lines(_event_stream(spark, sf_dir)), scratch_location(spark, "tails")
+    order = ["ts", "event_id"]
+    monitor.drain_tails(stream, f"{location}/rows", f"{location}/checkpoint", 3, order)
+    log = given.log_lines(spark, sf_dir)
+    return monitor.tails_so_far(spark, log, f"{location}/rows", 3, order)
+
+
 @query
 def distinct_workers(spark, sf_dir):
     return status.distinct_workers(given.hourly_status(spark, sf_dir))

@@ -76,9 +76,9 @@ def hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_hourly_status(read(spark, sf_dir, "events"))
 
 
-def user_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_user_status(events: DataFrame) -> DataFrame:
     """Events as one run per user, with one poll per event."""
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("run_id"),
         F.col("ts").alias("poll_ts"),
         F.col("user_id").cast("string").alias("worker"),
@@ -86,18 +86,21 @@ def user_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def single_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_user_status(read(spark, sf_dir, "events"))
+
+
+def as_single_run_status(events: DataFrame) -> DataFrame:
     """Events as one run that holds all rows, with one poll per timestamp."""
-    return read(spark, sf_dir, "events").select(
-        year_run().alias("run_id"),
-        F.col("ts").alias("poll_ts"),
-        F.col("user_id").cast("string").alias("worker"),
-        event_phase().alias("phase"),
-    )
+    return as_user_status(events).withColumn("run_id", F.concat(F.lit("y"), F.year("poll_ts").cast("string")))
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(
+def single_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_single_run_status(read(spark, sf_dir, "events"))
+
+
+def as_log_lines(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").cast("string").alias("source"),
         "ts",
         "event_id",
@@ -105,6 +108,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_log_lines(read(spark, sf_dir, "events"))
+
+
 def object_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("object"),
