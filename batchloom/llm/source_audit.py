@@ -51,7 +51,7 @@ MIN_DOCS, TOP = 10, 10
 #: What the shares of a profile are counted in.
 UNIT = 1_000_000_000
 #: Counters a task holds before it passes them on; counts in a block.
-HELD, CELLS = 400_000, 1 << 21
+HELD, CELLS = 300_000, 1 << 21
 COUNTS = "lang string, source string, term string, n long, docs long"
 COLUMN = "struct<source:string, starts:array<int>, counts:array<long>>"
 BLOCKS = f"lang string, lengths array<long>, columns array<{COLUMN}>"
@@ -197,7 +197,9 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``lang, term, vector`` of the kept terms; the vector has the sources with their counts."""
-    counted = rows.mapInArrow(_count, COUNTS)
+    # Tasks send a term once per source, so a term of all documents has few rows; both
+    # aggregates use this one exchange.
+    counted = rows.mapInArrow(_count, COUNTS).repartition("lang", "term")
     by_source = counted.groupBy("lang", "term", "source").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs")
     )
