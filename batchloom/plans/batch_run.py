@@ -22,7 +22,7 @@ from batchloom.sinks.tables import (
     partitions_last,
     read_batch,
     read_summary,
-    write_summary,
+    replace_batch,
 )
 from batchloom.sources.catalog import resolve_tables
 from batchloom.sources.generate import generate_batch
@@ -38,6 +38,7 @@ class RunTables:
     summary_location: str
     fmt: str = DEFAULT_FORMAT
     partition_events_by_batch: bool = True
+    partition_summary_by_batch: bool = False
 
 
 @dataclass(frozen=True)
@@ -68,9 +69,13 @@ def run_batch(
     batch_id: str | None = None,
     expected_rows: int | None = None,
     expected_groups: int | None = None,
+    rerun: bool = False,
 ) -> RunReport:
     """Append ``events`` as a batch, publish its audited summary and read that back.
 
+    ``rerun`` runs a batch again whose earlier run died: rows and summary take the place of what
+    that one has left under the id. Both tables must be partitioned by batch for that.
+
     The batch is written once to the shared folder, counted on the way and summarised there.
     Only when its id is new, its rows and groups are as many as expected and the summary
     accounts for every row does it reach the input table, and its summary the summary table.
@@ -79,10 +84,16 @@ def run_batch(
     by_batch = ["batch_id"] if tables.partition_events_by_batch else []
     input_schema = partitions_last(schemas.EVENTS, by_batch)
     ensure_table(spark, tables.events, input_schema, tables.events_location, tables.fmt, by_batch)
-    ensure_table(spark, tables.summary, schemas.SUMMARY, tables.summary_location, tables.fmt)
+    by_batch = ["batch_id"] if tables.partition_summary_by_batch else []
+    saved_schema = partitions_last(schemas.SUMMARY, by_batch)
+    ensure_table(spark, tables.summary, saved_schema, tables.summary_location, tables.fmt, by_batch)
     resolve_tables(spark, [tables.events, tables.summary])
 
-    if batch_id is not None:
+    if rerun and batch_id is None:
+        raise ValueError("a rerun needs the id of its batch")
+    if rerun and not (tables.partition_events_by_batch and tables.partition_summary_by_batch):
+        raise ValueError("a rerun needs tables that are partitioned by batch")
+    if batch_id is not None and not rerun:
         expect_new_batch(spark, tables.events, batch_id)
     batch_id = batch_id or new_batch_id()
     written = Observation()
@@ -99,15 +110,22 @@ def run_batch(
     if expected_groups is not None:
         expect_count("summary groups", found["group_count"], expected_groups)
 
-    append(batch, tables.events)
+    _put(batch, tables.events, batch_id, rerun)
     kept = read_batch(spark, tables.events, batch_id)
     expect_count("rows appended", kept.count(), rows)
-    write_summary(summary, tables.summary)
+    _put(summary, tables.summary, batch_id, rerun)
     saved = read_summary(spark, tables.summary, batch_id)
     expect_count("saved summary rows", saved.count(), found["group_count"])
     return RunReport(batch_id, rows, found["group_count"], saved)
 
 
+def _put(rows: DataFrame, table: str, batch_id: str, rerun: bool) -> None:
+    if rerun:
+        replace_batch(rows, table, batch_id)
+    else:
+        append(rows, table)
+
+
 def run_generated(
     spark: SparkSession,
     tables: RunTables,

@@ -155,6 +155,14 @@ ORACLES: dict[str, str] = {
         f"select batch_id, category, {_MEASURES} from ({_enriched(_BOTH)}) group by 1, 2"
     ),
     "partitioned_readback": _ORDERS,
+    "replaced_batch_readback": (
+        f"select batch_id, category, {_MEASURES} from ({_enriched(_BOTH)}) group by 1, 2"
+    ),
+    "mixed_files_readback": """
+        select 'c' || o_custkey as batch_id, o_orderkey as event_id,
+               o_orderpriority as category, 1 as quantity, o_totalprice as unit_price
+        from orders where o_custkey = 77
+    """,
     "insert_select": f"select 'b1' as batch_id, {_generated('o_orderkey')} from orders",
     "select_columns": """
         select 'b1' as batch_id, l_orderkey as event_id, l_linenumber,

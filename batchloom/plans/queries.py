@@ -48,10 +48,13 @@ def _fresh_database(spark: SparkSession) -> tuple[str, str]:
     return name, location
 
 
-def _fresh_table(spark: SparkSession, schema, partitioned_by=()) -> str:
+def _fresh_table(spark: SparkSession, schema, partitioned_by=(), bloom_filters=None) -> str:
     database, location = _fresh_database(spark)
     table = f"{database}.rows"
-    sink.ensure_table(spark, table, schema, f"{location}/rows", partitioned_by=partitioned_by)
+    sink.ensure_table(
+        spark, table, schema, f"{location}/rows",
+        partitioned_by=partitioned_by, bloom_filters=bloom_filters,
+    )
     return table
 
 
@@ -185,6 +188,33 @@ def partitioned_readback(spark, sf_dir):
     return sink.read_batch(spark, table, "b2")
 
 
+@query
+def replaced_batch_readback(spark, sf_dir):
+    """A batch of which a part was left behind, written again; the other batch stays."""
+    schema = sink.partitions_last(schemas.EVENTS, ["batch_id"])
+    table = _fresh_table(spark, schema, ["batch_id"])
+    rows = given.event_rows(spark, sf_dir)
+    sink.append_batch(given.order_rows(spark, sf_dir), table, "b2")
+    sink.append_batch(rows.where("quantity < 20"), table, "b1")
+    sink.replace_batch(rows, table, "b1")
+    return summarise(enrich(spark.table(table)))
+
+
+@query
+def mixed_files_readback(spark, sf_dir):
+    """One of many batches that lie in the same files of a flat table, found by its filter."""
+    table = _fresh_table(spark, schemas.EVENTS, bloom_filters={"batch_id": 1_000})
+    orders = given.read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("batch_id"),
+        F.col("o_orderkey").alias("event_id"),
+        F.col("o_orderpriority").alias("category"),
+        F.lit(1).alias("quantity"),
+        F.col("o_totalprice").alias("unit_price"),
+    )
+    sink.append(orders, table)
+    return sink.read_batch(spark, table, "c77")
+
+
 @query
 def insert_select(spark, sf_dir):
     """Positional INSERT of a query result; the inserted batch read back."""

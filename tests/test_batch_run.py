@@ -73,3 +73,25 @@ def test_sales_run(spark, database, location):
     ]
     products = [row["product_id"] for row in report.all_rows.collect()]
     assert products == [101, 101, 102, 102, 201, 201, 202, 202, 301, 301]
+
+
+def test_rerun_replaces_what_a_dead_run_left(spark, database, location):
+    tables = RunTables(
+        f"{database}.events", f"{database}.summary", f"{location}/events", f"{location}/summary",
+        partition_summary_by_batch=True,
+    )
+    rows = generate_batch(spark, 1_000, 4)
+    run_batch(spark, rows.where("event_id < 10"), tables, batch_id="b")
+    run_batch(spark, rows, tables, batch_id="other")
+    with pytest.raises(CheckFailed):
+        run_batch(spark, rows, tables, batch_id="b")
+    for _ in range(2):
+        report = run_batch(spark, rows, tables, batch_id="b", rerun=True)
+        assert (report.input_rows, report.groups) == (1_000, 4)
+    assert spark.table(tables.events).count() == 2_000
+    assert spark.table(tables.summary).count() == 8
+    with pytest.raises(ValueError):
+        run_batch(spark, rows, tables, rerun=True)
+    flat = RunTables(*(f"{database}.{t}" for t in ("e2", "s2")), f"{location}/e2", f"{location}/s2")
+    with pytest.raises(ValueError):
+        run_batch(spark, rows, flat, batch_id="b", rerun=True)

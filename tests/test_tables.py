@@ -1,5 +1,7 @@
 """Create, append, read back, look up and check tables."""
 
+import math
+from datetime import UTC, date, datetime
 from decimal import Decimal
 from pathlib import Path
 
@@ -228,3 +230,116 @@ def test_literal_insert_goes_by_position(spark, database, location):
     assert sorted(tuple(row) for row in spark.table(table).collect()) == [("b", 1, "c", 2, 2499.0), ("b", 2, "it's \\ c", None, 0.1)]
     catalog.drop_database(spark, database)
     assert not catalog.database_exists(spark, database)
+
+
+def test_literals_arrive_as_they_are(spark, database, location):
+    table = f"{database}.kinds"
+    kinds = (
+        "d date, t timestamp, n timestamp_ntz, x double, f float, m decimal(10,2), s string, "
+        "b boolean, raw binary, l array<int>, o map<string,int>"
+    )
+    sink.ensure_table(spark, table, inline_rows(spark, [], kinds).schema, f"{location}/kinds")
+    at, wall = datetime(2024, 1, 2, 3, 4, 5, 678, UTC), datetime(2024, 3, 10, 2, 30)
+    text = ":v0 ? it's \\ \n é"
+    row = (date(2024, 1, 1), at, wall, float("inf"), float("nan"), Decimal("1.25"), text, True, b"\x00\xff", [1, None], {"a": 1})
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        sink.insert_values(spark, table, [row, (None,) * len(row), (date(1, 1, 1), None, None, float("-inf"), -0.0) + (None,) * 6])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    stored = spark.table(table)
+    first = stored.where("s is not null").withColumn("t", F.unix_micros("t")).first()
+    assert first["t"] == int(at.timestamp() * 1_000_000)
+    assert math.isnan(first["f"])
+    assert (first["d"], first["n"], first["x"], *first[5:]) == (row[0], row[2], row[3], *row[5:])
+    assert stored.where(" and ".join(f"{c} is null" for c in stored.columns)).count() == 1
+    assert [tuple(r) for r in stored.where("x < 0").select("d", "x").collect()] == [(date(1, 1, 1), float("-inf"))]
+
+
+@pytest.fixture
+def by_batch(spark, database, location):
+    table = f"{database}.by_batch"
+    schema = sink.partitions_last(schemas.EVENTS, ["batch_id"])
+    sink.ensure_table(spark, table, schema, f"{location}/by_batch", partitioned_by=["batch_id"])
+    return table
+
+
+def dying(rows):
+    """The same rows, but the last input partition fails once the others are written."""
+    last = F.spark_partition_id() == 7
+    late = F.when(last, F.raise_error(F.lit("killed"))).otherwise(F.col("quantity"))
+    return rows.withColumn("quantity", late.cast("int"))
+
+
+@pytest.mark.parametrize("how", ["append", "replace"])
+def test_a_killed_batch_is_run_again(spark, by_batch, how, location):
+    whole = generate_batch(spark, 8_000, 8)
+    sink.append_batch(generate_batch(spark, 50), by_batch, "other")
+    with pytest.raises(Exception, match="killed"):
+        if how == "append":
+            sink.append_batch(dying(whole), by_batch, "b")
+        else:
+            sink.replace_batch(dying(whole), by_batch, "b")
+    # What a driver that dies while files are moved leaves behind: some of the batch's files.
+    left = f"{location}/by_batch/batch_id=b"
+    whole.drop("batch_id").where("event_id < 3000").write.mode("append").parquet(left)
+    spark.sql("MSCK REPAIR TABLE IDENTIFIER(:t)", args={"t": by_batch})
+    spark.catalog.refreshTable(by_batch)
+    assert sink.read_batch(spark, by_batch, "b").count() == 3_000
+    with pytest.raises(CheckFailed):
+        sink.append_batch(whole, by_batch, "b")
+    for _ in range(2):
+        assert sink.replace_batch(whole, by_batch, "b") == "b"  # also of what was left
+        kept = sink.read_batch(spark, by_batch, "b")
+        assert kept.count() == 8_000 and kept.select("event_id").distinct().count() == 8_000
+    assert sink.read_batch(spark, by_batch, "other").count() == 50
+    sink.replace_batch(whole.limit(0), by_batch, "b")
+    assert spark.table(by_batch).count() == 50
+    sink.replace_batch(whole.limit(0), by_batch, "never seen")
+    assert spark.table(by_batch).count() == 50
+
+
+def test_only_tables_by_batch_replace(spark, events):
+    with pytest.raises(ValueError, match="not partitioned"):
+        sink.replace_batch(generate_batch(spark, 5), events, "b")
+
+
+def scanned_rows(df):
+    """Rows that the file scan of a plan has handed on, after row groups were skipped."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while not node.nodeName().startswith("Scan"):
+        node = node.children().apply(0)
+    return node.metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_bloom_filter_skips_row_groups(spark, database, location, filtered):
+    """Many batches in one file, in no order: only the filter can tell the row groups apart."""
+    table = f"{database}.mixed"
+    sink.ensure_table(
+        spark, table, schemas.EVENTS, f"{location}/mixed",
+        bloom_filters={"batch_id": 5_000} if filtered else None,
+    )
+    rows = generate_batch(spark, 100_000, 1).withColumn("batch_id", F.md5(F.col("event_id").cast("string")))
+    rows = rows.select(*schemas.EVENTS.names)
+    small = {"parquet.block.size": 1 << 16, "parquet.page.size": 1 << 12, "parquet.enable.dictionary": "false"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        sink.append(rows, table)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    wanted = rows.where("event_id = 51234").first()["batch_id"]
+    found = sink.read_batch(spark, table, wanted)
+    assert found.count() == 1
+    scanned = scanned_rows(sink.read_batch(spark, table, wanted))
+    assert (scanned < 15_000) if filtered else (scanned == 100_000), scanned
+
+
+def test_bloom_filter_of_no_column(spark, database, location):
+    for wrong in ({"nope": 5}, {"batch_id": 0}):
+        with pytest.raises(ValueError, match="bloom"):
+            sink.ensure_table(spark, f"{database}.t", schemas.EVENTS, f"{location}/t", bloom_filters=wrong)
