@@ -52,6 +52,10 @@ COMMON = 4_096
 #: Bits of the filter that tells which documents' sets are wanted.
 BLOOM_BITS = 1 << 26
 BITMAP_WORDS = 16
+#: Orders of the nodes by which hubs are chosen; a node of a group meets so many of its others.
+HUBS = 16
+#: Tokens of a node by which pairs are told to have met before.
+FIRST = 16
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -358,11 +362,13 @@ def cluster(docs: DataFrame) -> DataFrame:
     # Packs of common tokens (part -1) are dealt out anyhow; they pass through.
     dealt = packed.repartition(ranges, F.when(F.col("part") < 0, F.xxhash64("nodes")).otherwise(F.col("part")))
     found = staged(dealt.mapInArrow(_shared, "token long, node long, short boolean"))
+    # The token chooses one of a few orders of the nodes, whose first node is its hub.
+    rank = F.xxhash64(F.col("node"), F.pmod(F.shiftright("token", 7), F.lit(HUBS)))
     hubs = found.groupBy("token").agg(
-        F.min("node").alias("hub"), F.max("node").alias("last"), (F.count("*") > 2).alias("more"),
-        F.max("short").alias("any_short"),
+        F.min_by("node", rank).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last"),
+        (F.count("*") > 2).alias("more"), F.max("short").alias("any_short"),
     )
-    hubs = hubs.where("hub < last and any_short").drop("last", "any_short")
+    hubs = hubs.where("first < last and any_short").drop("first", "last", "any_short")
     # A hub's own row is not needed: every pair with it is a pair of the star.
     shared = staged(found.join(hubs, "token").where("node <> hub").distinct())
     links = verified(star_pairs(shared, nodes), nodes, texts, seed)
@@ -380,20 +386,38 @@ def star_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs with a common token and no common component that the filters let pass."""
+    """Pairs with a common token and no common component that the filters let pass.
+
+    The smaller set of a linked pair shares a token of its short prefix. Of all such tokens of a
+    pair only the first by value is wanted, or else a pair of near copies comes once for each.
+    So every node carries the first few of its tokens, and a pair is passed over at a token
+    where these show an earlier one that brings it.
+    """
     about = nodes.select("node", "n", "bitmap").join(labels, "node", "left")
     about = about.withColumn("comp", F.coalesce("comp", "node"))
     # Where a token has one node beside its hub, their pair is settled.
-    every = staged(shared.where("more").drop("more").join(about, "node"))
-    of_hub = about.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    rows = shared.where("more").drop("more")
+    first = rows.groupBy("node").agg(
+        F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("firsts"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("short"), F.col("token")))), 1, FIRST).alias("shorts"),
+    )
+    hub_of = about.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    every = staged(
+        rows.join(about, "node").join(first, "node").join(hub_of, "hub")
+        .withColumn("outside", F.col("comp") != F.col("hub_comp")).drop("hub", "hub_comp")
+    )
     # One side holds the nodes outside the component of the token's hub: nodes of a large
-    # group of near copies never meet each other here.
-    one = every.join(of_hub, "hub").where("comp <> hub_comp").drop("hub_comp").alias("x")
-    # The smaller set of a linked pair shares a token of its short prefix.
-    apart = (F.col("x.token") == F.col("y.token")) & F.expr(
-        "x.comp <> y.comp and (x.short and x.n <= y.n or y.short and y.n <= x.n)"
-    ) & near("x", "y")
-    pairs = one.join(every.alias("y"), apart)
+    # group of near copies never meet each other here. Two outside meet once.
+    meet = F.expr(
+        "x.token = y.token and x.comp <> y.comp and (not y.outside or x.node < y.node)"
+        " and (x.short and x.n <= y.n or y.short and y.n <= x.n)"
+    )
+    earlier = [
+        F.when(F.expr(f"{a}.n <= {b}.n"), F.array_min(F.array_intersect(f"{a}.shorts", f"{b}.firsts")))
+        for a, b in (("x", "y"), ("y", "x"))
+    ]
+    wanted = ~F.coalesce(F.least(*earlier) < F.col("x.token"), F.lit(False))
+    pairs = every.where("outside").alias("x").join(every.alias("y"), meet & near("x", "y") & wanted)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
