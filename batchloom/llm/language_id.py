@@ -6,11 +6,16 @@ costs the mean of those. A text costs the mean over its words, and the cheapest
 wins; equal costs go to the first language in alphabetical order.
 
 The model is fitted on a bounded sample: at most ``sample_per_language`` labelled rows of
-each language, the smallest by a hash of their id. It keeps at most ``max_words`` words and
-``max_grams`` n-grams of each order for each language, so its size has a fixed bound and it
-may travel to every task. Every text is scored whole.
-
-Edge cases: a null text or one without a letter gives ``und`` with score 0. A text whose
+each language, the smallest by a hash of their id, and ``SAMPLE`` rows in all. It keeps at most
+``max_words`` words (of those seen more than once in the sample) and ``max_grams`` n-grams of
+each order for each language, and ``UNITS`` costs in all, so its size has a fixed bound and it
+may travel to every task. Only costs of units that a language has are kept; all others share one.
+Beyond ``max_languages`` labels only the commonest are learned. Every text is scored whole; a
+task holds the costs of ``KEPT_WORDS`` words, or of one group of texts if that has more.
+
+Edge cases: ties go to the first language in alphabetical order; an empty table teaches and gives
+nothing; repeated rows are scored alike; further columns of any name pass through, but for those
+that the operator itself adds, which are replaced. a null text or one without a letter gives ``und`` with score 0. A text whose
 letters are all unknown gives the language with the most labelled rows, with that share as
 score. Without any labelled row every text gives ``und``.
 
@@ -24,8 +29,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,11 +40,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom.llm.common import staged
+from batchloom.operators.ordering import free_name
+from batchloom.sources.catalog import quoted
 
 ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
-#: Of unseen words whose costs a task keeps; it starts anew beyond that.
-KEPT_WORDS = 300_000
+#: Rows of the sample and costs of the model, in all.
+SAMPLE, UNITS = 600_000, 2_000_000
+#: Words whose costs a task keeps; it starts anew beyond that.
+KEPT_WORDS = 100_000
+#: Words of the texts that a task scores together.
+GROUP = 50_000
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang_pred string, score double"
 #: The order of n-grams by which a text is held against the language found.
@@ -58,23 +71,86 @@ def grams(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
+class Costs:
+    """Rows of costs, one for each language; most are ``absent`` and not held."""
+
+    def __init__(self, ends: np.ndarray, languages: np.ndarray, below: np.ndarray, absent: float):
+        self.ends, self.languages, self.below, self.absent = ends, languages, below, absent
+
+    @classmethod
+    def of(cls, rows: np.ndarray, languages: np.ndarray, costs: np.ndarray, n: int) -> Costs:
+        """From single costs; a language that a row lacks costs more than any unit costs."""
+        absent = float(costs.max() if len(costs) else 0) + 1
+        order = np.argsort(rows, kind="stable")
+        ends = np.cumsum(np.bincount(rows, minlength=n))
+        return cls(ends, languages[order].astype(np.int32), costs[order] - absent, absent)
+
+    @classmethod
+    def dense(cls, table: np.ndarray) -> Costs:
+        absent = float(table.max()) if table.size else 0.0
+        rows, languages = np.nonzero(table < absent)
+        ends = np.cumsum(np.bincount(rows, minlength=len(table)))
+        return cls(ends, languages.astype(np.int32), table[rows, languages] - absent, absent)
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of what these rows hold, and for each the position of its row."""
+        starts = np.where(rows > 0, self.ends[rows - 1], 0) if len(rows) else rows
+        sizes = self.ends[rows] - starts
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        return np.arange(len(owner)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes), owner
+
+    def mixed(self, rows: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, width: int) -> Costs:
+        """``n`` new rows, each the weighted sum of those rows here that it owns."""
+        at, which = self.entries(rows)
+        keys = owner[which] * width + self.languages[at]
+        found, place = np.unique(keys, return_inverse=True)
+        below = np.bincount(place, self.below[at] * weight[which], len(found))
+        ends = np.cumsum(np.bincount(found // width, minlength=n))
+        return Costs(ends, (found % width).astype(np.int32), below, self.absent)
+
+    def extended(self, more: Costs) -> Costs:
+        last = self.ends[-1] if len(self.ends) else 0
+        return Costs(
+            np.concatenate([self.ends, more.ends + last]),
+            np.concatenate([self.languages, more.languages]),
+            np.concatenate([self.below, more.below]),
+            self.absent,
+        )
+
+    def total(self, rows: np.ndarray, times: np.ndarray, width: int) -> np.ndarray:
+        """What the rows hold, so many times each, by language."""
+        at, which = self.entries(rows)
+        return np.bincount(self.languages[at], self.below[at] * times[which], width)
+
+
+def no_costs(absent: float) -> Costs:
+    return Costs(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), absent)
+
+
 @dataclass
 class Model:
     languages: list[str]
     #: Index of each word and n-gram in ``costs``; a blank at an end marks n-grams apart.
     words: dict[str, int]
     grams: dict[str, int]
-    #: For each unit, its cost in each language.
-    costs: np.ndarray
+    #: For each unit, its costs by language; a full table will do.
+    costs: Costs | np.ndarray
     share: np.ndarray
 
+    def __post_init__(self) -> None:
+        if isinstance(self.costs, np.ndarray):
+            self.costs = Costs.dense(self.costs)
+
 
 def sample(labelled: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
     """At most so many rows of each language, of ``doc_id, text, lang``."""
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     # Twice the rows wanted survive this cheap filter, so that no large group is sorted.
     cuts = [F.lit(x) for size in sizes.items() for x in (size[0], 2_000_000 * per_language // size[1])]
-    near = labelled.where(hashed <= F.element_at(F.create_map(*cuts), F.col("lang"))) if cuts else labelled
+    near = labelled.where(hashed <= F.try_element_at(F.create_map(*cuts), F.col("lang"))) if cuts else labelled
     first = Window.partitionBy("lang").orderBy(hashed, "doc_id", F.xxhash64("text"))
     return (
         near.withColumn("place", F.row_number().over(first))
@@ -84,10 +160,9 @@ def sample(labelled: DataFrame, sizes: dict[str, int], per_language: int) -> Dat
 
 
 def sizes_of(labelled: DataFrame, max_languages: int) -> dict[str, int]:
-    found = labelled.groupBy("lang").count().limit(max_languages + 1).collect()
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    return {row["lang"]: row["count"] for row in found}
+    """Rows of each language; of the ``max_languages`` commonest if there are more."""
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    return {row["lang"]: row["count"] for row in counts.limit(max_languages).collect()}
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,16 +184,15 @@ def fit(
     sample_per_language: int = 1_500,
     max_words: int = 40_000,
     max_grams: int = 10_000,
-    max_languages: int = 500,
+    max_languages: int = 2_000,
 ) -> Model:
-    """Learn from ``doc_id, text, lang``; rows without text or language teach nothing.
-
-    More than ``max_languages`` labels are an error, as no bound would hold for the model.
-    """
+    """Learn from ``doc_id, text, lang``; rows without text or language teach nothing."""
     labelled = labelled.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
     size = sizes_of(labelled, max_languages)
+    fraction = min(1, UNITS / max(1, len(size) * (max_words + len(ORDERS) * max_grams)))
+    max_words, max_grams = round(max_words * fraction), round(max_grams * fraction)
     counts = (
-        sample(labelled, size, sample_per_language)
+        sample(labelled, size, _rows_each(sample_per_language, size))
         .mapInPandas(_count, "lang string, kind int, unit string, n long")
         .groupBy("lang", "kind", "unit")
         .agg(F.sum("n").alias("n"))
@@ -139,21 +213,27 @@ def fit(
         index[kind > 0].setdefault(unit, len(index[0]) + len(index[1]))
     at = [index[kind > 0][unit] for kind, unit in zip(rows.kind, rows.unit)]
     column = {language: i for i, language in enumerate(languages)}
-    costs = np.full((len(index[0]) + len(index[1]), len(languages)), np.nan)
-    costs[at, [column[x] for x in rows.lang]] = -np.log10(rows.n / rows.total)
-    # A unit that a language lacks costs more than any unit it has.
-    costs[np.isnan(costs)] = (np.nanmax(costs) if len(costs) else 0) + 1
+    costs = Costs.of(
+        np.array(at, np.int64),
+        np.array([column[x] for x in rows.lang], np.int32),
+        -np.log10((rows.n / rows.total).to_numpy(float)),
+        len(index[0]) + len(index[1]),
+    )
     rows_of = np.array([size[x] for x in languages], dtype=float)
     return Model(languages, *index, costs, rows_of / max(1, rows_of.sum()))
 
 
-def fit_agreed(labelled: DataFrame, sample_per_language: int = 1_500, max_languages: int = 500) -> Model:
+def _rows_each(sample_per_language: int, sizes: dict[str, int]) -> int:
+    return min(sample_per_language, SAMPLE // max(1, len(sizes)))
+
+
+def fit_agreed(labelled: DataFrame, sample_per_language: int = 1_500, max_languages: int = 2_000) -> Model:
     """Learn from the rows of a sample whose label a model of the other half finds again, so
     that mislabelled rows do not speak for themselves. Languages of fewer than ``FEW`` rows keep
     all of theirs: half of those would be too little to judge by."""
     labelled = labelled.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
     sizes = sizes_of(labelled, max_languages)
-    rows = sample(labelled, sizes, sample_per_language)
+    rows = sample(labelled, sizes, _rows_each(sample_per_language, sizes))
     rows = staged(rows.withColumn("half", F.pmod(F.xxhash64("text", "doc_id"), F.lit(2))))
     agreed = []
     for half in (0, 1):
@@ -165,102 +245,146 @@ def fit_agreed(labelled: DataFrame, sample_per_language: int = 1_500, max_langua
 
 
 class Scorer:
-    """A task's copy of the model, with the costs of the unseen words it has met."""
+    """A task's copy of the model, with the costs of the words that it has met.
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.known = len(model.costs)
-        self.start()
+    Words are learned and texts scored in groups, so that costs are summed by arrays.
+    """
 
-        at = [i for gram, i in model.grams.items() if len(gram) == LOOK]
-        part = 10.0 ** -model.costs[at]
-        #: Of each language, the mean cost of its own n-grams of the order LOOK.
-        self.usual = (part * model.costs[at]).sum(axis=0) / np.maximum(part.sum(axis=0), 1e-300)
-        self.unseen = (model.costs.max() if self.known else 0) + 1
+    def __init__(self, model: Model, looks: bool = False) -> None:
+        self.model, self.by_look = model, looks
+        self.width = len(model.languages)
+        costs = model.costs
+        self.unseen = costs.absent + 1
+        if looks:
+            at = np.array([i for gram, i in model.grams.items() if len(gram) == LOOK], np.int64)
+            places, _ = costs.entries(at)
+            own, of = costs.below[places] + costs.absent, costs.languages[places]
+            lacking = (len(at) - np.bincount(of, minlength=self.width)) * 10.0**-costs.absent
+            part = np.bincount(of, 10.0**-own, self.width) + lacking
+            whole = np.bincount(of, 10.0**-own * own, self.width) + lacking * costs.absent
+            #: Of each language, the mean cost of its own n-grams of the order LOOK.
+            self.usual = whole / np.maximum(part, 1e-300)
+        self.start()
 
     def start(self) -> None:
-        #: Of words met: their n-grams of the order LOOK and what these cost in each language.
-        self.looks: dict[str, tuple[int, np.ndarray]] = {}
-        self.index = dict(self.model.words)
-        spare = np.empty((KEPT_WORDS, len(self.model.languages)))
-        self.costs = np.vstack([self.model.costs, spare])
-        self.used = self.known
-
-    def place(self, word: str) -> int:
-        """The row of the word's costs; -1 if not even a letter of it is known."""
+        #: Rows of the words met; -1 where not even a letter is known.
+        self.index: dict[str, int] = {}
+        self.costs = no_costs(self.model.costs.absent)
+        #: What the n-grams of order LOOK of a word cost, how many they are and how many unknown.
+        self.looks = no_costs(self.model.costs.absent)
+        self.cuts = np.zeros((2, 0), np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Work out the costs of words not met so far."""
+        model, get = self.model, self.model.grams.get
+        rows: list[int] = []
+        owner: list[int] = []
+        rest = []
+        for i, word in enumerate(new):
+            row = model.words.get(word)
+            if row is None:
+                rest.append(i)
+            else:
+                rows.append(row)
+                owner.append(i)
         for order in ORDERS:
-            found = [i for x in grams(word, order) if (i := self.model.grams.get(x)) is not None]
-            if found:
-                self.costs[self.used] = self.model.costs[found].mean(axis=0)
-                self.index[word] = self.used
-                self.used += 1
-                return self.used - 1
-        self.index[word] = -1
-        return -1
+            unknown = []
+            for i in rest:
+                found = [x for gram in grams(new[i], order) if (x := get(gram)) is not None]
+                if found:
+                    rows += found
+                    owner += [i] * len(found)
+                else:
+                    unknown.append(i)
+            rest = unknown
+        start = len(self.costs)
+        at = np.array(owner, np.int64)
+        weight = 1 / np.maximum(np.bincount(at, minlength=len(new)), 1)[at]
+        mixed = model.costs.mixed(np.array(rows, np.int64), at, weight, len(new), self.width)
+        self.costs = self.costs.extended(mixed)
+        self.index.update(zip(new, range(start, start + len(new))))
+        if self.by_look:
+            self._learn_looks(new)
+        for i in rest:
+            self.index[new[i]] = -1 - (start + i)
+
+    def _learn_looks(self, new: list[str]) -> None:
+        get = self.model.grams.get
+        rows: list[int] = []
+        owner: list[int] = []
+        cuts = np.zeros((2, len(new)), np.int64)
+        for i, word in enumerate(new):
+            cut = grams(word, LOOK)
+            found = [x for gram in cut if (x := get(gram)) is not None]
+            rows += found
+            owner += [i] * len(found)
+            cuts[:, i] = len(cut), len(cut) - len(found)
+        at = np.array(owner, np.int64)
+        mixed = self.model.costs.mixed(np.array(rows, np.int64), at, np.ones(len(at)), len(new), self.width)
+        self.looks = self.looks.extended(mixed)
+        self.cuts = np.concatenate([self.cuts, cuts], axis=1)
+
+    def prepare(self, group: list[Counter]) -> None:
+        new = {word for found in group for word in found if word not in self.index}
+        if len(self.index) + len(new) > KEPT_WORDS:
+            self.start()
+            new = {word for found in group for word in found}
+        if new and self.width:
+            self.learn(list(new))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        return self.verdict(words(text))[:2]
-
-    def verdict(self, found: list[str]) -> tuple[str, float, np.ndarray | None]:
-        """The language, its score and the mean costs; no costs if no letter is known."""
-        model, index = self.model, self.index
-        if not model.languages or not any(c.isalpha() for word in found for c in word):
-            return UNDETERMINED, 0.0, None
-        total, n = np.zeros(len(model.languages)), 0
-        at, times = [], []
-        for word, count in Counter(found).items():
-            place = index.get(word)
-            if place is None:
-                if self.used == len(self.costs):
-                    total, n = self.added(total, n, at, times)
-                    at, times = [], []
-                    self.start()
-                    index = self.index
-                place = self.place(word)
-            if place >= 0:
-                at.append(place)
-                times.append(count)
-        total, n = self.added(total, n, at, times)
+        return next(self.verdicts([text], None))[:2]
+
+    def verdicts(self, texts: Iterable[str | None], stated: Iterable[str | None] | None) -> Iterator[tuple]:
+        """``lang_pred, score`` of each text; with ``stated`` languages also ``strange`` and
+        ``against`` as in ``judge``."""
+        group: list[tuple[Counter, str | None]] = []
+        size = 0
+        for text, lang in zip(texts, stated if stated is not None else repeat(None)):
+            found = Counter(words(text))
+            group.append((found, lang))
+            size += len(found)
+            if size >= GROUP:
+                yield from self._scored(group)
+                group, size = [], 0
+        yield from self._scored(group)
+
+    def _scored(self, group: list[tuple[Counter, str | None]]) -> Iterator[tuple]:
+        self.prepare([found for found, _ in group])
+        return (self.verdict(found, lang) for found, lang in group)
+
+    def verdict(self, found: Counter, stated: str | None) -> tuple:
+        """The language, its score, what the text's look costs beyond the language's own, and
+        what its words cost more in the stated language."""
+        model = self.model
+        if not self.width or not any(c.isalpha() for word in found for c in word):
+            return UNDETERMINED, 0.0, math.inf, 0.0
+        rows = np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
+        times = np.fromiter(found.values(), np.int64, len(found))
+        known = rows >= 0
+        n = int(times[known].sum())
         if not n:
             best = int(model.share.argmax())
-            return model.languages[best], float(model.share[best]), None
-        mean = total / n
+            return model.languages[best], float(model.share[best]), math.inf, 0.0
+        mean = self.costs.total(rows[known], times[known], self.width) / n + self.costs.absent
         best = int(mean.argmin())
         # Words lean on each other, so a long text is no surer than one of 30 words.
         chance = np.exp((mean[best] - mean) * np.log(10) * min(n, 30))
-        return model.languages[best], float(1 / chance.sum()), mean
-
-    def judge(self, text: str | None, stated: str | None) -> tuple[str, float, float, float]:
-        """The language, its score, what the text's look costs beyond the language's own, and
-        what its words cost more in the stated language."""
-        found = words(text)
-        language, score, mean = self.verdict(found)
-        if mean is None:
-            return language, score, math.inf, 0.0
-        best = self.model.languages.index(language)
-        total, n = 0.0, 0
-        for word, count in Counter(found).items():
-            size, costs = self.looks.get(word) or self.look(word)
-            total += count * costs[best]
-            n += count * size
+        told = model.languages[best], float(1 / chance.sum())
+        if not self.by_look:
+            return *told, 0.0, 0.0
+        places = np.where(known, rows, -1 - rows)
+        size, unknown = (self.cuts[:, places] * times).sum(axis=1)
+        cost = self.looks.total(places, times, self.width)[best]
+        cost += (size - unknown) * self.costs.absent + unknown * self.unseen
         # So few n-grams may cost more by chance.
-        strange = total / n - self.usual[best] - SPREAD / math.sqrt(n)
-        known = stated in self.model.languages
-        return language, score, float(strange), float(mean[self.model.languages.index(stated)] - mean[best]) if known else 0.0
+        strange = cost / size - self.usual[best] - SPREAD / math.sqrt(size)
+        at = self.place_of.get(stated)
+        return *told, float(strange), 0.0 if at is None else float(mean[at] - mean[best])
 
-    def look(self, word: str) -> tuple[int, np.ndarray]:
-        if len(self.looks) >= KEPT_WORDS:
-            self.looks.clear()
-        cut = grams(word, LOOK)
-        at = [i for x in cut if (i := self.model.grams.get(x)) is not None]
-        costs = self.model.costs[at].sum(axis=0) + self.unseen * (len(cut) - len(at))
-        self.looks[word] = len(cut), costs
-        return self.looks[word]
-
-    def added(self, total, n, at, times):
-        if not at:
-            return total, n
-        return total + np.array(times, dtype=float) @ self.costs[at], n + sum(times)
+    @cached_property
+    def place_of(self) -> dict[str, int]:
+        return {language: i for i, language in enumerate(self.model.languages)}
 
 
 def language_of(model: Model, text: str = "text") -> Column:
@@ -270,18 +394,23 @@ def language_of(model: Model, text: str = "text") -> Column:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
-            yield pd.DataFrame(
-                [scorer.predict(x) for x in batch], columns=["lang_pred", "score"]
-            )
+            found = [x[:2] for x in scorer.verdicts(batch, None)]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return predict(F.col(text))
 
 
+def _with_fields(docs: DataFrame, found: Column, names: list[str]) -> DataFrame:
+    """``docs`` with the fields of a struct in place of columns of their names."""
+    kept = docs.drop(*names)
+    verdict = free_name(kept, "verdict")
+    full = kept.withColumn(verdict, found)
+    return full.select(*(F.col(quoted(c)) for c in kept.columns), f"{verdict}.*")
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    kept = docs.drop("lang_pred", "score", "_language")
-    found = kept.withColumn("_language", language_of(model))
-    return found.select(*[kept[f"`{c}`"] for c in kept.columns], "_language.*")
+    return _with_fields(docs, language_of(model), ["lang_pred", "score"])
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
@@ -289,17 +418,14 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
     ``strange`` is what the text's n-grams cost beyond those of the language found (infinite
     if no letter is known), ``against`` what its words cost more in the language of ``lang``.
+    Columns of these names are replaced.
     """
+    names = ["lang_pred", "score", "strange", "against"]
 
     @F.pandas_udf(f"{RESULT}, strange double, against double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorer = Scorer(model, looks=True)
         for texts, stated in batches:
-            yield pd.DataFrame(
-                [scorer.judge(x, y) for x, y in zip(texts, stated)],
-                columns=["lang_pred", "score", "strange", "against"],
-            )
-
-    kept = docs.drop("lang_pred", "score", "strange", "against", "_language")
-    found = kept.withColumn("_language", run(F.col("text"), F.col("lang")))
-    return found.select(*[kept[f"`{c}`"] for c in kept.columns], "_language.*")
+            yield pd.DataFrame(list(scorer.verdicts(texts, stated)), columns=names)
+
+    return _with_fields(docs, run(F.col("text"), F.col("lang")), names)
