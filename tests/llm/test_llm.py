@@ -141,10 +141,85 @@ def test_templates(spark):
     ]
     rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("window", F.lit(1)).withColumn("k", F.lit(2))
     found = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(rows, benchmark).collect()}
-    # Document 5 lets one name of the item stand for two.
-    assert set(found) == {(1, 1), (2, 1), (4, 2), (None, 1)}
+    # Document 5 lets one name of the item stand for two, but most of its words are the item's.
+    assert set(found) == {(1, 1), (2, 1), (4, 2), (5, 2), (None, 1)}
+    assert not found[5, 2].reparameterised and found[5, 2].n_windows < found[4, 2].n_windows
     assert found[2, 1].reparameterised and found[4, 2].reparameterised and not found[1, 1].reparameterised
-    assert sorted(r.doc_id for r in decontaminate.clean(rows, benchmark).collect()) == [3, 5, 6, 7, 8]
+    assert sorted(r.doc_id for r in decontaminate.clean(rows, benchmark).collect()) == [3, 6, 7, 8]
+
+
+DENSE = "12 + 7 = 19, 30 - 4 = 26, 5 * 9 = 45 and 81 / 9 = 9"
+SHORT_ITEM, TINY = "Why do cats sleep so long?", "Who won?"
+YEARS = "In 1999 the mill by the river was sold and the new owner, who came in 1999 from the north, let it fall to ruin within a few winters of rain"
+
+
+def test_dense_short_and_half_changed_items(spark):
+    benchmark = spark.createDataFrame([(1, DENSE), (2, SHORT_ITEM), (3, YEARS), (4, TINY)], "item_id long, text string")
+    rows = [
+        (1, f"See here: {DENSE}. Right?"), (2, f"He asked: {SHORT_ITEM.lower()} and left."),
+        (3, "x " + YEARS.replace("came in 1999", "came in 1998") + " y"), (4, "who won"), (5, "He asked who won? Nobody did."),
+        (6, DENSE.replace("19", "20").replace("30", "31")), (7, "Why do dogs sleep so long?"), (8, "12 + 7 = 19 and then 4 more"),
+        (9, YEARS.replace("1999", "2001")), (10, "1999 1999 1999 1999 1999 1999 1999 1999 1999"), (None, DENSE), (None, "clean text"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert found == {(1, 1): False, (2, 2): False, (3, 3): False, (4, 4): False, (9, 3): True, (None, 1): False}
+    kept = [tuple(r) for r in decontaminate.clean(docs, benchmark).select("doc_id", "text").collect()]
+    assert sorted(i for i, _ in kept if i) == [5, 6, 7, 8, 10]
+    assert [x for i, x in kept if i is None] == ["clean text"]
+
+
+def brute_leaks(docs, items):
+    """Documents and items by the rule itself, on lists of tokens; words without names or units."""
+    cut = lambda x: re.findall(r"[a-z0-9]+", (x or "").lower())
+    kind = lambda w: "#" if w[0].isdigit() else w
+    out = set()
+    for j, item in items:
+        own = cut(item)
+        size = min(len(own), 8)
+        for i, text in docs:
+            t = cut(text)
+            if size < 4:
+                out |= {(i, j)} if own and t == own else set()
+                continue
+            hits = [
+                (q - p, p, tuple(zip(t[q : q + size], own[p : p + size])))
+                for p in range(len(own) - size + 1) for q in range(len(t) - size + 1)
+                if [kind(w) for w in t[q : q + size]] == [kind(w) for w in own[p : p + size]]
+                and (sum(not w[0].isdigit() for w in own[p : p + size]) >= 4 or t[q : q + size] == own[p : p + size])
+            ]
+            places = set()
+            for offset, p, pairs in hits:
+                run = {x for o, _, ps in hits if o == offset for x in ps if x[0][0].isdigit()}
+                clash = lambda a: any((a[0] == b[0]) != (a[1] == b[1]) for b in run)  # noqa: E731, B023
+                slots = [x for x in pairs if x[0][0].isdigit()]
+                if all(a == b for a, b in slots) or not any(clash(x) for x in slots):
+                    places.add(p)
+            if len(places) >= min(6, len(own) - size + 1):
+                out.add((i, j))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["red", "blue", "cat", "dog", "runs", "1", "2", "37"])
+    items = [(j, " ".join(word() for _ in range(rng.choice([2, 4, 5, 6, 7, 9, 14, 20])))) for j in range(12)]
+    docs = []
+    for i in range(60):
+        _, item = rng.choice(items)
+        words = item.split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(words))
+            words[at] = rng.choice(["1", "2", "5"]) if words[at].isdigit() else rng.choice([words[at], word()])
+        around = [word() for _ in range(rng.randint(0, 6))]
+        docs.append((i, " ".join(around + words + around[::-1])))
+    found = decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    want = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 20
 
 
 def test_exact_passages_are_found(spark, documents, texts):
