@@ -53,9 +53,9 @@ COMMON = 4_096
 BLOOM_BITS = 1 << 26
 BITMAP_WORDS = 16
 #: Orders of the nodes by which hubs are chosen; a node of a group meets so many of its others.
-HUBS = 16
+HUBS = 4
 #: Tokens of a node by which pairs are told to have met before.
-FIRST = 16
+FIRST = 8
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -393,19 +393,23 @@ def open_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFr
     So every node carries the first few of its tokens, and a pair is passed over at a token
     where these show an earlier one that brings it.
     """
-    about = nodes.select("node", "n", "bitmap").join(labels, "node", "left")
-    about = about.withColumn("comp", F.coalesce("comp", "node"))
+    comps = nodes.select("node").join(labels, "node", "left")
+    comps = comps.select("node", F.coalesce("comp", "node").alias("comp"))
+    of_hub = comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
     # Where a token has one node beside its hub, their pair is settled.
     rows = shared.where("more").drop("more")
-    first = rows.groupBy("node").agg(
+    narrow = staged(
+        rows.join(comps, "node").join(of_hub, "hub")
+        .select("token", "node", "short", "comp", (F.col("comp") != F.col("hub_comp")).alias("outside"))
+    )
+    # Tokens whose nodes are all in one component are done; the others' rows get what filters need.
+    narrow = narrow.join(narrow.where("outside").select("token").distinct(), "token", "left_semi")
+    first = narrow.groupBy("node").agg(
         F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("firsts"),
         F.slice(F.array_sort(F.collect_list(F.when(F.col("short"), F.col("token")))), 1, FIRST).alias("shorts"),
     )
-    hub_of = about.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-    every = staged(
-        rows.join(about, "node").join(first, "node").join(hub_of, "hub")
-        .withColumn("outside", F.col("comp") != F.col("hub_comp")).drop("hub", "hub_comp")
-    )
+    about = nodes.select("node", "n", "bitmap").join(first, "node")
+    every = staged(narrow.join(about, "node"))
     # One side holds the nodes outside the component of the token's hub: nodes of a large
     # group of near copies never meet each other here. Two outside meet once.
     meet = F.expr(
