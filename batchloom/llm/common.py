@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,58 @@ def words_of(text: Column) -> Column:
 def fold(key: Column, folds: int) -> Column:
     """The fold of a row: crc32 of its key as text; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
+
+
+#: Elements that ``scan`` takes at a time, so that growing arrays stay small.
+CHUNK = 256
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scan(
+    items: Column,
+    start: Column,
+    step: Callable[[Column, Column], Column],
+    emit: Callable[[Column, Column], Column],
+    kind: str,
+) -> Column:
+    """``emit(state, item)`` of each item in order, an array of ``kind``; the state goes from
+    ``start`` on by ``step(state, item)``. Null or empty items give an empty array.
+
+    An array that grows by one is copied each time. So items are taken in chunks: first only the
+    states at which chunks begin are gathered, then each chunk's results.
+    """
+
+    def run(all_items: Column) -> Column:
+        last = F.floor((F.size(all_items) - 1) / CHUNK).cast("int")
+        chunks = F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.slice(all_items, i * CHUNK + 1, F.lit(CHUNK))
+        )
+        return let(chunks, through)
+
+    def through(chunks: Column) -> Column:
+        before = F.struct(start.alias("state"), F.slice(F.array(start), 1, 0).alias("states"))
+        states = F.aggregate(
+            chunks, before,
+            lambda to, chunk: F.struct(
+                F.aggregate(chunk, to["state"], step).alias("state"),
+                F.concat(to["states"], F.array(to["state"])).alias("states"),
+            ),
+        )["states"]
+        none = F.expr(f"cast(array() as array<{kind}>)")
+        return F.flatten(F.zip_with(
+            chunks, states,
+            lambda chunk, state: F.aggregate(
+                chunk, F.struct(state.alias("state"), none.alias("out")),
+                lambda to, x: F.struct(
+                    step(to["state"], x).alias("state"),
+                    F.concat(to["out"], F.array(emit(to["state"], x).cast(kind))).alias("out"),
+                ),
+            )["out"],
+        ))
+
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+    return let(items, lambda x: F.when(F.size(x) > 0, run(x)).otherwise(empty))

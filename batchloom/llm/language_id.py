@@ -53,6 +53,7 @@ KEPT_WORDS = 100_000
 GROUP = 50_000
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang_pred string, score double"
+VERDICT = f"{RESULT}, strange double, against double"
 #: The order of n-grams by which a text is held against the language found.
 LOOK = 3
 #: By how much single n-grams scatter, three times over.
@@ -413,19 +414,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return _with_fields(docs, language_of(model), ["lang_pred", "score"])
 
 
-def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, ``strange`` and ``against``.
+def judged(model: Model, text: str = "text", lang: str = "lang") -> Column:
+    """A struct of ``lang_pred`` and ``score``, ``strange`` and ``against`` for a text and the
+    language that it is said to be in.
 
     ``strange`` is what the text's n-grams cost beyond those of the language found (infinite
-    if no letter is known), ``against`` what its words cost more in the language of ``lang``.
-    Columns of these names are replaced.
+    if no letter is known), ``against`` what its words cost more in the stated language.
     """
-    names = ["lang_pred", "score", "strange", "against"]
 
-    @F.pandas_udf(f"{RESULT}, strange double, against double")
+    @F.pandas_udf(VERDICT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model, looks=True)
         for texts, stated in batches:
-            yield pd.DataFrame(list(scorer.verdicts(texts, stated)), columns=names)
+            found = list(scorer.verdicts(texts, stated))
+            yield pd.DataFrame(found, columns=["lang_pred", "score", "strange", "against"])
+
+    return run(F.col(text), F.col(lang))
 
-    return _with_fields(docs, run(F.col("text"), F.col("lang")), names)
+
+def judge(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the fields of ``judged``; columns of their names are replaced."""
+    return _with_fields(docs, judged(model), ["lang_pred", "score", "strange", "against"])

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm.common import GAP, staged
+from batchloom.operators.ordering import free_name
+from batchloom.sources.catalog import quoted
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 12
@@ -129,11 +131,13 @@ def mixed(
     docs = docs.drop("topic", "tokens", "rate", "copies")
     text = F.col("text")
     measured = docs.withColumns({"topic": topic(text) if topic_of is None else topic_of, "tokens": token_count(text)})
+    weight = free_name(docs, "weight")
+    key = {d: free_name(docs, f"{d}_label") for d in DIMENSIONS}
     table = cells(measured.select(_label("source").alias("source"), _label("lang").alias("lang"), "topic", "tokens"))
     weights = rake(table, default_targets(table) if targets is None else targets)
-    weights = weights.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), "weight")
-    same = reduce(Column.__and__, (_label(d) == F.col(f"_{d}") for d in DIMENSIONS))
+    weights = weights.select(*(F.col(d).alias(key[d]) for d in DIMENSIONS), F.col("weight").alias(weight))
+    same = reduce(Column.__and__, (_label(d) == F.col(key[d]) for d in DIMENSIONS))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)
-    rated = measured.join(weights, same).withColumn("rate", F.col("weight") * share)
+    rated = measured.join(weights, same).withColumn("rate", F.col(weight) * share)
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
-    return rated.withColumn("copies", copies).where("copies > 0").select(*docs.columns, "topic", "tokens", "rate", "copies")
+    return rated.withColumn("copies", copies).where("copies > 0").select(*map(quoted, docs.columns), "topic", "tokens", "rate", "copies")

@@ -11,11 +11,19 @@ further spans.
 
 Only DataFrame functions are used. Positions are in code points, ends exclusive.
 
+What may be an identifier is told by its look: words with a digit, with ``@``, ``(at)`` or
+``[at]``, and runs of digit groups with single blanks between them. Closing punctuation is not
+part of it. The context is taken from the text between an identifier and its neighbours, so the
+work is in proportion to the text, however many identifiers it has.
+
 Edge cases: a null text counts as empty and has no span. Patterns match from left to right
 without overlap within a kind; a match that fails its further test is dropped whole. Spans of
 different kinds may overlap. Found spans never overlap a base span. Repeated rows give equal
-rows, and a repeated identifier counts once for a pattern. Only ``doc_id`` and ``text`` are
-read, so other columns never clash.
+rows, and a repeated identifier counts once for a pattern. Of kinds that are equally sure the
+last in alphabetical order is taken. An empty table has no pattern and gives no rows. Very long
+texts are searched whole; a task holds the spans of one text and, where it is redacted, its
+characters as an array. Only ``doc_id`` and ``text`` are read, and ``redacted`` passes all other
+columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +33,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import staged
+from batchloom.llm.common import GAP, let, scan, staged
+from batchloom.operators.ordering import free_name
+from batchloom.sources.catalog import quoted
 
 KINDS = ("email", "ip", "card", "phone")
 # The quantifiers never give back: nothing a match could gain by that, and no deep recursion
@@ -37,8 +47,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit: what may be an identifier no fixed pattern knows.
-IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+_IN, _GROUP = r"[^\x20\x09-\x0D]", r"[(]?+[0-9][0-9().-]*+"
+#: What may be an identifier no fixed pattern knows: groups of digits; a word with an at sign
+#: in some spelling; a word with a digit. Closing punctuation is cut off later.
+IDENTIFIER = (
+    rf"(?<!{_IN})(?:{_GROUP}(?:\x20{_GROUP})++"
+    rf"|[^\x20\x09-\x0D@(\[]*+(?:[(\[](?!at[)\]])[^\x20\x09-\x0D@(\[]*+)*+(?:@|\(at\)|\[at\]){_IN}++"
+    rf"|[^\x20\x09-\x0D0-9]*+[0-9]{_IN}*+)"
+)
+CLOSING = r"[.,;:!?]+$"
 #: What a found identifier of a kind must look like.
 LOOKS = {
     "email": r"@|\(at\)|\[at\]",
@@ -48,28 +65,47 @@ LOOKS = {
 }
 ROUNDS = 3
 MIN_CONFIDENCE = 0.8
-#: Code points of context looked at on each side.
-REACH = 80
-SPAN = "struct<start:int,end:int,value:string>"
+SPAN = "struct<start:int,end:int,value:string,patterns:array<string>>"
+PLACED = "struct<kind:string,start:int,end:int,value:string,patterns:array<string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """The matches of the pattern in the text as an array of ``start, end, value``."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
-
-    def add(state: Column, pair: Column) -> Column:
-        start = (state["at"] + F.length(pair["gap"])).cast("int")
-        end = (start + F.length(pair["value"])).cast("int")
-        span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    pairs = F.zip_with(
-        F.slice(gaps, 1, F.size(found)), found,
-        lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")),
+    """The matches of the pattern in the text as an array of ``SPAN``."""
+    parts = F.struct(
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
     )
-    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, add)["spans"]).otherwise(none)
+    return let(parts, lambda p: _spans(p["gaps"], p["found"]))
+
+
+def _spans(gaps: Column, found: Column) -> Column:
+    """From the matches and the texts before, between and behind them."""
+    some, blank = F.size(found), F.array(F.lit(""))
+    # Of each match: the text before it back to the one before the last, and so on behind it.
+    rows = F.arrays_zip(
+        F.slice(gaps, 1, some).alias("gap"),
+        found.alias("value"),
+        F.concat(blank, F.slice(gaps, 1, F.greatest(some - 1, F.lit(0)))).alias("gap_before"),
+        F.concat(blank, F.slice(found, 1, F.greatest(some - 1, F.lit(0)))).alias("value_before"),
+        F.slice(gaps, 2, some).alias("gap_behind"),
+        F.concat(F.slice(found, 2, some), blank).alias("value_behind"),
+    )
+    length = lambda x: F.length(x["gap"]) + F.length(x["value"])
+
+    def span(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        value = F.regexp_replace(x["value"], CLOSING, "")
+        before = F.concat(x["gap_before"], x["value_before"], x["gap"])
+        closing = F.regexp_extract(x["value"], CLOSING, 0)
+        behind = F.concat(closing, x["gap_behind"], x["value_behind"])
+        return F.struct(
+            start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
+            _patterns(before, behind).alias("patterns"),
+        )
+
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    spans = scan(rows, F.lit(0), lambda at, x: at + length(x), span, SPAN)
+    return F.when(some > 0, spans).otherwise(none)
 
 
 def _holds(kind: str, value: Column) -> Column:
@@ -96,52 +132,78 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(may, found).otherwise(none)
 
 
-def _typed(kind: str) -> Column:
+def _typed(kind: str | None, spans: Column) -> Column:
     return F.transform(
-        F.col(kind),
-        lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")),
+        spans,
+        lambda x: F.struct(F.lit(kind).cast("string").alias("kind"), x["start"], x["end"], F.lower(x["value"]).alias("value"), x["patterns"]).cast(PLACED),
     )
 
 
-def _patterns(text: Column, start: Column, end: Column) -> Column:
-    """The lexical patterns around a span: two words before it; one before and one after.
+def _patterns(before: Column, behind: Column) -> Column:
+    """The lexical patterns around a span: two words before it; one before and one behind.
 
-    Digits count as alike. At an end of the text, or where the context holds fewer words, a
-    mark stands for the missing word.
+    Digits count as alike. Where the context holds fewer words, a mark stands for the missing one.
     """
-    low = F.greatest(start - REACH, F.lit(0))
     plain = lambda x: F.regexp_replace(F.lower(x), "[0-9]+", "0")
-    before = plain(F.concat(F.lit("^ ^ "), F.substring(text, low + 1, start - low)))
-    after = plain(F.concat(F.substring(text, end + 1, F.lit(REACH)), F.lit(" $")))
-    two = F.regexp_extract(before, r"([^\s]+\s+[^\s]*)\s*$", 1)
-    one = F.regexp_extract(before, r"([^\s]*)\s*$", 1)
-    then = F.regexp_extract(after, r"^\s*([^\s]*)", 1)
-    return F.array(F.concat(F.lit("L "), two), F.concat(F.lit("M "), one, F.lit(" _ "), then))
+    words = F.filter(F.split(F.concat(F.lit("^ ^ "), plain(before)), GAP), lambda w: w != "")
+    then = F.filter(F.split(F.concat(plain(behind), F.lit(" $")), GAP), lambda w: w != "")
+    last = lambda w: F.element_at(w, -1)
+    return F.array(
+        let(words, lambda w: F.concat(F.lit("L "), F.element_at(w, -2), F.lit(" "), last(w))),
+        F.concat(F.lit("M "), last(words), F.lit(" _ "), F.element_at(then, 1)),
+    )
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The ``others`` that overlap none of the spans: two passes over both in order of place.
+
+    Going up, an overlap shows by the farthest end of the spans so far; going down, by their
+    least start.
+    """
+    far = F.lit(2**31 - 1)
+    event = f"struct<start:int,own:boolean,free:boolean,x:{PLACED}>"
+
+    def marked(x: Column, own: bool) -> Column:
+        return F.struct(x["start"], F.lit(own).alias("own"), F.lit(True).alias("free"), x.alias("x")).cast(event)
+
+    both = F.array_sort(F.concat(
+        F.transform(spans, lambda x: marked(x, True)), F.transform(others, lambda x: marked(x, False))
+    ))
+
+    def free(e: Column, fits: Column) -> Column:
+        return F.struct(e["start"], e["own"], (e["free"] & fits).alias("free"), e["x"])
+
+    up = scan(
+        both, F.lit(-1),
+        lambda end, e: F.when(e["own"], F.greatest(end, e["x"]["end"])).otherwise(end),
+        lambda end, e: free(e, end <= e["start"]), event,
+    )
+    down = scan(
+        F.reverse(up), far,
+        lambda start, e: F.when(e["own"], F.least(start, e["start"])).otherwise(start),
+        lambda start, e: free(e, start >= e["x"]["end"]), event,
+    )
+    left = F.filter(down, lambda e: ~e["own"] & e["free"])
+    return F.reverse(F.transform(left, lambda e: e["x"]))
 
 
 def survey(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id, mark`` (a hash of the text), base ``spans``, and ``around``: the kind
-    (null for other words with a digit), place, value and patterns of each identifier."""
+    (null for others that may be identifiers), place, value and patterns of each."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.withColumns({kind: base_spans(F.col("text"), kind) for kind in KINDS})
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    words = F.when(F.col("text").rlike("[0-9]"), located(F.col("text"), IDENTIFIER)).otherwise(none)
-    rows = rows.withColumn("spans", F.concat(*map(_typed, KINDS))).withColumn("words", words)
-    rows = rows.drop(*KINDS)
-
-    def free(x: Column) -> Column:
-        return ~F.exists("spans", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
-
-    others = F.transform(
-        F.filter("words", free),
-        lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")),
+    may = F.col("text").rlike(r"[0-9@]|[(\[]at[)\]]")
+    words = F.when(may, located(F.col("text"), IDENTIFIER)).otherwise(none)
+    rows = rows.withColumn("spans", F.concat(*(_typed(kind, F.col(kind)) for kind in KINDS)))
+    rows = rows.withColumn("others", _typed(None, words)).drop(*KINDS)
+    apart = F.when((F.size("spans") > 0) & (F.size("others") > 0), _apart(F.col("spans"), F.col("others")))
+    rows = rows.withColumn("apart", F.coalesce(apart, "others"))
+    place = F.transform("spans", lambda x: F.struct(x["kind"], x["start"], x["end"]))
+    return rows.select(
+        "doc_id", F.xxhash64("text").alias("mark"), place.alias("spans"), F.concat("spans", "apart").alias("around")
     )
-    around = F.transform(
-        F.concat("spans", others),
-        lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), _patterns(F.col("text"), x["start"], x["end"]).alias("patterns")),
-    )
-    return rows.select("doc_id", F.xxhash64("text").alias("mark"), "spans", around.alias("around"))
 
 
 def sure_patterns(edges: DataFrame) -> DataFrame:
@@ -205,9 +267,8 @@ def find(docs: DataFrame) -> DataFrame:
     more = discovered(surveyed).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "found")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
-    plain = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return (
-        surveyed.select("doc_id", "mark", plain.alias("spans")).join(more, same, "left")
+        surveyed.select("doc_id", "mark", "spans").join(more, same, "left")
         .select("doc_id", "mark", "spans", F.coalesce("found", none).alias("found"))
     )
 
@@ -231,24 +292,40 @@ def redacted(docs: DataFrame) -> DataFrame:
     span, or null, stays as it is.
     """
     found = find(docs).where("size(spans) + size(found) > 0").distinct()
+    names = {name: free_name(docs, name) for name in ("id", "mark", "spans", "text")}
     keyed = found.select(
-        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.concat("spans", "found").alias("_spans")
-    )
+        F.col("doc_id").alias(names["id"]), F.col("mark").alias(names["mark"]),
+        F.concat("spans", "found").alias(names["spans"]),
+    )
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark"))
-
-    def add(state: Column, x: Column) -> Column:
-        between = F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"])
-        more = F.concat(state["out"], between, F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        apart = x["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], x["end"]).alias("at"),
-            F.when(apart, more).otherwise(state["out"]).alias("out"),
-        )
-
-    order = F.sort_array(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
-    rest = F.expr("substring(text, _done.at + 1)")
-    kept = docs.join(keyed, same, "left").withColumn("_done", done)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat("_done.out", rest))
-    return kept.withColumn("text", text).select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(names["id"])) & (mark == F.col(names["mark"]))
+    spans = F.col(names["spans"])
+    text = F.when(spans.isNull(), F.col("text")).otherwise(_replaced(F.col("text"), spans))
+    # Worked out beside the old text, since the new one is made of it.
+    kept = docs.join(keyed, same, "left").withColumn(names["text"], text)
+    new = {"text": F.col(names["text"]).alias("text")}
+    return kept.select(*(new.get(c, F.col(quoted(c))) for c in docs.columns))
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with its spans replaced; its characters are an array, so that pieces are cut
+    without counting from the text's start each time."""
+    places = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"], x["end"], x["kind"])))
+
+    def cut(chars: Column, start: Column, length: Column) -> Column:
+        return F.array_join(F.slice(chars, start + 1, length), "")
+
+    def filled(chars: Column, order: Column) -> Column:
+        pieces = scan(
+            order, F.lit(0),
+            lambda at, x: F.greatest(at, x["end"]),
+            lambda at, x: F.when(
+                x["start"] >= at,
+                F.concat(cut(chars, at, x["start"] - at), F.lit("["), F.upper(x["kind"]), F.lit("]")),
+            ).otherwise(""),
+            "string",
+        )
+        end = F.array_max(F.transform(order, lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), cut(chars, end, F.size(chars)))
+
+    return let(F.split(text, "", -1), lambda chars: let(places, lambda order: filled(chars, order)))

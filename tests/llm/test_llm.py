@@ -418,6 +418,108 @@ def test_contexts_find_more(spark):
     assert clean[0] == "word0 please call me at [PHONE] or else" and clean[102] is None
 
 
+def test_unseen_forms_are_found(spark):
+    rows = [(i, f"note {i % 7} reach me by mail to user{i}@host{i % 9}.example today ok") for i in range(40)]
+    rows += [(100 + i, f"so {i % 7} please call me at +1 555 01{i:02d} 99{i:02d} or else") for i in range(40)]
+    forms = {
+        200: ("reach me by mail to ", "john.smith[at]example.com", "EMAIL", " today ok"),
+        201: ("reach me by mail to ", "jane(at)example.org", "EMAIL", " today ok"),
+        202: ("you please call me at ", "555 123 4567", "PHONE", " or else"),
+        203: ("you please call me at ", "(555) 123-4567", "PHONE", " or else"),
+        204: ("reach me by mail to ", "user@localhost", "EMAIL", ", today ok"),
+    }
+    rows += [(i, before + form + after) for i, (before, form, _, after) in forms.items()]
+    rows += [(300, "please look at 12 34 or else"), (301, "by mail to all of them today ok"), (302, "the score (at) half time 3 2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in private_data.digest(private_data.find(docs)).collect()}
+    clean = {r.doc_id: r.text for r in private_data.redacted(docs).collect()}
+    for i, (before, form, kind, after) in forms.items():
+        assert found[i].spans == f"{kind.lower()}:{len(before)}:{len(before + form)}" and found[i].n_found == 1
+        assert clean[i] == f"{before}[{kind}]{after}"
+    assert [found[i].spans for i in (300, 301, 302)] == ["", "", ""]
+
+
+def brute_found(rows):
+    """The graph and its rounds on plain dictionaries; candidates and context by words."""
+    plain = lambda x: re.sub("[0-9]+", "0", x.lower())
+    look = re.compile(r"(?:[(]?[0-9][0-9().-]*(?: [(]?[0-9][0-9().-]*)+|\S*(?:@|\(at\)|\[at\])\S+|\S*[0-9]\S*)")
+    looks = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9][.:][0-9]+[.:][0-9]+[.:][0-9]", "card": r"(?:[0-9][^0-9]*){12}", "phone": r"(?:[0-9][^0-9]*){7}"}
+    places = []
+    for i, text in rows:
+        spans = base(text)
+        at, others = 0, []
+        while (m := re.compile(r"(?<!\S)" + look.pattern).search(text, at)) is not None:
+            value = re.sub(r"[.,;:!?]+$", "", m[0])
+            others.append((None, m.start(), m.start() + len(value)))
+            at = m.end()
+        others = [x for x in others if not any(s < x[2] and x[1] < e for _, s, e in spans)]
+        for kind, s, e in [*spans, *others]:
+            before, after = ["^", "^", *plain(text[:s]).split()], [*plain(text[e:]).split(), "$"]
+            patterns = {f"L {before[-2]} {before[-1]}", f"M {before[-1]} _ {after[0]}"}
+            places.append((i, kind, s, e, text[s:e].lower(), patterns))
+    links = {(p, v) for *_, v, ps in places for p in ps}
+    seeds = {(v, k): 1.0 for _, k, _, _, v, _ in places if k}
+    scores, seeded = dict(seeds), {v for v, _ in seeds}
+    size = Counter(p for p, _ in links)
+    degree = Counter(v for _, v in links)
+    for _ in range(private_data.ROUNDS):
+        sums, more = Counter(), Counter()
+        for p, v in links:
+            for (w, k), x in scores.items():
+                if w == v:
+                    sums[p, k] += x
+        sure = {(p, k): x / (size[p] + 1) for (p, k), x in sums.items()}
+        for p, v in links:
+            for (q, k), x in sure.items():
+                if q == p and x >= 0.5 and v not in seeded:
+                    more[v, k] += x / degree[v]
+        scores = seeds | more
+    out = set()
+    for i, kind, s, e, v, ps in places:
+        if kind is None:
+            fit = [(x, k) for (p, k), x in sure.items() if p in ps and x >= private_data.MIN_CONFIDENCE and re.search(looks[k], v)]
+            if fit:
+                out.add((i, max(fit)[1], s, e))
+    return out
+
+
+def test_found_spans_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    forms = ["+1 555 {a} {b}", "555 {a} {b}", "u{a}@h.example", "u{a}[at]h.example", "{a}", "x{b}", "10.0.{c}.{c}", "10.0.{c}"]
+    frames = ["call {x} now", "mail to {x} or", "host {x} is up", "see {x}"]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            frame = rng.randrange(4)
+            form = rng.choice([*[forms[2 * frame % 8]] * 9, forms[2 * frame % 8 + 1]])
+            x = form.format(a=rng.randint(100, 9999), b=rng.randint(1000, 9999), c=rng.randint(0, 255))
+            parts.append(frames[frame].format(x=x))
+        rows.append((i, " and ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, x.kind, x.start, x.end) for r in private_data.find(docs).collect() for x in r.found}
+    want = brute_found(rows)
+    assert found == want and len(want) > 5
+
+
+def test_personal_data_in_proportion_to_the_text(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"call +1 555 {i:07d} or a{i}@b.c and x{i} 12 34 56{i % 10}, ok" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begin = time.time()
+        (row,) = private_data.redacted(docs).collect()
+        assert row.text.count("[PHONE]") >= n and row.text.count("[EMAIL]") == n
+        return time.time() - begin
+
+    took(100)
+    small, large = took(2_500), took(25_000)
+    assert large < 10 * small + 5
+
+
 def test_personal_data_odd_rows(odd, empty):
     assert private_data.find(odd).count() == len(ODD)
     clean = private_data.redacted(odd)
@@ -601,10 +703,29 @@ def test_pipeline(spark, documents, texts):
     assert set(kept["mixing"]) <= set(kept["personal_data"])
 
 
+#: Names that the operators use or have used inside, and those of their results.
+INSIDE = (
+    "_id", "_mark", "_spans", "_done", "_leak", "_kept", "_rows", "_source", "_lang", "_topic", "_language",
+    "verdict_0", "least_0", "rows_0", "leak_0", "own_0", "id_0", "mark_0", "spans_0", "text_0", "weight_0", "source_label_0",
+    "weight", "doc", "item", "item_id", "window", "size", "offset", "slots", "label", "comp", "strange", "against", "a.b",
+    "text_", "component_id", "n_shingles", "found", "pattern", "confidence", "topic", "tokens", "rate", "copies", "key", "Row",
+)
+
+
 def test_pipeline_odd_rows(spark, odd, empty):
-    for rows in (odd.drop(*CLASHES), empty):
-        for _, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, rows, SF)
+    clashing = odd.withColumns({name: F.lit("clash") for name in INSIDE if name not in odd.columns and name != "a.b"})
+    clashing = clashing.withColumn("a.b", F.lit("clash"))
+    for rows in (clashing, odd.drop(*CLASHES), empty):
+        columns, all_rows = rows.columns, rows.count()
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, SF).cache()
+            if name != "mixing":
+                assert rows.columns == columns
+                extra = [c for c in columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+                assert all({r[c]} == {"clash"} for r in rows.collect() for c in extra)
+            if name == "near_duplicates" and all_rows:
+                assert rows.count() > 0
+        assert set(columns) <= set(rows.columns)
         rows.collect()
 
 
