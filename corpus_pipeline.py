@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from batchloom.llm import decontaminate, language_id, mixing, private_data, similarity_join
 from batchloom.llm.common import staged, table
+from batchloom.operators.ordering import free_name
 
 
 #: Most that a text's n-grams may cost beyond the usual of its language, and least that its
@@ -29,12 +30,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if no language is likelier than all others together. Texts without a letter and those that
     look like none of the languages go, whatever their label.
     """
-    found = language_id.judge(docs, language_id.fit_agreed(docs))
-    wrong = (F.col("score") >= SURE) & (F.col("against") >= MIN_AGAINST)
-    lang = F.when(F.col("lang").isNull() | wrong, F.col("lang_pred")).otherwise(F.col("lang"))
-    told = F.col("lang").isNotNull() | (F.col("score") > LIKELY)
-    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("strange") <= MAX_STRANGE)
-    return found.where(known & told).withColumn("lang", lang).select(docs.columns)
+    verdict = free_name(docs, "verdict")
+    found = docs.withColumn(verdict, language_id.judged(language_id.fit_agreed(docs)))
+    of = F.col(verdict)
+    wrong = (of["score"] >= SURE) & (of["against"] >= MIN_AGAINST)
+    lang = F.when(F.col("lang").isNull() | wrong, of["lang_pred"]).otherwise(F.col("lang"))
+    told = F.col("lang").isNotNull() | (of["score"] > LIKELY)
+    known = (of["lang_pred"] != language_id.UNDETERMINED) & (of["strange"] <= MAX_STRANGE)
+    return found.where(known & told).withColumn("lang", lang).drop(verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +48,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = staged(similarity_join.cluster(docs))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    once = own.where("_rows = 1").drop("_rows")
-    again = own.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).select(docs.columns)
+    least, rows = free_name(docs, "least"), free_name(docs, "rows")
+    kept = kept.groupBy(F.col("doc_id").alias(least)).agg(F.count("*").alias(rows))
+    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(least))).drop(least)
+    once = own.where(F.col(rows) == 1).drop(rows)
+    again = own.where(F.col(rows) > 1).drop(rows).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
