@@ -43,14 +43,18 @@ from batchloom.llm.components import components
 SHINGLE = 5
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Hash buckets of the frequency table; two bytes each where it is sent to tasks.
-BUCKET_BITS = 23
+#: Hash buckets of the frequency table, as powers of two: a quarter of the shingles, within
+#: these bounds. A bucket takes one byte where the table is sent to tasks.
+LEAST_BITS, MOST_BITS = 16, 25
+#: Code points that a word of the text takes, by which shingles are counted beforehand.
+WORD_BYTES = 6
 #: Pieces in which tasks hand in their frequency tables.
 PIECES = 64
-#: A token of a bucket beyond this count is spread by Spark's joins, not packed.
-COMMON = 4_096
-#: Bits of the filter that tells which documents' sets are wanted.
-BLOOM_BITS = 1 << 26
+#: A token of a bucket beyond this count, and so many times the mean, is spread by Spark's
+#: joins, not packed.
+COMMON, TIMES_MEAN = 4_096, 64
+#: Bits for each document of the filter that tells whose sets are wanted, and most bits in all.
+BLOOM_EACH, BLOOM_MOST = 16, 1 << 29
 BITMAP_WORDS = 16
 #: Orders of the nodes by which hubs are chosen; a node of a group meets so many of its others.
 HUBS = 4
@@ -90,8 +94,17 @@ def short_length(n: int) -> int:
     return n + 2 * PERCENT * -n // (100 + PERCENT) + 1
 
 
-def buckets(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def bucket_bits(shingles: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, shingles.bit_length() - 2))
+
+
+def buckets(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, in steps of an eighth of a doubling, so they never run full."""
+    return np.round(8 * np.log2(1 + counts)).astype(np.uint8)
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -105,11 +118,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
         yield x.as_py()
 
 
-def _survey(seed: int) -> Callable:
+def _survey(seed: int, bits: int) -> Callable:
     """Rows of every document, then the task's frequency table in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint16)
         met: set[int] = set()
         for batch in batches:
             sizes, nodes, checks, maps = [], [], [], []
@@ -118,7 +131,9 @@ def _survey(seed: int) -> Callable:
                 node = node_of(tokens, seed)
                 if node not in met:
                     met.add(node)
-                    np.add.at(counts, buckets(tokens), 1)
+                    at = buckets(tokens, bits)
+                    # A task's count stays where it is before it could run over.
+                    np.add.at(counts, at[counts[at] < 60_000], 1)
                 sizes.append(len(tokens))
                 nodes.append(node if len(tokens) else None)
                 checks.append(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed + 1) - (1 << 63))
@@ -147,29 +162,29 @@ def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts")):
-            more = np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).astype(np.int64)
+            more = np.frombuffer(zlib.decompress(counts.as_py()), np.uint16).astype(np.int64)
             total[piece] = total[piece] + more if piece in total else more
     for piece, counts in total.items():
-        capped = np.minimum(counts, 65_535).astype(np.uint16)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": pa.array([capped.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "counts": pa.array([level(counts).tobytes()], pa.binary())})
 
 
-def frequencies(survey: DataFrame) -> np.ndarray:
-    """The bucket counts of all documents, up to 65,535: a table of fixed size."""
+def frequencies(survey: DataFrame, bits: int) -> np.ndarray:
+    """The levels of the bucket counts of all documents: a table of bounded size."""
     summed = (
         survey.where("piece is not null").select("piece", "counts")
         .repartition(PIECES, "piece")
         .mapInArrow(_sum_pieces, "piece int, counts binary")
         .collect()
     )
-    table = np.zeros((PIECES, (1 << BUCKET_BITS) // PIECES), np.uint16)
+    table = np.zeros((PIECES, (1 << bits) // PIECES), np.uint8)
     for row in summed:
-        table[row.piece] = np.frombuffer(row.counts, np.uint16)
+        table[row.piece] = np.frombuffer(row.counts, np.uint8)
     return table.ravel()
 
 
-def _pack(table: np.ndarray, seed: int, ranges: int) -> Callable:
+def _pack(table: np.ndarray, common_from: int, seed: int, ranges: int) -> Callable:
     """For each hash range, the prefix tokens of the task's nodes beside their nodes."""
+    bits = len(table).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -178,7 +193,7 @@ def _pack(table: np.ndarray, seed: int, ranges: int) -> Callable:
         def packed() -> pa.RecordBatch:
             tokens = np.concatenate(found)
             nodes = np.concatenate(owner)
-            common = table[buckets(tokens)] > COMMON
+            common = table[buckets(tokens, bits)] > common_from
             out = [(-1, *np.stack([tokens[common].view(np.int64), nodes[common]]))] if common.any() else []
             tokens, nodes = tokens[~common], nodes[~common]
             order = np.argsort(tokens)
@@ -198,7 +213,7 @@ def _pack(table: np.ndarray, seed: int, ranges: int) -> Callable:
                 if not len(tokens) or (node := node_of(tokens, seed)) in met:
                     continue
                 met.add(node)
-                first = np.argsort(table[buckets(tokens)], kind="stable")[: prefix_length(len(tokens))]
+                first = np.argsort(table[buckets(tokens, bits)], kind="stable")[: prefix_length(len(tokens))]
                 # The last bit tells whether the token is in the short prefix.
                 short = np.arange(len(first)) < short_length(len(tokens))
                 found.append(tokens[first] & ~np.uint64(1) | short.astype(np.uint64))
@@ -266,30 +281,30 @@ def _sets(bloom: np.ndarray, seed: int) -> Callable:
     return run
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A bit for each of the hashed ids; of fixed size, so that it may go to every task."""
+def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each of the hashed ids; of bounded size, so that it may go to every task."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
+        marks: dict[int, np.ndarray] = {}
         for batch in batches:
             place = batch.column("place").to_numpy()
             for piece in np.unique(place >> 20):
-                own = bits.setdefault(int(piece), np.zeros(1 << 17, np.uint8))
+                own = marks.setdefault(int(piece), np.zeros(1 << 17, np.uint8))
                 at = place[place >> 20 == piece] & ((1 << 20) - 1)
                 np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for piece, own in bits.items():
+        for piece, own in marks.items():
             yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "bits": pa.array([own.tobytes()], pa.binary())})
 
-    places = ids.select(_place()).distinct()
-    pieces = places.repartition(BLOOM_BITS >> 20, F.shiftright("place", 20)).mapInArrow(mark, "piece int, bits binary")
-    table = np.zeros((BLOOM_BITS >> 20, 1 << 17), np.uint8)
+    places = ids.select(_place(bits)).distinct()
+    pieces = places.repartition(bits >> 20, F.shiftright("place", 20)).mapInArrow(mark, "piece int, bits binary")
+    table = np.zeros((bits >> 20, 1 << 17), np.uint8)
     for row in pieces.collect():
         table[row.piece] |= np.frombuffer(row.bits, np.uint8)
     return table.ravel()
 
 
-def _place() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("place")
+def _place(bits: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place")
 
 
 def linked(one: np.ndarray, two: np.ndarray) -> bool:
@@ -316,9 +331,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, seed: int) ->
     pairs = staged(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = staged(ends.join(nodes.select("node", "doc_id"), "node"))
+    bits = min(BLOOM_MOST, 1 << max(20, (BLOOM_EACH * wanted.count()).bit_length()))
     sets = staged(
-        texts.select("text", _place())
-        .mapInArrow(_sets(_bloom(wanted), seed), "node long, tokens binary")
+        texts.select("text", _place(bits))
+        .mapInArrow(_sets(_bloom(wanted, bits), seed), "node long, tokens binary")
         .join(wanted.select("node"), "node")
         .dropDuplicates(["node"])
     )
@@ -340,9 +356,10 @@ def near(x: str, y: str) -> Column:
 def cluster(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (``doc_id, text``)."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    seed = 0
+    seed, size = 0, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bucket_bits(size // WORD_BYTES)
     while True:
-        survey = staged(texts.mapInArrow(_survey(seed), SURVEY))
+        survey = staged(texts.mapInArrow(_survey(seed, bits), SURVEY))
         rows = survey.where("n is not null")
         nodes = staged(
             rows.where("n > 0").groupBy("node")
@@ -356,9 +373,10 @@ def cluster(docs: DataFrame) -> DataFrame:
         if not total[1]:
             break
         seed += 2
-    table = frequencies(survey)
+    table = frequencies(survey, bits)
     ranges = max(12, (total[0] or 0) // 2_000_000)
-    packed = texts.mapInArrow(_pack(table, seed, ranges), "part int, tokens binary, nodes binary")
+    common_from = int(level(np.array(max(COMMON, TIMES_MEAN * (total[0] or 0) >> bits))))
+    packed = texts.mapInArrow(_pack(table, common_from, seed, ranges), "part int, tokens binary, nodes binary")
     # Packs of common tokens (part -1) are dealt out anyhow; they pass through.
     dealt = packed.repartition(ranges, F.when(F.col("part") < 0, F.xxhash64("nodes")).otherwise(F.col("part")))
     found = staged(dealt.mapInArrow(_shared, "token long, node long, short boolean"))
