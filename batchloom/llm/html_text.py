@@ -14,9 +14,13 @@ for what they do not show. All features come from fixed lists, so the model has
 Every page is read whole.
 
 Edge cases: a null or empty page gives the empty text. Broken markup never fails: end tags
-without a start are skipped, missing ones are implied, an unclosed comment or script runs to the end. Pages
-without tags are one block. Repeated rows give equal rows. Only the ``html`` column and the
-named key columns are read, so other columns never clash.
+without a start are skipped, missing ones are implied, an unclosed comment, script, style, title or
+text area runs to the end. Buttons, pictures and other elements that hold no page text are left
+out as far as their end tag; without one, only up to the next block. Text outside of any element
+is a block of its own, so pages without tags are one block. The work is in proportion to the page,
+also on markup that is never closed; a page is held whole. A node that is as likely content as not
+is kept. Repeated rows give equal rows, an empty table none. Only the ``html`` column and the named
+key columns are read, so other columns never clash.
 """
 
 from __future__ import annotations
@@ -31,11 +35,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose inside is never page text.
-HIDDEN = "script|style|noscript|template|title|textarea|select|button|svg|iframe|object|video|audio|canvas|math"
+#: Elements whose inside is text without markup up to their end tag, and never page text.
+RAW = "script|style|textarea|title"
+#: Other elements whose inside is not page text; the first may hold others of their own name,
+#: and of these the first two may end where they start.
+NESTED, FLAT = ("svg", "math", "object", "template"), ("select", "button", "iframe", "noscript", "video", "audio", "canvas")
+SELF_CLOSED = NESTED[:2]
+SKIPPED = re.compile(rf"<(/?)({'|'.join(NESTED + FLAT)})(?=[\s>/])", re.I)
+# Of a tag's inside first as far as quotes are closed, else up to the next bracket. Nothing is
+# given back, and as the search ends at the last bracket of the page, each try consumes what it
+# has looked at.
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{HIDDEN})(?=[\s>/])[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*|[^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|(?P<open>\Z))|<(?P<raw>{RAW})(?=[\s>/])[^>]*+>.*?(?:</(?P=raw)\s*+>|(?P<unended>\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?=>)|[^>]*+)>|<[!?/][^>]*+>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -45,7 +57,7 @@ KINDS = {
         "main": "article main",
         "frame": "nav header footer aside menu form fieldset dialog address details legend",
         "heading": "h1 h2 h3 h4 h5 h6",
-        "prose": "p blockquote pre figure figcaption dd",
+        "prose": "p blockquote pre figure figcaption dd #text",
         "list": "ul ol dl li dt summary",
         "table": "table thead tbody tfoot tr td th caption",
         "box": "div section center body html head hr",
@@ -55,6 +67,8 @@ KINDS = {
 #: Elements that one of the same group ends, if no boundary lies between.
 IMPLIED = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 BOUNDARY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: Elements that no open paragraph goes beyond.
+AROUND_P = {"td", "th", "li"} | {x for x, k in KINDS.items() if k in ("main", "frame", "box")}
 ASIDE = set(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie "
     "copyright disqus footer form header legal login menu modal nav navbar navigation newsletter notice "
@@ -66,6 +80,25 @@ WORD = re.compile(r"[a-z]+")
 SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
 
+def _ends_of_skipped(source: str) -> dict[int, int]:
+    """Where elements that hold no page text begin, and where the end tag of each ends."""
+    begun: dict[str, list[int]] = {tag: [] for tag in NESTED + FLAT}
+    ends = {}
+    for found in SKIPPED.finditer(source):
+        tag = found[2].lower()
+        if found[1]:
+            if begun[tag]:
+                ends[begun[tag].pop()] = source.find(">", found.end()) + 1 or len(source)
+        else:
+            if tag in FLAT:
+                # The one before was never closed.
+                begun[tag].clear()
+            close = source.find(">", found.end())
+            if tag not in SELF_CLOSED or source[close - 1] != "/":
+                begun[tag].append(found.start())
+    return ends
+
+
 class Page:
     """The blocks of a page: for each node its parent, element, class words and own texts."""
 
@@ -75,21 +108,41 @@ class Page:
         self.chars, self.linked, self.ends = [0], [0], [0]
         self.texts: list[tuple[int, str]] = []
         self._open = [0]
+        self._opened: Counter = Counter()
         self._parts: list[str] = []
-        self._links, self._in_link = 0, False
+        self._links, self._in_link, self._mute = 0, False, False
+        self._read(source)
+        self._flush()
+
+    def _read(self, source: str) -> None:
+        last = source.rfind(">") + 1
+        ends = _ends_of_skipped(source) if SKIPPED.search(source) else {}
         at = 0
-        for found in MARKUP.finditer(source):
+        for found in MARKUP.finditer(source, 0, last):
+            if found.start() < at:
+                continue
             if found.start() > at:
                 self._text(source[at : found.start()])
             at = found.end()
-            if found["tag"]:
-                self._tag(found["tag"].lower(), bool(found["end"]), found["rest"])
-            elif found["hidden"]:
+            if found["open"] is not None or found["unended"] is not None:
+                return
+            if found["raw"]:
                 self._parts.append(" ")
-        self._text(source[at:])
-        self._flush()
+            elif found["tag"]:
+                tag, start = found["tag"].lower(), not found["end"]
+                if tag in FLAT or tag in NESTED:
+                    self._parts.append(" ")
+                    if start and not (tag in SELF_CLOSED and found["rest"].endswith("/")):
+                        at = max(at, ends.get(found.start(), 0))
+                        self._mute = found.start() not in ends
+                else:
+                    self._tag(tag, not start, found["rest"])
+        # Behind the last bracket there is no tag any more, but a comment may begin.
+        self._text(source[max(at, last) :].split("<!--", 1)[0])
 
     def _text(self, raw: str) -> None:
+        if self._mute:
+            return
         self._parts.append(raw)
         if self._in_link:
             self._links += len(raw.strip())
@@ -97,7 +150,7 @@ class Page:
     def _flush(self) -> None:
         text = " ".join(entities.unescape("".join(self._parts)).split())
         if text:
-            node = self._open[-1]
+            node = self._open[-1] or self._add("#text", frozenset())
             self.texts.append((node, text))
             self.chars[node] += len(text)
             self.linked[node] += min(len(text), self._links)
@@ -112,6 +165,7 @@ class Page:
                 self._parts.append(" ")
             return
         self._flush()
+        self._mute = False
         if end:
             self._close({tag}, BOUNDARY.get(tag, ()))
             return
@@ -119,22 +173,30 @@ class Page:
         if tag in IMPLIED:
             self._close(set(IMPLIED[tag].split()), BOUNDARY.get(tag, ()))
         elif KINDS[tag] != "box" or tag in ("div", "section", "hr"):
-            self._close({"p"}, {"td", "th", "li"} | {x for x, k in KINDS.items() if k in ("main", "frame", "box")})
+            self._close({"p"}, AROUND_P)
         if tag in ("hr", "html", "head"):
             return
         names = frozenset(w for x in ATTRIBUTE.findall(rest) for v in x for w in WORD.findall(v.lower())) if "=" in rest else frozenset()
+        self._open.append(self._add(tag, names))
+        self._opened[tag] += 1
+
+    def _add(self, tag: str, names: frozenset[str]) -> int:
+        """A new node below the innermost open one."""
         self.tags.append(tag)
         self.parents.append(self._open[-1])
         self.names.append(names)
         for column in (self.chars, self.linked, self.ends):
             column.append(0)
-        self._open.append(len(self.tags) - 1)
+        return len(self.tags) - 1
 
     def _close(self, tags: set[str], boundary: Container[str]) -> None:
         """End the innermost open element of these, with all inside it."""
+        if not any(self._opened[tag] for tag in tags):
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             tag = self.tags[self._open[depth]]
             if tag in tags:
+                self._opened.subtract(self.tags[node] for node in self._open[depth:])
                 del self._open[depth:]
                 return
             if tag in boundary:
@@ -270,7 +332,8 @@ class Model:
             found = [full[i][s] * (rest[0] * e[0][s] + rest[1] * e[1][s] + rest[2] * e[2][s]) for s in STATES]
             whole = sum(found)
             full[i] = [v / whole for v in found]
-        return [x[CONTENT] for x in full] if n > 1 else [1.0]
+        # A page without a block element is its text.
+        return [x[CONTENT] for x in full] if {*page.tags} - {"#page", "#text"} else [1.0] * n
 
 
 def main_text(model: Model, source: str | None) -> str:

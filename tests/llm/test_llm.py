@@ -652,9 +652,34 @@ PAGES = {
     "<script>var x = '<p>';</script><section class='comments'><p>First post! So good. Thanks.</p></section></main><footer>End.": (
         "T <x>\nPara one is here. It goes on."
     ),
+    "<div class=content><p>a <svg class='i'/> b goes on here. Well then.</p><p>The rest of it. It is long.</p></div>": (
+        "a b goes on here. Well then.\nThe rest of it. It is long."
+    ),
+    "<div class=content><p>Press <button>Go</button> to go on. And so on.</p><button>Menu<p>The rest is here. It is long.</p>"
+    "<p>Then <svg><title>x</title><path/></svg> more of it. The end.</p><select><option>One</select></div>": (
+        "Press to go on. And so on.\nThe rest is here. It is long.\nThen more of it. The end."
+    ),
+    "This text stands on the page alone. It is long enough.<p>Then comes a block. And more of it.</p>And text again. Also here.": (
+        "This text stands on the page alone. It is long enough.\nThen comes a block. And more of it.\nAnd text again. Also here."
+    ),
+    "<div class=content><p>Five &lt; six. It is so.</p><p>An open <b>end. Of it.</p><!-- never closed <p>x</p>": "Five < six. It is so.\nAn open end. Of it.",
+    "<object><object>in</object> out</object><p>The text of a page. It goes on.</p><math><mi>x</mi></math><noscript><p>No. No.</p></noscript>": (
+        "The text of a page. It goes on."
+    ),
 }
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<p", "<!", "</", '<a "', "<svg", "<button>", "<p>", "</p>", "<ul>", "<script>", "<!--", "<svg/>", "<a '<b>"])
+def test_broken_markup_in_proportion(piece):
+    import time
+
+    model = html_text.Model(Counter())
+    begin = time.time()
+    html_text.Page(piece * (1_000_000 // len(piece)))
+    html_text.main_text(model, piece * 3_000 + "<p>Some text here. And more.</p>")
+    assert time.time() - begin < 8
+
+
 def test_pages_odd_rows(spark):
     rows = spark.createDataFrame([(i, "u", x, "clash") for i, x in enumerate(PAGES)], "page_id long, url string, html string, text string")
     model = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
