@@ -8,10 +8,12 @@ first and after its last end. A prefix scan over the blocks of a file numbers th
 and carries open lengths from block to block, so a document may span any number of blocks.
 
 ``write`` makes such files with Spark's text writer, whose line separator is the end id. Their
-documents stand in the order of the rows, one file for each partition; ``order`` gives the ids
-of the rows in the same order. The rows must therefore be read in a repeatable order, as a
-scan of files is; ``counted`` checks that both agree on the documents of every file. A file is
-read as one binary value, so it must stay under two gigabytes.
+documents stand in the order of the rows. A task writes as many files as it needs for none to
+hold more than ``FILE_BYTES`` and one further document, so neither a partition nor a document
+decides what a task must hold of a file. ``order`` gives the ids of the rows in the same order.
+The rows must therefore be read in a repeatable order, as a scan of files is. ``counted`` makes
+sure of it: it has the tokens of each document found turned back into a number of bytes, and
+compares that with the bytes of the row's text, row by row.
 
 Edge cases: a null or empty text is a document of no tokens. An end id after the last document
 is required of whole files; tokens after the last end are not a document and are reported by
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import staged
 from batchloom.plans.staging import scratch_location
+from batchloom.sources.catalog import quoted
 
 #: Where the public tokenizers' files are.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,6 +44,12 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 END = 50_256
 WIDTH = 2
 BLOCK = 1 << 20
+FILE_BYTES = 16 << 20
+DIFFER = "the rows and the flat files differ at part %d, place %d"
+BLOCKS = (
+    "part int, file int, number int, first long, ends long, last long, first_bytes long, "
+    "last_bytes long, inside array<struct<n_tokens:long,n_bytes:long>>"
+)
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -48,106 +57,168 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _encode(merges: dict[bytes, int], pattern: str) -> Callable:
+def byte_lengths(merges: dict[bytes, int]) -> np.ndarray:
+    """How many bytes of text each id stands for; the end id for none."""
+    lengths = np.zeros(1 << (8 * WIDTH), np.int64)
+    lengths[list(merges.values())] = list(map(len, merges))
+    lengths[END] = 0
+    return lengths
+
+
+def _encode(merges: dict[bytes, int], pattern: str, file_bytes: int) -> Callable:
+    """What goes into each file: the ids of as many documents as it takes, ends between them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encoding = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        end = END.to_bytes(WIDTH, "little")
+        held, size = [], 0
         for batch in batches:
-            found = (encoding.encode_ordinary(x.as_py() or "") for x in batch.column("text"))
-            ids = [np.array(x, f"<u{WIDTH}").tobytes() for x in found]
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
+            for text in batch.column("text"):
+                ids = np.array(encoding.encode_ordinary(text.as_py() or ""), f"<u{WIDTH}").tobytes()
+                held.append(ids)
+                size += len(ids) + WIDTH
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_pydict({"ids": pa.array([end.join(held)], pa.binary())})
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([end.join(held)], pa.binary())})
 
     return run
 
 
-def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
+def write(
+    docs: DataFrame, path: str, vocabulary: str = VOCABULARY, file_bytes: int = FILE_BYTES
+) -> None:
     """Write the texts of ``docs`` as flat token files below ``path``."""
     merges = ranks(vocabulary)
-    flat = docs.select("text").mapInArrow(_encode(merges, SPLIT), "ids binary")
+    flat = docs.select("text").mapInArrow(_encode(merges, SPLIT, file_bytes), "ids binary")
     end = END.to_bytes(WIDTH, "little").decode("latin-1")
     # The text writer passes bytes through as they are and puts the separator after each row.
     raw = flat.select(F.col("ids").cast("string").alias("value")).write
-    raw.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 0).text(path)
+    # A row is a file.
+    raw.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def order(docs: DataFrame) -> DataFrame:
-    """``part, place, doc_id`` of each row: its partition and its place there, from 0."""
+    """``part, place, doc_id`` of each row: its partition and its place there, from 0; and
+    ``size`` if the rows have it."""
     place = F.monotonically_increasing_id()
     return docs.select(
         F.shiftright(place, 33).cast("int").alias("part"),
         place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
-        "doc_id",
+        *(F.col(quoted(c)) for c in docs.columns if c in ("doc_id", "size")),
     )
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block: tokens before the first end, ends, tokens after the last, lengths inside."""
-    for batch in batches:
-        first, ends, last, inside = [], [], [], []
-        for block in batch.column("block"):
-            ids = np.frombuffer(block.as_py(), f"<u{WIDTH}")
-            at = np.flatnonzero(ids == END)
-            first.append(int(at[0]) if len(at) else len(ids))
-            last.append(int(len(ids) - 1 - at[-1]) if len(at) else 0)
-            ends.append(len(at))
-            inside.append(np.diff(at) - 1)
-        columns = {
-            "part": batch.column("part"), "number": batch.column("number"),
-            "first": pa.array(first, pa.int64()), "ends": pa.array(ends, pa.int64()),
-            "last": pa.array(last, pa.int64()), "inside": pa.array(inside, pa.list_(pa.int64())),
-        }
-        yield pa.RecordBatch.from_pydict(columns)
-
-
-def blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """What the blocks of the flat files hold; ``block`` is in bytes, a multiple of the width."""
+def _scan(lengths: np.ndarray) -> Callable:
+    """Of each block: tokens before the first end, ends, tokens after the last, and each
+    document inside; of all these the bytes as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for block in batch.column("block"):
+                ids = np.frombuffer(block.as_buffer(), f"<u{WIDTH}")
+                at = np.flatnonzero(ids == END)
+                sums = np.concatenate([[0], np.cumsum(lengths[ids])])
+                one, two = (at[0], at[-1] + 1) if len(at) else (len(ids), 0)
+                inside = zip((np.diff(at) - 1).tolist(), np.diff(sums[at]).tolist())
+                rows.append({
+                    "first": int(one), "ends": len(at), "last": int(len(ids) - two) if len(at) else 0,
+                    "first_bytes": int(sums[one]), "last_bytes": int(sums[-1] - sums[two]) if len(at) else 0,
+                    "inside": [{"n_tokens": n, "n_bytes": m} for n, m in inside],
+                })
+            found = pa.RecordBatch.from_pylist(rows, _FOUND)
+            keys = ["part", "file", "number"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), *found.columns], [*keys, *_FOUND.names]
+            )
+
+    return run
+
+
+_DOCUMENT = pa.struct([("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
+_FOUND = pa.schema([
+    *((name, pa.int64()) for name in ("first", "ends", "last", "first_bytes", "last_bytes")),
+    ("inside", pa.list_(_DOCUMENT)),
+])
+
+
+def blocks(
+    spark: SparkSession, path: str, block: int = BLOCK, lengths: np.ndarray | None = None
+) -> DataFrame:
+    """What the blocks of the flat files hold; ``block`` is in bytes, a multiple of the width.
+
+    A file's name tells its part and, behind ``-c``, which of the part's files it is. ``lengths``
+    are the bytes that each id stands for; without them documents have none.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     part = F.regexp_extract("path", r"/part-([0-9]+)[^/]*$", 1).cast("int")
-    files = files.where("length > 0").select(part.alias("part"), "length", "content")
+    file = F.regexp_extract("path", r"-c([0-9]+)[^/]*$", 1)
+    file = F.when(file == "", 0).otherwise(file.try_cast("int"))
+    files = files.where("length > 0").select(part.alias("part"), file.alias("file"), "length", "content")
     starts = F.sequence(F.lit(0), ((F.col("length") - 1) / block).cast("int"))
     # The outer form: a plain one would cut the content twice, once for a filter before it.
     cut = F.transform(starts, lambda i: F.substring(F.col("content"), i * block + 1, F.lit(block)))
-    pieces = files.select("part", F.posexplode_outer(cut).alias("number", "block"))
-    return staged(pieces.mapInArrow(_scan, "part int, number int, first long, ends long, last long, inside array<long>"))
+    pieces = files.select("part", "file", F.posexplode_outer(cut).alias("number", "block"))
+    none = np.zeros(1 << (8 * WIDTH), np.int64)
+    return staged(pieces.mapInArrow(_scan(none if lengths is None else lengths), BLOCKS))
 
 
 def scan(found: DataFrame) -> DataFrame:
-    """``part, place, n_tokens`` of each document, stitched from the ``blocks``."""
-    line = Window.partitionBy("part").orderBy("number")
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    # Prefix scan: documents ended before the block, and blocks with an end up to it.
-    at = found.withColumn("ended", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    """``part, place, n_tokens, n_bytes`` of each document, stitched from the ``blocks``."""
+    file = ["part", "file"]
+    line = Window.partitionBy(*file).orderBy("number")
+    # Prefix scans: documents in files and blocks before this one, blocks with an end up to it.
+    sizes = found.groupBy(*file).agg(F.sum("ends").alias("docs"))
+    files = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*file, F.coalesce(F.sum("docs").over(files), F.lit(0)).alias("earlier"))
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    at = found.withColumn("ended", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
     at = at.withColumn("run", F.sum((F.col("ends") > 0).cast("long")).over(line))
     # A run starts with a block's last tokens and goes on through blocks without an end.
-    open_ = F.when(F.col("ends") > 0, F.col("last")).otherwise(F.col("first"))
-    carried = at.groupBy("part", F.col("run").alias("_run")).agg(F.sum(open_).alias("carried"))
-    carried = carried.withColumnRenamed("part", "_part")
-    same = (F.col("part") == F.col("_part")) & (F.col("run") - 1 == F.col("_run"))
-    whole = at.where("ends > 0").join(carried, same, "left")
-    head = F.array(F.col("first") + F.coalesce("carried", F.lit(0)))
-    lengths = whole.select("part", "ended", F.posexplode(F.concat(head, "inside")).alias("i", "n_tokens"))
-    return lengths.select("part", (F.col("ended") + F.col("i")).alias("place"), "n_tokens")
+    some = F.col("ends") > 0
+    carried = at.groupBy(*file, (F.col("run") + 1).alias("run")).agg(
+        F.sum(F.when(some, F.col("last")).otherwise(F.col("first"))).alias("carried"),
+        F.sum(F.when(some, F.col("last_bytes")).otherwise(F.col("first_bytes"))).alias("carried_bytes"),
+    )
+    whole = at.where(some).join(carried, [*file, "run"], "left").join(sizes, file)
+    head = F.struct(
+        (F.col("first") + F.coalesce("carried", F.lit(0))).alias("n_tokens"),
+        (F.col("first_bytes") + F.coalesce("carried_bytes", F.lit(0))).alias("n_bytes"),
+    )
+    documents = whole.select(
+        "part", (F.col("earlier") + F.col("ended")).alias("place"),
+        F.posexplode(F.concat(F.array(head), "inside")).alias("i", "x"),
+    )
+    return documents.select("part", (F.col("place") + F.col("i")).alias("place"), "x.n_tokens", "x.n_bytes")
 
 
 def open_tokens(found: DataFrame) -> DataFrame:
     """``part, n_tokens``: tokens after the last end, of the files that have any."""
-    last_end = found.where("ends > 0").groupBy("part").agg(F.max("number").alias("at"))
-    tail = found.join(last_end, "part", "left").where("at is null or number >= at")
+    file = ["part", "file"]
+    last_end = found.where("ends > 0").groupBy(*file).agg(F.max("number").alias("at"))
+    tail = found.join(last_end, file, "left").where("at is null or number >= at")
     size = F.when(F.col("number") == F.col("at"), F.col("last")).otherwise(F.col("first"))
     return tail.groupBy("part").agg(F.sum(size).alias("n_tokens")).where("n_tokens > 0")
 
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens`` of each row, counted in flat files written below ``path``."""
+    """``doc_id, n_tokens`` of each row, counted in flat files written below ``path``.
+
+    Fails if a document found there is not the row's by its number of bytes, or either is
+    without the other.
+    """
     spark = docs.sparkSession
     path = path or scratch_location(spark, "tokens")
     write(docs, path, vocabulary)
-    lengths = scan(blocks(spark, path))
-    rows = order(docs)
-    mine = rows.groupBy("part").agg(F.count("*").alias("n"))
-    theirs = lengths.groupBy("part").agg(F.count("*").alias("m"))
-    odd = mine.join(theirs, "part", "full").where("n is null or m is null or n <> m").limit(1).collect()
-    if odd:
-        raise ValueError(f"the rows and the flat files differ in partition {odd[0].part}")
-    return rows.join(lengths, ["part", "place"]).select("doc_id", "n_tokens")
+    lengths = scan(blocks(spark, path, lengths=byte_lengths(ranks(vocabulary))))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    rows = order(docs.select("doc_id", size)).withColumn("here", F.lit(True))
+    paired = rows.join(lengths, ["part", "place"], "full")
+    fits = F.col("here") & (F.col("size") == F.col("n_bytes"))
+    wrong = F.raise_error(F.format_string(DIFFER, "part", "place"))
+    counts = F.when(F.coalesce(fits, F.lit(False)), F.col("n_tokens")).otherwise(wrong.cast("long"))
+    return paired.select("doc_id", counts.alias("n_tokens"))

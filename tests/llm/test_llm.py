@@ -531,18 +531,22 @@ def test_personal_data_odd_rows(odd, empty):
 # 8: token counts
 
 
-@pytest.mark.parametrize("block", [2, 30, 1 << 20])
-def test_scan_stitches_blocks(spark, documents, texts, tmp_path, block):
+@pytest.mark.parametrize("block, file_bytes", [(2, 100), (30, 1), (30, 70), (1 << 20, 1 << 24)])
+def test_scan_stitches_blocks(spark, documents, texts, tmp_path, block, file_bytes):
     import tiktoken
 
     encoding = tiktoken.Encoding("own", pat_str=token_scan.SPLIT, mergeable_ranks=token_scan.ranks(token_scan.VOCABULARY), special_tokens={})
     rows = documents.where("length(text) < 300").select("doc_id", "text").repartition(3, "doc_id")
     path = str(tmp_path / "flat")
-    token_scan.write(rows, path)
-    found = token_scan.blocks(spark, path, block)
-    lengths = token_scan.scan(found).orderBy("part", "place").select("n_tokens")
+    token_scan.write(rows, path, file_bytes=file_bytes)
+    sizes = [p.stat().st_size for p in (tmp_path / "flat").glob("part-*")]
+    longest = max(2 * len(encoding.encode_ordinary(texts[r.doc_id])) for r in rows.collect())
+    assert max(sizes) <= file_bytes + longest + 4 and (len(sizes) > 3) == (file_bytes < 1 << 20)
+    found = token_scan.blocks(spark, path, block, token_scan.byte_lengths(token_scan.ranks(token_scan.VOCABULARY)))
+    lengths = token_scan.scan(found).orderBy("part", "place")
     ids = [r.doc_id for r in token_scan.order(rows).orderBy("part", "place").collect()]
     assert [r.n_tokens for r in lengths.collect()] == [len(encoding.encode_ordinary(texts[i])) for i in ids]
+    assert [r.n_bytes for r in lengths.collect()] == [len(texts[i].encode()) for i in ids]
     assert token_scan.open_tokens(found).count() == 0
 
 
@@ -557,6 +561,17 @@ def test_scan_by_hand(spark, tmp_path):
         assert [tuple(r) for r in token_scan.open_tokens(found).collect()] == [(4, 2)]
 
 
+def test_rows_in_another_order_are_refused(spark, tmp_path, monkeypatch):
+    """Two files of equal counts swapped: bytes tell that the ids would be wrong."""
+    rows = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(8)], "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.n_tokens for r in token_scan.counted(rows).collect()} == {i: i + 2 for i in range(8)}
+    swapped = lambda docs: order(docs).withColumn("part", 1 - F.col("part"))
+    order = token_scan.order
+    monkeypatch.setattr(token_scan, "order", swapped)
+    with pytest.raises(Exception, match="differ at part"):
+        token_scan.counted(rows).collect()
+
+
 def test_scan_odd_rows(odd, empty):
     found = token_scan.counted(odd).collect()
     assert len(found) == len(ODD)
