@@ -29,17 +29,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom.llm.common import staged
+from batchloom.llm.substring_dedup import Hashes
 from batchloom.operators.ordering import free_name
 from batchloom.sources.catalog import quoted
 
@@ -131,19 +132,64 @@ def no_costs(absent: float) -> Costs:
     return Costs(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), absent)
 
 
-@dataclass
-class Model:
-    languages: list[str]
-    #: Index of each word and n-gram in ``costs``; a blank at an end marks n-grams apart.
-    words: dict[str, int]
-    grams: dict[str, int]
-    #: For each unit, its costs by language; a full table will do.
-    costs: Costs | np.ndarray
-    share: np.ndarray
+class Spelled:
+    """Words as code points with a blank around each; hashes of all their n-grams at once."""
+
+    def __init__(self, words: Sequence[str]):
+        joined = f" {' '.join(words)} ".encode("utf-32-le")
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.starts = 1 + np.cumsum(self.sizes + 1) - (self.sizes + 1)
+        points = np.frombuffer(joined, np.uint32).astype(np.uint64) + np.uint64(1)
+        self._hashes = Hashes(points * np.uint64(0xD6E8FEB86659FD93))
+
+    def whole(self) -> np.ndarray:
+        """The hash of each word."""
+        return self._hashes.of(self.starts, self.sizes)
+
+    def grams(self, order: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the n-grams of some words, and whose each is."""
+        pad = int(order > 1)
+        counts = np.maximum(self.sizes[which] + 2 * pad - order + 1, 0)
+        owner = np.repeat(which, counts)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self._hashes.of(self.starts[owner] - pad + place, order), owner
+
+
+class Units:
+    """Rows of words or n-grams, looked up by their hash."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.rows = hashes[order], rows[order].astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.rows[at], -1)
+
 
-    def __post_init__(self) -> None:
-        if isinstance(self.costs, np.ndarray):
-            self.costs = Costs.dense(self.costs)
+def _units(rows: dict[str, int]) -> Units:
+    return Units(Spelled(list(rows)).whole(), np.fromiter(rows.values(), np.int64, len(rows)))
+
+
+class Model:
+    """What is known of languages. ``words`` and ``grams`` give the row in ``costs`` of each; a
+    blank at an end tells n-grams apart. ``costs`` may be a full table, by unit and language."""
+
+    def __init__(
+        self,
+        languages: list[str],
+        words: dict[str, int],
+        grams: dict[str, int],
+        costs: Costs | np.ndarray,
+        share: np.ndarray,
+    ):
+        self.languages, self.share = languages, share
+        self.costs = Costs.dense(costs) if isinstance(costs, np.ndarray) else costs
+        self.words = _units(words)
+        self.grams = {n: _units({g: i for g, i in grams.items() if len(g) == n}) for n in ORDERS}
 
 
 def sample(labelled: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
@@ -257,7 +303,7 @@ class Scorer:
         costs = model.costs
         self.unseen = costs.absent + 1
         if looks:
-            at = np.array([i for gram, i in model.grams.items() if len(gram) == LOOK], np.int64)
+            at = model.grams[LOOK].rows
             places, _ = costs.entries(at)
             own, of = costs.below[places] + costs.absent, costs.languages[places]
             lacking = (len(at) - np.bincount(of, minlength=self.width)) * 10.0**-costs.absent
@@ -277,52 +323,34 @@ class Scorer:
 
     def learn(self, new: list[str]) -> None:
         """Work out the costs of words not met so far."""
-        model, get = self.model, self.model.grams.get
-        rows: list[int] = []
-        owner: list[int] = []
-        rest = []
-        for i, word in enumerate(new):
-            row = model.words.get(word)
-            if row is None:
-                rest.append(i)
-            else:
-                rows.append(row)
-                owner.append(i)
+        model, spelled = self.model, Spelled(new)
+        row = model.words.find(spelled.whole())
+        found = [(row[row >= 0], np.flatnonzero(row >= 0))]
+        rest = np.flatnonzero(row < 0)
         for order in ORDERS:
-            unknown = []
-            for i in rest:
-                found = [x for gram in grams(new[i], order) if (x := get(gram)) is not None]
-                if found:
-                    rows += found
-                    owner += [i] * len(found)
-                else:
-                    unknown.append(i)
-            rest = unknown
+            hashes, owner = spelled.grams(order, rest)
+            row = model.grams[order].find(hashes)
+            found.append((row[row >= 0], owner[row >= 0]))
+            rest = np.setdiff1d(rest, found[-1][1])
+        rows, owner = map(np.concatenate, zip(*found, strict=True))
         start = len(self.costs)
-        at = np.array(owner, np.int64)
-        weight = 1 / np.maximum(np.bincount(at, minlength=len(new)), 1)[at]
-        mixed = model.costs.mixed(np.array(rows, np.int64), at, weight, len(new), self.width)
+        weight = 1 / np.maximum(np.bincount(owner, minlength=len(new)), 1)[owner]
+        mixed = model.costs.mixed(rows, owner, weight, len(new), self.width)
         self.costs = self.costs.extended(mixed)
-        self.index.update(zip(new, range(start, start + len(new))))
+        self.index.update(zip(new, range(start, start + len(new)), strict=True))
         if self.by_look:
-            self._learn_looks(new)
-        for i in rest:
+            self._learn_looks(spelled, len(new))
+        for i in rest.tolist():
             self.index[new[i]] = -1 - (start + i)
 
-    def _learn_looks(self, new: list[str]) -> None:
-        get = self.model.grams.get
-        rows: list[int] = []
-        owner: list[int] = []
-        cuts = np.zeros((2, len(new)), np.int64)
-        for i, word in enumerate(new):
-            cut = grams(word, LOOK)
-            found = [x for gram in cut if (x := get(gram)) is not None]
-            rows += found
-            owner += [i] * len(found)
-            cuts[:, i] = len(cut), len(cut) - len(found)
-        at = np.array(owner, np.int64)
-        mixed = self.model.costs.mixed(np.array(rows, np.int64), at, np.ones(len(at)), len(new), self.width)
+    def _learn_looks(self, spelled: Spelled, n: int) -> None:
+        hashes, owner = spelled.grams(LOOK, np.arange(n))
+        row = self.model.grams[LOOK].find(hashes)
+        known = row >= 0
+        mixed = self.model.costs.mixed(row[known], owner[known], np.ones(known.sum()), n, self.width)
         self.looks = self.looks.extended(mixed)
+        cuts = np.bincount(owner, minlength=n)
+        cuts = np.stack([cuts, cuts - np.bincount(owner[known], minlength=n)])
         self.cuts = np.concatenate([self.cuts, cuts], axis=1)
 
     def prepare(self, group: list[Counter]) -> None:
@@ -388,17 +416,29 @@ class Scorer:
         return {language: i for i, language in enumerate(self.model.languages)}
 
 
+def _struct(rows: list[tuple], fields: list[pa.Field]) -> pa.StructArray:
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.StructArray.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields
+    )
+
+
+_FIELDS = [
+    pa.field("lang_pred", pa.string()),
+    *(pa.field(name, pa.float64()) for name in ("score", "strange", "against")),
+]
+
+
 def language_of(model: Model, text: str = "text") -> Column:
     """A struct of ``lang_pred`` and ``score`` for the text column."""
 
-    @F.pandas_udf(RESULT)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
         for batch in batches:
-            found = [x[:2] for x in scorer.verdicts(batch, None)]
-            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+            found = [x[:2] for x in scorer.verdicts((x.as_py() for x in batch), None)]
+            yield _struct(found, _FIELDS[:2])
 
-    return predict(F.col(text))
+    return F.arrow_udf(predict, RESULT)(F.col(text))
 
 
 def _with_fields(docs: DataFrame, found: Column, names: list[str]) -> DataFrame:
@@ -422,14 +462,13 @@ def judged(model: Model, text: str = "text", lang: str = "lang") -> Column:
     if no letter is known), ``against`` what its words cost more in the stated language.
     """
 
-    @F.pandas_udf(VERDICT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scorer = Scorer(model, looks=True)
         for texts, stated in batches:
-            found = list(scorer.verdicts(texts, stated))
-            yield pd.DataFrame(found, columns=["lang_pred", "score", "strange", "against"])
+            pairs = (x.as_py() for x in texts), (x.as_py() for x in stated)
+            yield _struct(list(scorer.verdicts(*pairs)), _FIELDS)
 
-    return run(F.col(text), F.col(lang))
+    return F.arrow_udf(run, VERDICT)(F.col(text), F.col(lang))
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
