@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,11 +15,17 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share.
 
     It is the one named in ``spark.checkpoint.dir``; where that is unset, a folder in the
-    warehouse. Only session settings are read, and none is changed, so any kind of session
-    will do.
+    warehouse, unless that lies on the disk of one machine of a cluster. Only session settings
+    are read, and none is changed, so any kind of session will do.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
-    return named or f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/staged"
+    if named:
+        return named
+    warehouse = spark.conf.get(WAREHOUSE_DIR)
+    one_machine = (spark.conf.get("spark.master", None) or "").startswith("local")
+    if urlsplit(warehouse).scheme in ("", "file") and not one_machine:
+        raise ValueError(f"{warehouse} is not shared by a cluster; set {CHECKPOINT_DIR}")
+    return f"{warehouse.rstrip('/')}/staged"
 
 
 def scratch_location(spark: SparkSession, name: str) -> str:

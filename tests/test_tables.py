@@ -343,3 +343,24 @@ def test_bloom_filter_of_no_column(spark, database, location):
     for wrong in ({"nope": 5}, {"batch_id": 0}):
         with pytest.raises(ValueError, match="bloom"):
             sink.ensure_table(spark, f"{database}.t", schemas.EVENTS, f"{location}/t", bloom_filters=wrong)
+
+
+class Settings:
+    """What the staging helper asks of a session."""
+
+    def __init__(self, **values):
+        self.conf = self
+        self.values = {key.replace("_", "."): value for key, value in values.items()}
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", None])
+def test_staging_keeps_off_one_machines_disk(master):
+    on_disk = {"spark_sql_warehouse_dir": "file:/tmp/warehouse", "spark_master": master}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Settings(**on_disk))
+    assert shared_folder(Settings(**on_disk, spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y"
+    assert shared_folder(Settings(spark_sql_warehouse_dir="s3a://b/w/", spark_master=master)) == "s3a://b/w/staged"
+    assert shared_folder(Settings(spark_sql_warehouse_dir="/w", spark_master="local[2]")) == "/w/staged"
