@@ -14,8 +14,9 @@ Edge cases: a null source or language counts as the label ``(none)``. A text wit
 no tokens; it takes the weight of its cell. Labels without a target keep their own weight
 share among each other; targets for labels without tokens are left out, and the rest is scaled
 to one. Targets that no weights can meet are met as nearly as ``ROUNDS`` rounds allow, topics
-last. Equal rows are drawn alike. An empty table gives an empty one. Columns named like the
-result's are replaced.
+last; ``margin_error`` tells. Equal rows are drawn alike, and ties cannot occur. An empty table
+gives an empty one. Texts are counted whole, whatever their length. Columns named like the
+result's are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from batchloom.operators.ordering import free_name
 from batchloom.sources.catalog import quoted
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS = 12
+ROUNDS = 60
 #: Greatest relative error of a margin at which raking ends.
 TOLERANCE = 1e-4
+#: What ``mixed`` adds to the columns of the documents.
+ADDED = ("topic", "tokens", "rate", "copies", "margin_error")
 #: Without given targets, shares are the tokens to this power: small groups gain.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 
@@ -97,9 +100,14 @@ def _shares(table: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFr
 
 
 def rake(table: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """The cells with the ``weight`` that gives every margin its target."""
+    """The cells with the ``weight`` that gives every margin its target.
+
+    ``margin_error`` is the greatest relative change that a margin still needed in the last
+    round: above ``TOLERANCE`` only if ``ROUNDS`` rounds were not enough, as with targets that
+    no weights can meet.
+    """
     wanted = _shares(table, targets)
-    current = table.withColumn("weight", F.lit(1.0))
+    current, worst = table.withColumn("weight", F.lit(1.0)), None
     for _ in range(ROUNDS):
         errors = []
         for d in DIMENSIONS:
@@ -114,7 +122,7 @@ def rake(table: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         current = current.drop(*errors)
         if worst is None or worst < TOLERANCE:
             break
-    return current
+    return current.withColumn("margin_error", F.lit(worst).cast("double"))
 
 
 def mixed(
@@ -124,20 +132,21 @@ def mixed(
     seed: int = 17,
     topic_of: Column | None = None,
 ) -> DataFrame:
-    """The drawn rows of ``docs`` with ``topic, tokens, rate`` and ``copies`` (one or more).
+    """The drawn rows of ``docs`` with ``topic, tokens, rate, copies`` (one or more) and
+    ``margin_error`` as in ``rake``.
 
     ``share`` is the wanted number of tokens as a share of all.
     """
-    docs = docs.drop("topic", "tokens", "rate", "copies")
+    docs = docs.drop(*ADDED)
     text = F.col("text")
     measured = docs.withColumns({"topic": topic(text) if topic_of is None else topic_of, "tokens": token_count(text)})
     weight = free_name(docs, "weight")
     key = {d: free_name(docs, f"{d}_label") for d in DIMENSIONS}
     table = cells(measured.select(_label("source").alias("source"), _label("lang").alias("lang"), "topic", "tokens"))
     weights = rake(table, default_targets(table) if targets is None else targets)
-    weights = weights.select(*(F.col(d).alias(key[d]) for d in DIMENSIONS), F.col("weight").alias(weight))
+    weights = weights.select(*(F.col(d).alias(key[d]) for d in DIMENSIONS), F.col("weight").alias(weight), "margin_error")
     same = reduce(Column.__and__, (_label(d) == F.col(key[d]) for d in DIMENSIONS))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)
     rated = measured.join(weights, same).withColumn("rate", F.col(weight) * share)
     copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
-    return rated.withColumn("copies", copies).where("copies > 0").select(*map(quoted, docs.columns), "topic", "tokens", "rate", "copies")
+    return rated.withColumn("copies", copies).where("copies > 0").select(*map(quoted, docs.columns), *ADDED)

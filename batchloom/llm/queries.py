@@ -101,7 +101,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mixed(table(spark, sf_dir, "documents"))
-    return drawn.select("doc_id", "source", "lang", "topic", "tokens", "rate", "copies")
+    return drawn.select("doc_id", "source", "lang", "topic", "tokens", "rate", "copies", "margin_error")
 
 
 @query

@@ -287,6 +287,58 @@ def test_quality_odd_rows(odd, empty):
     assert quality_model.judged(empty, quality_model.fit(empty)).count() == 0
 
 
+def test_labeller_accuracies_against_plain_steps(documents):
+    """Expectation-maximisation document by document, in place of vote patterns."""
+    from batchloom.llm import quality_model as q
+
+    votes = [q.labels(q.Facts.of(r.text)) for r in documents.collect() if r.text]
+    prior, shares = q.estimate(dict(Counter(votes)))
+    own, table = 0.8, {(z, j, v): q.START[z][v + 1] for z in (0, 1) for j in range(q.LABELLERS) for v in (-1, 0, 1)}
+    start = dict(table)
+    for _ in range(q.ROUNDS):
+        good = []
+        for x in votes:
+            a = own * math.prod(table[0, j, v] for j, v in enumerate(x))
+            b = (1 - own) * math.prod(table[1, j, v] for j, v in enumerate(x))
+            good.append(a / (a + b))
+        own = (sum(good) + 3.2) / (len(good) + 4)
+        seen = Counter()
+        for x, g in zip(votes, good):
+            for j, v in enumerate(x):
+                seen[0, j, v] += g
+                seen[1, j, v] += 1 - g
+        for z in (0, 1):
+            for j in range(q.LABELLERS):
+                row = {v: seen[z, j, v] + 4 * start[z, j, v] for v in (-1, 0, 1)}
+                table.update({(z, j, v): n / sum(row.values()) for v, n in row.items()})
+    assert prior == pytest.approx(own, rel=1e-9)
+    for (z, j, v), x in table.items():
+        assert shares[z][j][v + 1] == pytest.approx(x, rel=1e-9)
+
+
+def test_hashed_scores_by_hand(documents):
+    from batchloom.llm import quality_model as q
+
+    model = q.fit(documents)
+    hasher = q.Hasher()
+    for r in documents.select("doc_id", "text", q.score_of(model).alias("score")).collect()[:60]:
+        found = q.WORD.findall(r.text or "")
+        if not found:
+            assert r.score == 0
+            continue
+        at = [hasher.word(w) for w in found]
+        share, weight = 1 / (len(found) + 5), Counter()
+        for i, (w, s, p) in enumerate(at):
+            weight[w] += share
+            weight[s] += share
+            if i:
+                weight[(at[i - 1][2] * 31 + p) % q.BUCKETS] += share
+                weight[0] += share * (at[i - 1][0] == w)
+        weight[1] += 1
+        total = sum(model.weights[k] * x for k, x in weight.items())
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-6)
+
+
 # 5: language
 
 
@@ -297,6 +349,64 @@ def test_language_held_out(spark):
     assert right > 0.97
 
 
+def brute_language(rows):
+    """Word-first backoff on dictionaries; every labelled row is learned from."""
+    cut = lambda w, n: [w[i : i + n] for i in range(len(w) - n + 1)] if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = {}
+    for lang, text in rows:
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            counts.setdefault((lang, 0), Counter())[w] += 1
+            for n in range(1, 6):
+                counts.setdefault((lang, n), Counter()).update(cut(w, n))
+    langs = sorted({x for x, _ in counts})
+    cost = {}
+    for (lang, n), c in counts.items():
+        total = sum(c.values())
+        ranked = sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: 10_000 if n else 40_000]
+        cost[lang, n] = {u: -math.log10(x / total) for u, x in ranked if n or x > 1}
+    absent = max(x for c in cost.values() for x in c.values()) + 1
+    units = [set().union(*(cost[x, n] for x in langs)) for n in range(6)]
+    of = lambda n, u: [cost[x, n].get(u, absent) for x in langs]
+
+    def word(w):
+        if w in units[0]:
+            return of(0, w)
+        for n in range(5, 0, -1):
+            found = [of(n, g) for g in cut(w, n) if g in units[n]]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found)]
+        return None
+
+    def predict(text):
+        found = [x for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if (x := word(w))]
+        mean = [sum(x) / len(found) for x in zip(*found)]
+        best = min(range(len(langs)), key=lambda i: mean[i])
+        return langs[best], 1 / sum(10 ** ((mean[best] - x) * min(len(found), 30)) for x in mean)
+
+    return predict
+
+
+def test_language_against_brute_force(documents, texts):
+    langs = {r.doc_id: r.lang for r in documents.collect()}
+    predict = brute_language((langs[i], texts[i]) for i in texts if langs[i])
+    model = language_id.fit(documents)
+    for r in language_id.identify(documents, model).collect():
+        if any(c.isalpha() for c in r.text or ""):
+            lang, score = predict(r.text)
+            assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-6)
+
+
+def test_many_labels_are_learned_within_bounds(spark, monkeypatch):
+    """More labels than are learned: the commonest are, and no label is an error."""
+    monkeypatch.setattr(language_id, "UNITS", 3_000)
+    rows = [(i, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 2} " * 5, f"l{k:03d}") for i, k in enumerate(k for k in range(600) for _ in range(2 + (k < 300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, max_languages=300)
+    assert model.languages == [f"l{k:03d}" for k in range(300)] and len(model.costs.below) <= 3_000
+    found = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert all(found[i].lang_pred == lang for i, _, lang in rows if lang < "l300")
+
+
 def test_language_backs_off():
     model = language_id.Model(["aa", "bb"], {"cat": 0}, {"do": 1, "g": 2}, np.array([[1.0, 3.0], [4.0, 1.0], [1.0, 9.0]]), np.array([0.4, 0.6]))
     scorer = language_id.Scorer(model)
@@ -337,6 +447,60 @@ def test_margins(spark, documents):
         assert (have / have.sum() - want / want.sum()).abs().max() < 0.01
 
 
+def plain_raking(rows):
+    """Cells and their factors with dictionaries, margin by margin."""
+    tokens = Counter()
+    for cell, n in rows:
+        tokens[cell] += n
+    power = list(mixing.TEMPER.values())
+    total = sum(tokens.values())
+    goals = []
+    for d in range(3):
+        own = Counter()
+        for cell, n in tokens.items():
+            own[cell[d]] += n
+        shares = {k: n ** power[d] for k, n in own.items() if n}
+        goals.append({k: total * x / sum(shares.values()) for k, x in shares.items()})
+    weight = dict.fromkeys(tokens, 1.0)
+    for _ in range(500):
+        for d in range(3):
+            have = Counter()
+            for cell, n in tokens.items():
+                have[cell[d]] += weight[cell] * n
+            for cell in weight:
+                if have[cell[d]]:
+                    weight[cell] *= goals[d][cell[d]] / have[cell[d]]
+    return weight
+
+
+def test_rates_against_plain_raking(documents):
+    rated = mixing.mixed(documents, share=40.0).collect()
+    found = {r.doc_id: r for r in rated}
+    topics = {r.doc_id: r.t for r in documents.select("doc_id", mixing.topic(F.col("text")).alias("t")).collect()}
+    cells = {r.doc_id: (r.source or "(none)", r.lang or "(none)", topics[r.doc_id]) for r in documents.collect()}
+    size = {r.doc_id: len(words(r.text)) for r in documents.collect()}
+    weight = plain_raking((cells[i], size[i]) for i in cells)
+    assert rated[0].margin_error < mixing.TOLERANCE
+    for i, cell in cells.items():
+        rate = 40 * weight[cell]
+        if i not in found:
+            assert rate < 1
+            continue
+        assert found[i].rate == pytest.approx(rate, rel=2e-3)
+        assert found[i].copies - math.floor(found[i].rate) in (0, 1) and found[i].tokens == size[i]
+    # The draw: copies follow the rates, and the same rows are drawn again.
+    extra = [r.copies - math.floor(r.rate) for r in rated]
+    assert abs(sum(extra) - sum(r.rate - math.floor(r.rate) for r in rated)) < 4 * len(rated) ** 0.5
+    assert sorted(r.doc_id for r in mixing.mixed(documents, share=40.0).collect()) == sorted(found)
+
+
+def test_unreachable_targets_show(spark, documents):
+    label = lambda pairs: spark.createDataFrame(pairs, "label string, share double")
+    rows = documents.where("lang in ('en', 'de')").withColumn("source", F.col("lang"))
+    wanted = {"source": label([("en", 0.9), ("de", 0.1)]), "lang": label([("en", 0.2), ("de", 0.8)])}
+    assert mixing.mixed(rows, wanted).first().margin_error > 0.1
+
+
 def test_draw_follows_rates(documents):
     many = documents.select("doc_id", "text", "lang", "source").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(20))))
     many = many.withColumn("doc_id", F.col("doc_id") * 20 + F.col("i"))
