@@ -45,7 +45,7 @@ SHINGLE = 5
 PERCENT = 80
 #: Hash buckets of the frequency table, as powers of two: a quarter of the shingles, within
 #: these bounds. A bucket takes one byte where the table is sent to tasks.
-LEAST_BITS, MOST_BITS = 16, 25
+LEAST_BITS, MOST_BITS = 16, 24
 #: Code points that a word of the text takes, by which shingles are counted beforehand.
 WORD_BYTES = 6
 #: Pieces in which tasks hand in their frequency tables.
@@ -229,7 +229,11 @@ def _pack(table: np.ndarray, common_from: int, seed: int, ranges: int) -> Callab
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The token and node of each token that several nodes of a range have."""
+    """Each node that shares a token, but for the token's hub, beside that hub.
+
+    A range has all rows of its tokens, so hubs are chosen here. Common tokens (part -1) are
+    spread over tasks; their rows have no hub yet.
+    """
     parts: dict[int, list] = {}
     for batch in batches:
         for part, tokens, nodes in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "nodes"))):
@@ -245,17 +249,45 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
         tokens, nodes = tokens[new], nodes[new]
-        same = tokens[1:] | 1 == tokens[:-1] | 1
-        several = np.zeros(len(tokens), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        yield _token_rows(tokens[several], nodes[several])
+        starts = np.flatnonzero(np.append(True, tokens[1:] | 1 != tokens[:-1] | 1))
+        sizes = np.diff(np.append(starts, len(tokens)))
+        wanted = (sizes > 1) & (np.bitwise_or.reduceat(tokens & 1, starts) == 1)
+        hubs = _hubs(tokens, nodes, starts, sizes)
+        keep = np.repeat(wanted, sizes) & (nodes != hubs)
+        yield _token_rows(tokens[keep], nodes[keep], hubs[keep], np.repeat(sizes > 2, sizes)[keep])
+
+
+def _hubs(tokens: np.ndarray, nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each row the hub of its token: the first node in one of a few orders of the nodes,
+    which the token chooses."""
+    with np.errstate(over="ignore"):
+        chosen = (tokens.view(np.uint64) >> np.uint64(7)) % np.uint64(HUBS) + np.uint64(1)
+        rank = (nodes.view(np.uint64) ^ chosen * MIX) * MIX
+        rank ^= rank >> np.uint64(29)
+    first = np.lexsort((rank, np.repeat(np.arange(len(starts)), sizes)))[starts]
+    return np.repeat(nodes[first], sizes)
 
 
-def _token_rows(tokens, nodes) -> pa.RecordBatch:
+def _token_rows(tokens, nodes, hubs=None, more=None) -> pa.RecordBatch:
     """The last bit of the tokens is taken off as the flag it is."""
     columns = [pa.array(tokens | 1, pa.int64()), pa.array(nodes, pa.int64()), pa.array(tokens & 1 == 1)]
-    return pa.RecordBatch.from_arrays(columns, names=["token", "node", "short"])
+    columns += [pa.nulls(len(tokens), pa.int64()) if hubs is None else pa.array(hubs, pa.int64())]
+    columns += [pa.nulls(len(tokens), pa.bool_()) if more is None else pa.array(more)]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "node", "short", "hub", "more"])
+
+
+def with_hubs(found: DataFrame) -> DataFrame:
+    """The rows of ``_shared``, those of common tokens with their hubs as well."""
+    common = found.where("hub is null").select("token", "node", "short").distinct()
+    rank = F.xxhash64(F.col("node"), F.pmod(F.shiftright("token", 7), F.lit(HUBS)))
+    hubs = common.groupBy("token").agg(
+        F.min_by("node", rank).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last"),
+        (F.count("*") > 2).alias("more"), F.max("short").alias("any_short"),
+    )
+    hubs = hubs.where("first < last and any_short").drop("first", "last", "any_short")
+    # A hub's own row is not needed: every pair with it is a pair of the star.
+    spread = common.join(hubs, "token").where("node <> hub")
+    return found.where("hub is not null").unionByName(spread)
 
 
 def _sets(bloom: np.ndarray, seed: int) -> Callable:
@@ -379,16 +411,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     packed = texts.mapInArrow(_pack(table, common_from, seed, ranges), "part int, tokens binary, nodes binary")
     # Packs of common tokens (part -1) are dealt out anyhow; they pass through.
     dealt = packed.repartition(ranges, F.when(F.col("part") < 0, F.xxhash64("nodes")).otherwise(F.col("part")))
-    found = staged(dealt.mapInArrow(_shared, "token long, node long, short boolean"))
-    # The token chooses one of a few orders of the nodes, whose first node is its hub.
-    rank = F.xxhash64(F.col("node"), F.pmod(F.shiftright("token", 7), F.lit(HUBS)))
-    hubs = found.groupBy("token").agg(
-        F.min_by("node", rank).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last"),
-        (F.count("*") > 2).alias("more"), F.max("short").alias("any_short"),
-    )
-    hubs = hubs.where("first < last and any_short").drop("first", "last", "any_short")
-    # A hub's own row is not needed: every pair with it is a pair of the star.
-    shared = staged(found.join(hubs, "token").where("node <> hub").distinct())
+    found = dealt.mapInArrow(_shared, "token long, node long, short boolean, hub long, more boolean")
+    shared = staged(with_hubs(staged(found)))
     links = verified(star_pairs(shared, nodes), nodes, texts, seed)
     labels = components(links)
     more = verified(open_pairs(shared, nodes, labels), nodes, texts, seed)

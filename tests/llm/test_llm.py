@@ -787,6 +787,25 @@ def test_join_against_sql(spark, documents):
     assert Counter(want.fetchall()) == joined(documents)
 
 
+def test_join_with_common_tokens(documents, texts, monkeypatch):
+    """Every token counts as too common to be packed, and tables are as small as they get."""
+    monkeypatch.setattr(similarity_join, "COMMON", 0)
+    monkeypatch.setattr(similarity_join, "TIMES_MEAN", 0)
+    monkeypatch.setattr(similarity_join, "MOST_BITS", 16)
+    assert joined(documents) == Counter(brute(list(texts.items())))
+
+
+def test_hubs_are_nodes_of_their_tokens():
+    rng = np.random.default_rng(6)
+    tokens = np.sort(rng.integers(0, 50, 400) << 20)
+    nodes = rng.integers(-(2**62), 2**62, 400)
+    starts = np.flatnonzero(np.append(True, np.diff(tokens)))
+    sizes = np.diff(np.append(starts, 400))
+    hubs = similarity_join._hubs(tokens, nodes, starts, sizes)
+    for a, n in zip(starts, sizes):
+        assert len(set(hubs[a : a + n])) == 1 and hubs[a] in nodes[a : a + n]
+
+
 def test_join_near_copies(spark):
     rng = np.random.default_rng(3)
     rows, stem = [], [f"w{i}" for i in range(120)]
