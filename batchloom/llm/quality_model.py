@@ -8,9 +8,15 @@ most ``sample`` documents, the smallest by a hash of their id. Features are the
 shapes and pairs of neighbouring shapes, as shares of the document (short ones damped), so the scorer also tells
 documents on which most labellers abstain. Every document is scored whole, in one pass.
 
+The labeller on variety calls no text of 2,000 words or more bad: that few of their words differ
+is usual.
+
 Edge cases: null and empty texts have no features; they are called bad with the score 0.
-Repeated rows give equal rows. With no documents at all there is nothing to score. Only
-``doc_id`` and ``text`` are read, so other columns never clash.
+Repeated rows give equal rows. Sampled rows that tie by hash and id are taken by the hash of their
+text. A score of exactly ``MIN_SCORE`` keeps the document. With no documents at all there is
+nothing to score. Texts are read whole, whatever their length; a task holds the words of one
+and, for the fit, the features of the sample. Only ``doc_id`` and ``text`` are read, so other
+columns never clash.
 """
 
 from __future__ import annotations

@@ -8,9 +8,13 @@ is good replaces the demand that every rule be met.
 Only DataFrame functions are used. The patterns are at most 3 to the number of rules; every
 round is one aggregate over them that returns one row.
 
+The rule on variety abstains on texts of 2,000 words and more: that few of their words differ
+is usual, and says nothing of them.
+
 Edge cases: null and empty texts have no word and fail the base rule. Repeated rows give
-equal rows. Rules that never vote say nothing. An empty table gives an empty one. Only ``doc_id`` and ``text``
-are read, so other columns never clash.
+equal rows. Rules that never vote say nothing. A posterior of exactly ``MIN_POSTERIOR`` keeps the
+document. An empty table gives an empty one. Texts are read whole, whatever their length; a task
+holds the words of one. Only ``doc_id`` and ``text`` are read, so other columns never clash.
 """
 
 from __future__ import annotations

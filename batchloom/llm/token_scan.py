@@ -17,8 +17,8 @@ compares that with the bytes of the row's text, row by row.
 
 Edge cases: a null or empty text is a document of no tokens. An end id after the last document
 is required of whole files; tokens after the last end are not a document and are reported by
-``open_tokens``. Text that spells special tokens is ordinary text. Repeated rows and null ids count each. An
-empty table gives no file and no row. Only ``doc_id`` and ``text`` are read, so other columns
+``open_tokens``. Text that spells special tokens is ordinary text. Repeated rows and null ids count each, and
+ties cannot occur. An empty table gives no file and no row. A very long text is encoded whole. Only ``doc_id`` and ``text`` are read, so other columns
 never clash.
 """
 
