@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import staged
+from batchloom.llm.common import staged, tidy
 from batchloom.llm.substring_dedup import Hashes
 from batchloom.operators.ordering import free_name
 from batchloom.sources.catalog import quoted
@@ -240,7 +240,7 @@ def fit(
     max_words, max_grams = round(max_words * fraction), round(max_grams * fraction)
     counts = (
         sample(labelled, size, _rows_each(sample_per_language, size))
-        .mapInPandas(_count, "lang string, kind int, unit string, n long")
+        .mapInPandas(tidy(_count), "lang string, kind int, unit string, n long")
         .groupBy("lang", "kind", "unit")
         .agg(F.sum("n").alias("n"))
     )
@@ -438,7 +438,7 @@ def language_of(model: Model, text: str = "text") -> Column:
             found = [x[:2] for x in scorer.verdicts((x.as_py() for x in batch), None)]
             yield _struct(found, _FIELDS[:2])
 
-    return F.arrow_udf(predict, RESULT)(F.col(text))
+    return F.arrow_udf(tidy(predict), RESULT)(F.col(text))
 
 
 def _with_fields(docs: DataFrame, found: Column, names: list[str]) -> DataFrame:
@@ -468,7 +468,7 @@ def judged(model: Model, text: str = "text", lang: str = "lang") -> Column:
             pairs = (x.as_py() for x in texts), (x.as_py() for x in stated)
             yield _struct(list(scorer.verdicts(*pairs)), _FIELDS)
 
-    return F.arrow_udf(run, VERDICT)(F.col(text), F.col(lang))
+    return F.arrow_udf(tidy(run), VERDICT)(F.col(text), F.col(lang))
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:

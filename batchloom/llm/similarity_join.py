@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import staged
+from batchloom.llm.common import staged, tidy
 from batchloom.llm.components import components
 
 SHINGLE = 5
@@ -58,6 +58,8 @@ BLOOM_EACH, BLOOM_MOST = 16, 1 << 29
 BITMAP_WORDS = 16
 #: Orders of the nodes by which hubs are chosen; a node of a group meets so many of its others.
 HUBS = 4
+#: Prefix tokens that a task packs at a time.
+HELD = 1_000_000
 #: Tokens of a node by which pairs are told to have met before.
 FIRST = 8
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -173,7 +175,7 @@ def frequencies(survey: DataFrame, bits: int) -> np.ndarray:
     summed = (
         survey.where("piece is not null").select("piece", "counts")
         .repartition(PIECES, "piece")
-        .mapInArrow(_sum_pieces, "piece int, counts binary")
+        .mapInArrow(tidy(_sum_pieces), "piece int, counts binary")
         .collect()
     )
     table = np.zeros((PIECES, (1 << bits) // PIECES), np.uint8)
@@ -219,7 +221,7 @@ def _pack(table: np.ndarray, common_from: int, seed: int, ranges: int) -> Callab
                 found.append(tokens[first] & ~np.uint64(1) | short.astype(np.uint64))
                 owner.append(np.full(len(first), node, np.int64))
                 held += len(first)
-                if held >= 2_000_000:
+                if held >= HELD:
                     yield packed()
                     found, owner, held = [], [], 0
         if found:
@@ -366,14 +368,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, seed: int) ->
     bits = min(BLOOM_MOST, 1 << max(20, (BLOOM_EACH * wanted.count()).bit_length()))
     sets = staged(
         texts.select("text", _place(bits))
-        .mapInArrow(_sets(_bloom(wanted, bits), seed), "node long, tokens binary")
+        .mapInArrow(tidy(_sets(_bloom(wanted, bits), seed)), "node long, tokens binary")
         .join(wanted.select("node"), "node")
         .dropDuplicates(["node"])
     )
     for side in ("a", "b"):
         own = sets.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}"))
         pairs = pairs.join(own, side)
-    return staged(pairs.mapInArrow(_verify, "a long, b long"))
+    return staged(pairs.mapInArrow(tidy(_verify), "a long, b long"))
 
 
 def near(x: str, y: str) -> Column:
@@ -391,7 +393,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     seed, size = 0, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(size // WORD_BYTES)
     while True:
-        survey = staged(texts.mapInArrow(_survey(seed, bits), SURVEY))
+        survey = staged(texts.mapInArrow(tidy(_survey(seed, bits)), SURVEY))
         rows = survey.where("n is not null")
         nodes = staged(
             rows.where("n > 0").groupBy("node")
@@ -408,10 +410,10 @@ def cluster(docs: DataFrame) -> DataFrame:
     table = frequencies(survey, bits)
     ranges = max(12, (total[0] or 0) // 2_000_000)
     common_from = int(level(np.array(max(COMMON, TIMES_MEAN * (total[0] or 0) >> bits))))
-    packed = texts.mapInArrow(_pack(table, common_from, seed, ranges), "part int, tokens binary, nodes binary")
+    packed = texts.mapInArrow(tidy(_pack(table, common_from, seed, ranges)), "part int, tokens binary, nodes binary")
     # Packs of common tokens (part -1) are dealt out anyhow; they pass through.
     dealt = packed.repartition(ranges, F.when(F.col("part") < 0, F.xxhash64("nodes")).otherwise(F.col("part")))
-    found = dealt.mapInArrow(_shared, "token long, node long, short boolean, hub long, more boolean")
+    found = dealt.mapInArrow(tidy(_shared), "token long, node long, short boolean, hub long, more boolean")
     shared = staged(with_hubs(staged(found)))
     links = verified(star_pairs(shared, nodes), nodes, texts, seed)
     labels = components(links)
