@@ -34,7 +34,6 @@ from functools import cached_property
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,9 +48,9 @@ UNDETERMINED = "und"
 #: Rows of the sample and costs of the model, in all.
 SAMPLE, UNITS = 600_000, 2_000_000
 #: Words whose costs a task keeps; it starts anew beyond that.
-KEPT_WORDS = 100_000
-#: Words of the texts that a task scores together.
-GROUP = 50_000
+KEPT_WORDS = 60_000
+#: Different words of the texts that a task scores together; texts it counts at a time.
+GROUP, COUNTED = 20_000, 250
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang_pred string, score double"
 VERDICT = f"{RESULT}, strange double, against double"
@@ -212,18 +211,27 @@ def sizes_of(labelled: DataFrame, max_languages: int) -> dict[str, int]:
     return {row["lang"]: row["count"] for row in counts.limit(max_languages).collect()}
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and n-grams with their counts by language, handed in after every few texts."""
     for batch in batches:
-        found: Counter = Counter()
-        for language, rows in batch.groupby("lang").text:
-            seen = Counter(word for text in rows for word in words(text))
-            for word, n in seen.items():
-                found[language, 0, word] += n
-                for order in ORDERS:
-                    for gram in grams(word, order):
-                        found[language, order, gram] += n
-        units = [(*key, n) for key, n in found.items()]
-        yield pd.DataFrame(units, columns=["lang", "kind", "unit", "n"])
+        for start in range(0, batch.num_rows, COUNTED):
+            found: dict[str, Counter] = {}
+            part = batch.slice(start, COUNTED)
+            for language, text in zip(part.column("lang"), part.column("text"), strict=True):
+                found.setdefault(language.as_py(), Counter()).update(words(text.as_py()))
+            for language, seen in found.items():
+                for kind in (0, *ORDERS):
+                    units = seen if kind == 0 else Counter()
+                    for word, n in seen.items() if kind else ():
+                        for gram in grams(word, kind):
+                            units[gram] += n
+                    columns = {
+                        "lang": pa.array([language] * len(units), pa.string()),
+                        "kind": pa.array([kind] * len(units), pa.int32()),
+                        "unit": pa.array(units.keys(), pa.string()),
+                        "n": pa.array(units.values(), pa.int64()),
+                    }
+                    yield pa.RecordBatch.from_pydict(columns)
 
 
 def fit(
@@ -240,7 +248,8 @@ def fit(
     max_words, max_grams = round(max_words * fraction), round(max_grams * fraction)
     counts = (
         sample(labelled, size, _rows_each(sample_per_language, size))
-        .mapInPandas(tidy(_count), "lang string, kind int, unit string, n long")
+        .select("lang", "text")
+        .mapInArrow(tidy(_count), "lang string, kind int, unit string, n long")
         .groupBy("lang", "kind", "unit")
         .agg(F.sum("n").alias("n"))
     )
