@@ -57,7 +57,7 @@ COMMON, TIMES_MEAN = 4_096, 64
 BLOOM_EACH, BLOOM_MOST = 16, 1 << 29
 BITMAP_WORDS = 16
 #: Orders of the nodes by which hubs are chosen; a node of a group meets so many of its others.
-HUBS = 4
+HUBS = 16
 #: Prefix tokens that a task packs at a time.
 HELD = 1_000_000
 #: Tokens of a node by which pairs are told to have met before.
@@ -366,12 +366,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, seed: int) ->
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = staged(ends.join(nodes.select("node", "doc_id"), "node"))
     bits = min(BLOOM_MOST, 1 << max(20, (BLOOM_EACH * wanted.count()).bit_length()))
-    sets = staged(
+    made = staged(
         texts.select("text", _place(bits))
         .mapInArrow(tidy(_sets(_bloom(wanted, bits), seed)), "node long, tokens binary")
         .join(wanted.select("node"), "node")
-        .dropDuplicates(["node"])
     )
+    # Dealt by node once, for both sides of the pairs.
+    sets = made.dropDuplicates(["node"])
     for side in ("a", "b"):
         own = sets.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}"))
         pairs = pairs.join(own, side)
