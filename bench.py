@@ -34,6 +34,7 @@ HEADLINE = (
     "summary_by_band",
     "summary_by_part",
     "top_k",
+    "top_k_large",
     "sort_desc",
     "repartition_rows",
     "repartition_summary",
@@ -44,6 +45,7 @@ HEADLINE = (
     "first_failure",
     "streak_guard",
     "streak_guard_one_run",
+    "streak_guard_one_run_stream",
     "tail_n",
     "tail_one_source",
     "failed_worker_tail",
