@@ -8,7 +8,8 @@ with the probability of the rest. So expected tokens keep all three margins, als
 ``rate`` is above one. The draw is a hash of the row, the same on every run.
 
 Only DataFrame functions are used. Cells are few next to documents, but no bound is assumed:
-they stay a table, and each raking step is a partial aggregate and a join.
+they stay a table, and each raking step is a partial aggregate and a join, written before the
+next one so that plans stay small on the driver.
 
 Edge cases: a null source or language counts as the label ``(none)``. A text without words has
 no tokens; it takes the weight of its cell. Labels without a target keep their own weight
@@ -116,7 +117,8 @@ def rake(table: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             current = current.join(factor, d, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0)))
             errors.append(f"off_{d}")
             current = current.withColumn(errors[-1], F.abs(F.coalesce("factor", F.lit(1.0)) - 1)).drop("factor")
-        current = staged(current)
+            # The margin reads the cells twice, so plans of several dimensions would double each time.
+            current = staged(current)
         # One row: the largest change that a margin of this round still needed.
         worst = current.agg(F.max(F.greatest(*errors))).first()[0]
         current = current.drop(*errors)
