@@ -11,6 +11,8 @@ documents on which most labellers abstain. Every document is scored whole, in on
 The labeller on variety calls no text of 2,000 words or more bad: that few of their words differ
 is usual.
 
+Tasks take texts in groups, find out what there is to know of a word once, and sum by arrays.
+
 Edge cases: null and empty texts have no features; they are called bad with the score 0.
 Repeated rows give equal rows. Sampled rows that tie by hash and id are taken by the hash of their
 text. A score of exactly ``MIN_SCORE`` keeps the document. With no documents at all there is
@@ -23,9 +25,12 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -39,22 +44,96 @@ EPOCHS = 20
 MIN_SCORE = 0.5
 GOOD, NONE, BAD = 1, 0, -1
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SYMBOLS = frozenset("#*$%&|<>~^=\\{}")
+SYMBOLS, BLANKS = frozenset("#*$%&|<>~^=\\{}"), frozenset(" \t\n\v\f\r")
 #: Of good and bad documents, the shares of votes (bad, none, good) before the first round.
 START = ((0.02, 0.48, 0.5), (0.3, 0.5, 0.2))
 KEPT_WORDS = 400_000
+#: Words of the texts that a task takes together.
+GROUP = 50_000
+
+
+class _Kinds(dict):
+    """For ``str.translate``: what each character counts as."""
+
+    def __init__(self, kind: Callable[[str], str]) -> None:
+        self.kind = kind
+
+    def __missing__(self, point: int) -> str:
+        self[point] = found = self.kind(chr(point))
+        return found
+
+
+_SHAPES = _Kinds(lambda c: "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c)
+RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
 
 
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, runs cut short; other characters as they are."""
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24]]
-    out = kinds[:1]
-    for kind in kinds[1:]:
-        if kind != out[-1]:
-            out.append(kind)
-        elif len(out) < 2 or out[-2] != kind:
-            out.append(kind)
-    return "".join(out)
+    return RUN.sub(r"\1\1", word[:24].translate(_SHAPES))
+
+
+def grouped(texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[list[bytes]]]]:
+    """The texts in groups of some ``GROUP`` words, and their words. A null text is an empty one."""
+    group: list[str] = []
+    words: list[list[bytes]] = []
+    size = 0
+    for text in texts:
+        group.append(text or "")
+        # Bytes are split at the white space between words and nowhere else.
+        words.append(group[-1].encode().split())
+        size += len(words[-1])
+        if size >= GROUP:
+            yield group, words
+            group, words, size = [], [], 0
+    if group:
+        yield group, words
+
+
+class Words(dict):
+    """Places of the words met, in a table with a row for each thing that ``look`` finds out."""
+
+    def __init__(self, look: Callable[[str], tuple[int, ...]]) -> None:
+        self.look = look
+        self.new: list[tuple[int, ...]] = []
+        self.table = np.empty((len(look("a")), 1024), np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.new.append(self.look(word.decode()))
+        return place
+
+    def places(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word of the texts its text's number and its place."""
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        places = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+        if self.new:
+            more = len(self) - self.table.shape[1]
+            if more > 0:
+                room = np.empty((len(self.table), max(more, self.table.shape[1])), np.int64)
+                self.table = np.concatenate([self.table, room], axis=1)
+            self.table[:, len(self) - len(self.new) : len(self)] = np.array(self.new).T
+            self.new = []
+        return np.repeat(np.arange(len(words)), sizes), places
+
+
+class _Traits:
+    """What code points are: bits for a blank, a letter, an upper-case character, a symbol and the
+    end of a sentence. A code point is looked up once."""
+
+    def __init__(self) -> None:
+        self.known = np.full(sys.maxunicode + 1, 255, np.uint8)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        found = self.known[points]
+        if (found == 255).any():
+            for point in np.unique(points[found == 255]).tolist():
+                c = chr(point)
+                traits = c in BLANKS, c.isalpha(), c.isupper(), c in SYMBOLS, c in ".!?"
+                self.known[point] = sum(bit << i for i, bit in enumerate(traits))
+            found = self.known[points]
+        return found
 
 
 @dataclass
@@ -74,17 +153,33 @@ class Facts:
 
     @classmethod
     def of(cls, text: str) -> Facts:
-        words = WORD.findall(text)
-        lines = [x for x in text.split("\n") if x.strip()]
-        chars = Counter(text).items()
-        letters = sum(n for c, n in chars if c.isalpha())
-        upper = sum(n for c, n in chars if c.isupper())
-        return cls(
-            len(words), letters, upper, sum(n for c, n in chars if c in SYMBOLS),
-            sum(not any(map(str.isalpha, w)) for w in words), len(set(words)),
-            sum(a == b for a, b in zip(words, words[1:])), len(lines), len(set(lines)),
-            sum(w[-1] in ".!?" for w in words),
-        )
+        return next(cls.all([text]))
+
+    @classmethod
+    def all(cls, texts: Iterable[str | None]) -> Iterator[Facts]:
+        """Of each text."""
+        traits = _Traits()
+        for group, words in grouped(texts):
+            points = np.frombuffer(" ".join([*group, ""]).encode("utf-32-le"), np.uint32)
+            sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
+            found = traits.of(points)
+            starts = np.cumsum(sizes) - sizes
+            count = lambda has: np.add.reduceat(has, starts, dtype=np.int64).tolist()
+            inside, letter = found & 1 == 0, found & 2 > 0
+            # A blank follows each text, so that every word has an end.
+            first, last = np.flatnonzero(inside[1:] > inside[:-1]) + 1, np.flatnonzero(inside[1:] < inside[:-1])
+            first = np.concatenate([np.flatnonzero(inside[:1]), first])
+            so_far = np.cumsum(letter)
+            bare, ends = np.zeros(len(points), bool), np.zeros(len(points), bool)
+            bare[first] = so_far[last] - so_far[first] + letter[first] == 0
+            ends[last] = found[last] & 16 > 0
+            columns = count(letter), count(found & 4 > 0), count(found & 8 > 0), count(bare), count(ends)
+            for text, own, letters, upper, symbols, plain, done in zip(group, words, *columns):
+                lines = [x for x in text.split("\n") if x.strip()]
+                repeated = sum(map(eq, own, own[1:]))
+                yield cls(
+                    len(own), letters, upper, symbols, plain, len(set(own)), repeated, len(lines), len(set(lines)), done
+                )
 
 
 def labels(f: Facts) -> tuple[int, ...]:
@@ -118,7 +213,7 @@ LABELLERS = len(labels(Facts.of("")))
 def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each pattern of votes with its documents in the batch."""
     for batch in batches:
-        found = Counter(labels(Facts.of(text)) for text in batch.text if text)
+        found = Counter(map(labels, Facts.all(text for text in batch.text if text)))
         rows = [(",".join(map(str, votes)), n) for votes, n in found.items()]
         yield pd.DataFrame(rows, columns=["votes", "n"])
 
@@ -147,33 +242,56 @@ def posterior(votes: np.ndarray, prior: float, shares: np.ndarray) -> np.ndarray
     return 1 / (1 + np.exp(-(gain + math.log(prior / (1 - prior)))))
 
 
+def _bucket(text: str) -> int:
+    return xxhash.xxh32_intdigest(text) % BUCKETS
+
+
 class Hasher:
-    """Hashed features of texts; keeps what it has worked out for words."""
+    """Hashed features of texts; keeps what it has worked out for words and forms."""
 
     def __init__(self) -> None:
-        self.kept: dict[str, tuple[int, int, int]] = {}
+        self.forms: dict[str, tuple[int, int]] = {}
+        self.words = Words(self.word)
 
     def word(self, word: str) -> tuple[int, int, int]:
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept = {}
-        form = shape(word)
-        bucket = lambda s: xxhash.xxh32_intdigest(s) % BUCKETS
-        self.kept[word] = found = (bucket("w" + word.lower()), bucket("s" + form), xxhash.xxh32_intdigest("p" + form))
-        return found
+        """The buckets of the word and of its form, and the hash of the form in pairs."""
+        raw = word[:24].translate(_SHAPES)
+        found = self.forms.get(raw)
+        if found is None:
+            if len(self.forms) >= KEPT_WORDS:
+                self.forms = {}
+            form = shape(word)
+            self.forms[raw] = found = _bucket("s" + form), xxhash.xxh32_intdigest("p" + form)
+        return _bucket("w" + word.lower()), *found
+
+    def groups(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By groups of texts: how many they are, each word's text, bucket and form's bucket, and
+        for each word but the first one of a text the pair's bucket and whether it repeats."""
+        for group, words in grouped(texts):
+            doc, at = self.words.places(words)
+            word, form, hashed = (row[at] for row in self.words.table)
+            inside = doc[1:] == doc[:-1]
+            pairs = np.where(inside, (hashed[:-1] * 31 + hashed[1:]) % BUCKETS, -1)
+            yield len(group), doc, word, form, pairs, inside & (word[1:] == word[:-1])
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Buckets and their shares of the text."""
-        kept = self.kept
-        words = WORD.findall(text)
-        if not words:
+        _, doc, word, form, pairs, same = next(self.groups([text]))
+        if not len(doc):
             return np.empty(0, np.int64), np.empty(0)
-        found = np.array([kept.get(w) or self.word(w) for w in words], dtype=np.int64)
-        pairs = (found[:-1, 2] * 31 + found[1:, 2]) % BUCKETS
-        same = (found[1:, 0] == found[:-1, 0]).sum()
-        buckets, counts = np.unique(np.concatenate([found[:, 0], found[:, 1], pairs]), return_counts=True)
+        buckets, counts = np.unique(np.concatenate([word, form, pairs]), return_counts=True)
         # Two buckets of their own: repeated neighbours and a constant.
-        damped = len(words) + 5  # a few words say little
-        return np.append(buckets, [0, 1]), np.append(counts / damped, [same / damped, 1.0])
+        damped = len(doc) + 5  # a few words say little
+        return np.append(buckets, [0, 1]), np.append(counts / damped, [same.sum() / damped, 1.0])
+
+    def sums(self, texts: Iterable[str | None], weights: np.ndarray) -> Iterator[np.ndarray]:
+        """The weighted sums of the texts' features, by groups; minus infinity without words."""
+        for n, doc, word, form, pairs, same in self.groups(texts):
+            total = np.bincount(doc, weights[word] + weights[form], n)
+            more = np.where(pairs >= 0, weights[pairs], 0.0) + same * weights[0]
+            total += np.bincount(doc[1:], more, n)
+            sizes = np.bincount(doc, minlength=n)
+            yield np.where(sizes > 0, total / (sizes + 5) + weights[1], -np.inf)
 
 
 @dataclass
@@ -199,11 +317,11 @@ def fit(docs: DataFrame, sample: int = 12_000) -> Model:
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
-        data = [(hasher.features(text), labels(Facts.of(text))) for batch in batches for text in batch.text]
-        if not data:
+        sampled = [text for batch in batches for text in batch.text]
+        if not sampled:
             return
-        votes = np.array([x[1] for x in data], dtype=int) + 1
-        weights = train([x[0] for x in data], posterior(votes, prior, shares))
+        votes = np.array([*map(labels, Facts.all(sampled))], dtype=int) + 1
+        weights = train([*map(hasher.features, sampled)], posterior(votes, prior, shares))
         yield pd.DataFrame({"weights": [weights.tobytes()]})
 
     # The sample has a fixed bound, so one task may see all of it.
@@ -235,9 +353,8 @@ def score_of(model: Model, text: str = "text") -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = Hasher()
         for batch in batches:
-            found = (hasher.features(x) if x else ((), ()) for x in batch)
-            sums = [float(model.weights[at] @ x) if len(at) else -math.inf for at, x in found]
-            yield pd.Series([1 / (1 + math.exp(-max(-700.0, x))) if x > -math.inf else 0.0 for x in sums])
+            sums = np.concatenate([np.empty(0), *hasher.sums(batch, model.weights)])
+            yield pd.Series(1 / (1 + np.exp(-np.maximum(sums, -700.0))) * (sums > -np.inf))
 
     return score(F.col(text))
 
