@@ -70,6 +70,34 @@ def test_gate_by_ratios_met_against_plain_steps():
     assert np.allclose(context_mixing.fit_gate(met), gate, atol=2e-3)
 
 
+def test_like_bytes_are_spelled_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    shape = len(context_mixing.ORDERS), 1 << context_mixing.SLOT_BITS
+    model = context_mixing.Spelling(
+        rng.normal(size=shape).astype(np.float32), rng.normal(size=(64, shape[0])).astype(np.float32),
+        rng.uniform(0.1, 0.9, (256, context_mixing.CELLS)).astype(np.float32),
+    )
+    tokens = [b"%s%d" % (word, i % 5) for i in range(400) for word in (b"beginnings", b"", b"aaaaaaaaaaaa", b"\xff")] + [b""]
+    alone = np.concatenate([context_mixing.spelled(model, [token]) for token in tokens])
+    found, slots = [], context_mixing.slots
+    monkeypatch.setattr(context_mixing, "slots", lambda *x: found.append(slots(*x)) or found[-1])
+    assert np.allclose(context_mixing.spelled(model, tokens), alone)
+    assert sum(map(len, found)) < 40 * sum(len(t) + 1 for t in tokens) / 50
+
+
+def test_tokens_of_groups_against_plain_ones():
+    texts = [None, "", " \t", "A b\x0bA\n", "\x1cx\x85 É é\xa0Z  z ", "b", "q" * 70]
+    group = context_mixing.group_of(pa.array([x and x.encode() for x in texts], pa.binary()))
+    names = group.different.to_pylist()
+    plain = [[*(x or "").encode().lower().split(), b""] for x in texts]
+    assert [[names[i] for i in group.at[a:b]] for a, b in zip(group.ends, group.ends[1:])] == plain
+    assert group.doc.tolist() == [i for i, x in enumerate(plain) for _ in x]
+    batch = pa.RecordBatch.from_pydict({"held_out": [False, True], "text": pa.array([b"a a b", b"c"])})
+    classes = context_mixing.Classes(np.zeros((context_mixing.CLASSES, context_mixing.BUCKETS)), np.zeros(context_mixing.CLASSES))
+    rows = [row for part in context_mixing._count(classes)(iter([batch, batch])) for row in part.to_pylist()]
+    assert {row["token"]: sum(row[k] for k in context_mixing.CLASS_COUNTS) for row in rows} == {b"a": 4, b"b": 2, b"c": 0, b"": 2}
+
+
 # 4: quality model
 
 
@@ -131,3 +159,5 @@ def test_raking_plans_stay_small(spark, monkeypatch):
     raked = mixing.rake(cells, mixing.default_targets(cells)).collect()
     assert len(raked) == len(rows) and raked[0].margin_error < mixing.TOLERANCE
     assert max(joins) <= 2
+    # The goals are in the cells, so a step joins its margin and nothing else.
+    assert set(joins[-len(mixing.DIMENSIONS) :]) == {1}
