@@ -261,18 +261,18 @@ def fit(
         .where((F.col("place") <= kept) & ((F.col("n") > 1) | (F.col("kind") > 0)))
         .select("lang", "kind", "unit", "n", "total")
         .toArrow()
-        .to_pandas()
     )
+    kinds, units = (rows.column(k).to_pylist() for k in ("kind", "unit"))
     languages = sorted(size)
     index: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for kind, unit in zip(rows.kind, rows.unit):
+    for kind, unit in zip(kinds, units):
         index[kind > 0].setdefault(unit, len(index[0]) + len(index[1]))
-    at = [index[kind > 0][unit] for kind, unit in zip(rows.kind, rows.unit)]
+    at = np.fromiter((index[kind > 0][unit] for kind, unit in zip(kinds, units)), np.int64, len(kinds))
     column = {language: i for i, language in enumerate(languages)}
     costs = Costs.of(
-        np.array(at, np.int64),
-        np.array([column[x] for x in rows.lang], np.int32),
-        -np.log10((rows.n / rows.total).to_numpy(float)),
+        at,
+        np.fromiter(map(column.__getitem__, rows.column("lang").to_pylist()), np.int32, len(kinds)),
+        -np.log10(rows.column("n").to_numpy() / rows.column("total").to_numpy()),
         len(index[0]) + len(index[1]),
     )
     rows_of = np.array([size[x] for x in languages], dtype=float)

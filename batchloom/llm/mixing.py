@@ -109,14 +109,20 @@ def rake(table: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """
     wanted = _shares(table, targets)
     current, worst = table.withColumn("weight", F.lit(1.0)), None
+    goals = {d: f"goal_{d}" for d in DIMENSIONS}
+    # With the goals in the cells, each step of a round is left with one join.
+    for d, goal in goals.items():
+        current = staged(current.join(wanted[d].withColumnRenamed("goal", goal), d, "left"))
     for _ in range(ROUNDS):
         errors = []
-        for d in DIMENSIONS:
+        for d, goal in goals.items():
             margin = current.groupBy(d).agg(F.sum(F.col("weight") * F.col("tokens")).alias("have"))
-            factor = margin.join(wanted[d], d).select(d, (F.col("goal") / F.col("have")).alias("factor"))
-            current = current.join(factor, d, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0)))
+            current = current.join(margin, d, "left")
+            factor = F.when(F.col(goal).isNotNull(), F.col(goal) / F.col("have"))
+            current = current.withColumn("factor", F.coalesce(factor, F.lit(1.0)))
             errors.append(f"off_{d}")
-            current = current.withColumn(errors[-1], F.abs(F.coalesce("factor", F.lit(1.0)) - 1)).drop("factor")
+            current = current.withColumn("weight", F.col("weight") * F.col("factor"))
+            current = current.withColumn(errors[-1], F.abs(F.col("factor") - 1)).drop("factor", "have")
             # The margin reads the cells twice, so plans of several dimensions would double each time.
             current = staged(current)
         # One row: the largest change that a margin of this round still needed.
@@ -124,7 +130,7 @@ def rake(table: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         current = current.drop(*errors)
         if worst is None or worst < TOLERANCE:
             break
-    return current.withColumn("margin_error", F.lit(worst).cast("double"))
+    return current.drop(*goals.values()).withColumn("margin_error", F.lit(worst).cast("double"))
 
 
 def mixed(
