@@ -85,6 +85,60 @@ def test_like_bytes_are_spelled_once(monkeypatch):
     assert sum(map(len, found)) < 40 * sum(len(t) + 1 for t in tokens) / 50
 
 
+def plain_mixer(counts, batch):
+    """The mixer's sums, each byte looked up for itself."""
+    weights, rng = np.full((64, len(context_mixing.ORDERS)), 0.3), np.random.default_rng(7)
+    learned, total, refine = np.zeros(64), np.zeros(weights.shape), np.zeros((256, context_mixing.CELLS, 2))
+    batch = batch.take(pa.array(rng.permutation(len(batch))))
+    for start in range(0, len(batch), 500):
+        part = batch.slice(start, 500)
+        data, place, starts = context_mixing._bytes(part.column("token").to_pylist())
+        own = np.repeat(1 + np.log(part.column("c").to_numpy()), np.diff(np.append(starts, len(data))))
+        last = np.where(place > 0, np.append(0, data[:-1]), 0)
+        made, times, step = context_mixing.contexts(data, place), np.zeros(64), np.zeros(weights.shape)
+        for bit, node, value in context_mixing.bits_of(data):
+            met = [x[context_mixing.slots(c, o, node)] - np.stack([own * (1 - value), own * value], axis=1) for x, c, o in zip(counts, made, context_mixing.ORDERS)]
+            odds = np.array([np.log((np.maximum(x[:, 1], 0) + 0.4) / (np.maximum(x[:, 0], 0) + 0.4)) for x in met]).T
+            gate = context_mixing.gates(place, bit)
+            mixed = np.clip((odds * weights[gate]).sum(axis=1), -8, 8)
+            np.add.at(times, gate, 1)
+            np.add.at(step, gate, odds * (value - 1 / (1 + np.exp(-mixed)))[:, None])
+            np.add.at(refine, (last, np.rint((mixed + 8) * 2).astype(int), value), 1)
+        total += weights * times[:, None]
+        learned += times
+        weights += 0.02 * step / np.maximum(times, 1)[:, None] ** 0.5
+    return np.column_stack([learned, total]), refine
+
+
+def test_like_bytes_teach_the_mixer_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    tokens = [b"%s%d" % (word, i % 300) for i in range(600) for word in (b"beginnings", b"aaaaaaaaaaaa", b"\xff")] + [b"", b"q" * 900]
+    batch = pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.binary()), "c": pa.array(rng.integers(1, 4, len(tokens)))})
+    counts = rng.uniform(0, 9, (len(context_mixing.ORDERS), 1 << context_mixing.SLOT_BITS, 2)).astype(np.float32)
+    found, slots = [], context_mixing.slots
+    expected = plain_mixer(counts, batch)
+
+    def mixed():
+        pieces = [*context_mixing._fit_mixer(counts)(iter([batch.slice(0, 0), batch]))]
+        return [np.frombuffer(zlib.decompress(x["part"][0].as_py())) for x in pieces]
+
+    monkeypatch.setattr(context_mixing, "slots", lambda *x: found.append(slots(*x)) or found[-1])
+    once = mixed()
+    assert sum(map(len, found)) < 40 * sum(len(t) + 1 for t in tokens) / 4
+    monkeypatch.setattr(context_mixing, "SPAN", 150)  # steps are cut, too
+    for learned, refine in (once, mixed()):
+        assert np.allclose(learned.reshape(64, -1), expected[0])
+        assert np.array_equal(refine.reshape(expected[1].shape), expected[1])
+
+
+def test_rounds_over_the_texts_take_few_tasks(spark, monkeypatch):
+    tasks, summed = [], context_mixing._summed
+    monkeypatch.setattr(context_mixing, "_summed", lambda pieces, *x: tasks.append(pieces.rdd.getNumPartitions()) or summed(pieces, *x))
+    texts = spark.createDataFrame([(" ".join(WORDS[i % 30 : i % 30 + 9]),) for i in range(240)], "text string").repartition(24)
+    context_mixing.fit_classes(texts.select(F.col("text").cast("binary")))
+    assert len(tasks) > 2 and max(tasks) <= 24 // 4
+
+
 def test_tokens_of_groups_against_plain_ones():
     texts = [None, "", " \t", "A b\x0bA\n", "\x1cx\x85 É é\xa0Z  z ", "b", "q" * 70]
     group = context_mixing.group_of(pa.array([x and x.encode() for x in texts], pa.binary()))
