@@ -21,7 +21,7 @@ Only DataFrame functions are used. The windows of the benchmark are broadcast wh
 few (``BROADCAST_WINDOWS``, counted first); beyond that the same join shuffles by window.
 
 Edge cases: null and empty texts have no window, so an empty table finds nothing. Very long texts
-are cut into windows whole; one row of them is an array in a task. Rows that share a doc_id (or
+are cut into words whole, but hashed and cut into windows ``PART`` words at a time. Rows that share a doc_id (or
 have none) count as one document, and items that share an item_id as one item; repeated rows
 change nothing. Ties cannot occur. ``clean`` tells rows of one doc_id apart by their text. Only
 ``doc_id, text`` and ``item_id, text`` are read, so other columns never clash.
@@ -46,6 +46,9 @@ MIN_LITERAL = 4
 #: With windows of 8 this is a run of 13 words.
 MIN_WINDOWS = 6
 BROADCAST_WINDOWS = 500_000
+#: Words of a text whose windows are made at a time. All matches of a part are held at once, each
+#: with the part's words, so this is kept small.
+PART = 128
 UNITS = (
     "kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "ft", "in", "l", "ml",
     "s", "sec", "min", "h", "hr", "usd", "eur", "gbp", "kilograms", "grams", "pounds",
@@ -81,20 +84,28 @@ def template(found: Column) -> Column:
 
 
 def windows(texts: DataFrame, key: str, sizes: Sequence[int]) -> DataFrame:
-    """``key, n, size, place, window`` of each window of the given sizes, and the text's tokens
-    ``t`` and template ``k``; ``n`` is how many tokens the text has.
+    """``key, n, size, place, window`` of each window of the given sizes, and the tokens ``t`` and
+    template ``k`` of its part of the text, which starts at ``first``; ``n`` is how many tokens the text has.
 
     Both are null for a text without placeholders, most of them: then no slot is to be held
-    against another. They are references here, and only copied for windows that match.
+    against another. Every window that matches takes a copy of both along.
     """
     found = texts.select(key, tokens(F.col("text")).alias("t"))
     slots = F.exists("t", lambda x: F.substring(x, 1, 1).between("0", "9") | x.startswith(MARK))
-    found = found.withColumn("k", F.when(slots, template(F.col("t"))))
+    found = found.withColumns({"n": F.size("t"), "k": F.when(slots, template(F.col("t")))})
+    # A window belongs to the part in which it begins, and may run on into the next one.
+    part = lambda name, first: F.slice(name, first + 1, PART + WINDOW - 1).alias(name)
+    parts = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(PART)),
+        lambda first: F.struct(first.alias("first"), part("t", first), part("k", first)),
+    )
+    found = found.select(key, "n", F.explode_outer(parts).alias("part")).select(key, "n", "part.*")
     rows = found.select(
         key,
+        "n",
+        "first",
         F.when(F.col("k").isNotNull(), F.col("t")).alias("t"),
         "k",
-        F.size("t").alias("n"),
         F.transform(F.coalesce("k", "t"), lambda x: F.xxhash64(x)).alias("h1"),
         # Only of texts with placeholders: tokens as they are, and which of them are plain.
         F.when(F.col("k").isNotNull(), F.transform("t", lambda x: F.xxhash64(x))).alias("e1"),
@@ -104,7 +115,7 @@ def windows(texts: DataFrame, key: str, sizes: Sequence[int]) -> DataFrame:
     hashed = lambda a, b: F.xxhash64(a, b)
     for step in (1, 2, 4):
         rows = rows.withColumns({
-            f"{name}{2 * step}": F.zip_with(f"{name}{step}", F.slice(f"{name}{step}", step + 1, F.col("n")), join)
+            f"{name}{2 * step}": F.zip_with(f"{name}{step}", F.slice(f"{name}{step}", step + 1, PART + WINDOW), join)
             for name, join in (("h", hashed), ("e", hashed), ("p", lambda a, b: a + b))
         })
     made = [_of_size(size) for size in sizes]
@@ -112,11 +123,11 @@ def windows(texts: DataFrame, key: str, sizes: Sequence[int]) -> DataFrame:
         F.col("n").between(1, SHORTEST - 1),
         F.array(_row(F.lit(0), F.col("n"), F.xxhash64(F.coalesce("e1", "h1"), F.col("n")))),
     )
-    rows = rows.select(key, "n", "t", "k", F.concat(*made, F.coalesce(whole, _no_row())).alias("w"))
+    rows = rows.select(key, "n", "first", "t", "k", F.concat(*made, F.coalesce(whole, _no_row())).alias("w"))
     # The outer form, since a plain one repeats the array's making in a filter before it; a
     # text without windows gives a null one, which matches nothing.
-    rows = rows.select(key, "n", "t", "k", F.explode_outer("w").alias("w"))
-    return rows.select(key, "n", "t", "k", "w.size", "w.place", "w.window")
+    rows = rows.select(key, "n", "first", "t", "k", F.explode_outer("w").alias("w"))
+    return rows.select(key, "n", "first", "t", "k", "w.size", "w.place", "w.window")
 
 
 def _row(place: Column, size: Column, window: Column) -> Column:
@@ -136,7 +147,7 @@ def _of_size(size: int) -> Column:
             start += step
 
     def run(name: str) -> list[Column]:
-        return [F.slice(f"{name}{step}", at + 1, F.col("n")) for step, at in parts]
+        return [F.slice(f"{name}{step}", at + 1, PART + WINDOW) for step, at in parts]
 
     def joined(name: str) -> Column:
         first, *rest = run(name)
@@ -144,9 +155,9 @@ def _of_size(size: int) -> Column:
             first = F.zip_with(first, other, lambda a, b: a + b if name == "p" else F.xxhash64(a, b))
         return first
 
-    count = F.greatest(F.col("n") - size + 1, F.lit(0))
+    count = F.least(F.greatest(F.col("n") - F.col("first") - size + 1, F.lit(0)), F.lit(PART))
     by_template = F.transform(
-        F.slice(joined("h"), 1, count), lambda h, i: _row(i, F.lit(size), F.xxhash64(h, F.lit(size)))
+        F.slice(joined("h"), 1, count), lambda h, i: _row(F.col("first") + i, F.lit(size), F.xxhash64(h, F.lit(size)))
     )
     dense = F.zip_with(joined("e"), joined("p"), lambda e, p: F.when(p < MIN_LITERAL, F.xxhash64(e, F.lit(-size))))
     either = F.zip_with(
@@ -160,7 +171,7 @@ def _of_size(size: int) -> Column:
 
 def slots() -> Column:
     """The values of the window's placeholders in order; null if its text has none."""
-    place = F.col("place") + 1
+    place = F.col("place") - F.col("first") + 1
     values = F.zip_with(
         F.slice("t", place, F.col("size")), F.slice("k", place, F.col("size")),
         lambda t, k: F.when(k.startswith("#"), t),

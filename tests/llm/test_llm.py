@@ -169,6 +169,24 @@ def test_dense_short_and_half_changed_items(spark):
     assert [x for i, x in kept if i is None] == ["clean text"]
 
 
+def test_matches_of_long_texts_carry_a_part(spark, monkeypatch):
+    rows = [(1, f"In 7 words, {'some more of them ' * 900}{SWAPPED} {DENSE} {'and on it goes ' * 900}{ITEM}"), (2, None), (3, "So it is."), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = decontaminate.windows(docs, "doc_id", [5, 8])
+    most = cut.groupBy("doc_id").agg(F.max(F.greatest(F.size("t"), F.size("k"))).alias("most"), F.max("n").alias("n"))
+    found = {r.doc_id: r for r in most.collect()}
+    assert found[1].n > 7_000 and 8 <= found[1].most < 200
+    benchmark = spark.createDataFrame([(1, ITEM), (2, SWAPPED), (3, DENSE), (4, SHORT_ITEM), (5, "So it is")], "item_id long, text string")
+    plain, leaks = decontaminate.windows, []
+    # Parts of any size give the same windows, and the same items are found.
+    for part in (3, 128, 10_000):
+        monkeypatch.setattr(decontaminate, "PART", part)
+        made = plain(docs, "doc_id", [5, 8]).where("window is not null").select("doc_id", "n", "size", "place", "window", decontaminate.slots().alias("slots"))
+        leaks.append((sorted(map(repr, made.collect())), sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect()))))
+    assert leaks[0] == leaks[1] == leaks[2]
+    assert [x[:2] for x in leaks[0][1]] == [(1, 1), (1, 2), (1, 3), (3, 5)]
+
+
 def brute_leaks(docs, items):
     """Documents and items by the rule itself, on lists of tokens; words without names or units."""
     cut = lambda x: re.findall(r"[a-z0-9]+", (x or "").lower())
