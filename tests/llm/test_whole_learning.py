@@ -85,6 +85,57 @@ def test_like_bytes_are_spelled_once(monkeypatch):
     assert sum(map(len, found)) < 40 * sum(len(t) + 1 for t in tokens) / 50
 
 
+def random_spelling(rng):
+    shape = len(context_mixing.ORDERS), 1 << context_mixing.SLOT_BITS
+    return context_mixing.Spelling(
+        rng.normal(size=shape).astype(np.float32), rng.normal(size=(64, shape[0])).astype(np.float32) / 4,
+        rng.uniform(0.1, 0.9, (256, context_mixing.CELLS)).astype(np.float32),
+    )
+
+
+def test_contexts_reach_over_words():
+    texts = [None, "the cat sat on it", "a dog sat on it", "q" * 30 + " b", "cat cat cat", ""]
+    groups = [context_mixing.group_of(pa.array([x and x.encode() for x in part], pa.binary())) for part in (texts, texts[1:3])]
+    data, place, since, starts = context_mixing._joined(groups)
+    plain = [b"".join(x + b" " for x in (x or "").encode().split()) + b"\n" for x in texts + texts[1:3]]
+    assert data.tobytes() == b"".join(plain)
+    own = np.concatenate([np.arange(len(x)) for x in plain])
+    in_token = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    assert np.array_equal(since, np.minimum(own, 7)) and np.array_equal(place, np.minimum(in_token, 7))
+    kinds = context_mixing.Kinds.of(data, place, since)
+    for of_kinds, context in zip(kinds.contexts(), context_mixing.contexts(data, own)):
+        assert np.array_equal(of_kinds[kinds.at], context)
+    # The same token costs more or less after other words.
+    logs = context_mixing.spelled_after(random_spelling(np.random.default_rng(6)), data, place, since, starts)
+    by_token = {}
+    for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(data)])):
+        by_token.setdefault((data[max(0, a - min(6, own[a])) : b].tobytes()), []).append(logs[i])
+    assert all(np.allclose(x, x[0]) for x in by_token.values())
+    assert abs(by_token[b"e cat sat "][0] - by_token[b"a dog sat "][0]) > 0.01
+    # What the mixer learns from sees the same contexts.
+    before = [data[a - min(6, own[a]) : a].tobytes() for a in starts]
+    tokens = [data[a:b].tobytes().rstrip() for a, b in zip(starts, [*starts[1:], len(data)])]
+    assert all(np.array_equal(x, y) for x, y in zip(context_mixing._after(before, tokens), context_mixing.contexts(data, own)))
+
+
+def test_bytes_after_a_word_are_a_distribution():
+    texts = [b"some words " + bytes([i]) for i in range(256)]
+    data, place = np.frombuffer(b"".join(texts), np.uint8), np.tile([0, 1, 2, 3, 4, 0, 1, 2, 3, 4, 5, 0], 256)
+    since, starts = np.tile(np.arange(12), 256), np.add.outer(np.arange(256) * 12, [0, 5, 11]).ravel()
+    logs = context_mixing.spelled_after(random_spelling(np.random.default_rng(2)), data, place, since, starts)
+    assert np.exp(logs[2::3]).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_words_in_their_order_are_likelier(spark):
+    """Every word comes as often as before; only what stands before it differs."""
+    names = ["".join(chr(97 + (i * k + k) % 26) for k in (1, 3, 5, 7, 9)) for i in range(20)]
+    rows = [(5 * i, " ".join(names[(i + k) % 20] for k in range(8))) for i in range(400)]
+    rows += [(1, " ".join(names[:8])), (6, " ".join(names[i] for i in (3, 0, 5, 2, 7, 4, 1, 6)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in context_mixing.scored(docs, F.col("doc_id") % 5 == 1).where("held_out").collect()}
+    assert found[1] > found[6] + 3
+
+
 def plain_mixer(counts, batch):
     """The mixer's sums, each byte looked up for itself."""
     weights, rng = np.full((64, len(context_mixing.ORDERS)), 0.3), np.random.default_rng(7)
