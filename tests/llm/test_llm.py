@@ -187,6 +187,15 @@ def test_matches_of_long_texts_carry_a_part(spark, monkeypatch):
     assert [x[:2] for x in leaks[0][1]] == [(1, 1), (1, 2), (1, 3), (3, 5)]
 
 
+def test_pipeline_drops_a_long_text_with_many_matches(spark, tmp_path):
+    """All matches of a text with all of its tokens would be gigabytes."""
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = f"{'so it went on and on with 12 more ' * 80} {ITEM} " * 300
+    docs = spark.createDataFrame([(1, long), (2, "Nothing of it, 12 times."), (3, None)], "doc_id long, text string")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
 def brute_leaks(docs, items):
     """Documents and items by the rule itself, on lists of tokens; words without names or units."""
     cut = lambda x: re.findall(r"[a-z0-9]+", (x or "").lower())
